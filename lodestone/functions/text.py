@@ -18,7 +18,7 @@ ENTITY_PATTERN = (
 SENTENCE_BREAK = r"(?<=[.!?])\s+"
 CITATION_PATTERN = r"^\[?[Pp]?(\d+)\s*[:;,/-]\s*[Ss]?(\d+)\]?$"
 ASCII_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-ARTICLES_PATTERN = r"\b(a|an|the)\b"
+ARTICLES_PATTERN = r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])"
 ANSWER_KEYS = ("answer", "result", "response")
 
 
@@ -73,7 +73,7 @@ def normalize_answer(text: Column | str) -> Column:
     """Lower case, no ASCII punctuation, no English articles, single spaces."""
     bare = F.translate(F.lower(_col(text)), ASCII_PUNCTUATION, "")
     bare = F.regexp_replace(bare, ARTICLES_PATTERN, " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
 
 
 def answer_tokens(text: Column | str) -> Column:

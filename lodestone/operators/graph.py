@@ -110,15 +110,8 @@ def link_edges(passages: DataFrame) -> DataFrame:
     ).filter(F.col("linked") != F.col("pid"))
 
 
-def build_edges(
-    passages: DataFrame,
-    *,
-    mode: str = "provided",
-    min_df: int = 2,
-    max_df_ratio: float = 0.20,
-) -> DataFrame:
-    """Directed edge table of the whole corpus."""
-    mentions = mention_edges(entity_lists(passages, mode), min_df, max_df_ratio).select(
+def _one_way_mentions(mentions: DataFrame) -> DataFrame:
+    return mentions.select(
         passage_node(F.col("pid")).alias("a"),
         entity_node(F.col("entity")).alias("b"),
         F.lit(MENTIONS).alias("kind"),
@@ -127,6 +120,22 @@ def build_edges(
         F.lit(0).alias("o_kind"),
         F.col("place").alias("o_idx"),
     )
+
+
+def edges_of_mentions(mentions: DataFrame) -> DataFrame:
+    """Directed edge table of a corpus without explicit links."""
+    return both_directions(_one_way_mentions(mentions))
+
+
+def build_edges(
+    passages: DataFrame,
+    *,
+    mode: str = "provided",
+    min_df: int = 2,
+    max_df_ratio: float = 0.20,
+) -> DataFrame:
+    """Directed edge table of the whole corpus."""
+    mentions = _one_way_mentions(mention_edges(entity_lists(passages, mode), min_df, max_df_ratio))
     one_way = mentions
     if "links" in passages.columns:
         links = link_edges(passages).select(
