@@ -2,6 +2,8 @@
 
 from lodestone.plans import (  # noqa: F401
     graph_queries,
+    metric_queries,
+    policy_queries,
     retrieval_queries,
     text_queries,
 )

@@ -79,12 +79,12 @@ def gb01(spark, sf_dir):
         F.md5(F.array_join("entities", "|").cast("binary")).alias("digest"))
 
 
-@query("gb02_title_links", compose(f"""with own as (select pid, {sql.norm('title')} as own from passages),
+@query("gb02_title_links", compose(f"""with recursive own as (select pid, {sql.norm('title')} as own from passages),
     titles as (select distinct own from own where own <> ''),
     kept as (select pid, unnest(ents) as entity from ents),
     everything as (select k.pid, k.entity from kept k semi join titles t on t.own = k.entity
       union select pid, own from own where own <> '')
-    select pid, count(*) as n, md5(string_agg(entity, '|' order by entity)) as digest from everything group by pid""".replace("with own", "with recursive own") ))
+    select pid, count(*) as n, md5(string_agg(entity, '|' order by entity)) as digest from everything group by pid"""))
 def gb02(spark, sf_dir):
     lists = graph.entity_lists(passages(spark, sf_dir), "title_links").filter(F.size("entities") > 0)
     return lists.select(
@@ -143,9 +143,10 @@ _TITLES = {
     "phrases": f"""select distinct array_to_string(w, ' ') as phrase, len(w) as width from (select {sql.tok('title')} as w from passages)
         where len(w) between 1 and 8 and (len(w) > 1 or length(w[1]) >= 4)""",
     "body_words": f"select pid, {sql.tok('body')} as w from passages",
-    "grams": """select pid, k as width, array_to_string(w[i:i + k - 1], ' ') as phrase
-        from (select pid, w, unnest(range(1, len(w) + 1)) as i from body_words), (select unnest(range(1, 9)) as k)
-        where i + k - 1 <= len(w)""",
+    "aheads": """select pid, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i:i + 7])) as ahead
+        from body_words""",
+    "grams": """select distinct pid, k as width, array_to_string(ahead[1:k], ' ') as phrase
+        from aheads, (select unnest(range(1, 9)) as k) where k <= len(ahead)""",
     "title_hits": "select distinct pid, phrase from grams semi join phrases using (phrase, width)",
 }
 

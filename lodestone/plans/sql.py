@@ -140,19 +140,24 @@ def compose(body: str, extra: dict[str, str] | None = None) -> str:
     """``body`` with the pieces it names, and those they name, in front of it."""
     pieces = {**PIECES, **(extra or {})}
     ordered: list[str] = []
+    pending: set[str] = set()
 
     def need(text: str) -> None:
         for name in pieces:
-            if name not in ordered and re.search(rf"\b(?:from|join)\s+{name}\b", text):
-                pending = pieces[name]
-                need(pending)
-                if name not in ordered:
-                    ordered.append(name)
+            if name not in pending and re.search(rf"\b(?:from|join)\s+{name}\b", text):
+                pending.add(name)
+                need(pieces[name])
+                ordered.append(name)
 
     need(body)
     if not ordered:
         return body
-    listed = ",\n".join(f"{name} as materialized ({pieces[name]})" for name in ordered)
+
+    def listed(name: str) -> str:
+        recursive = re.search(rf"\b(?:from|join)\s+{name}\b", pieces[name])
+        return f"{name} as {'' if recursive else 'materialized '}({pieces[name]})"
+
+    listing = ",\n".join(listed(name) for name in ordered)
     if body.lstrip().startswith("with recursive "):
-        return "with recursive " + listed + ",\n" + body.lstrip()[len("with recursive "):]
-    return f"with {listed}\n{body}"
+        return "with recursive " + listing + ",\n" + body.lstrip()[len("with recursive "):]
+    return f"with recursive {listing}\n{body}"
