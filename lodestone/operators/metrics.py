@@ -94,52 +94,73 @@ def with_support(rows: DataFrame, support: DataFrame) -> DataFrame:
     )
 
 
-def answer_scores(prediction: Column, gold: Column) -> Column:
-    """struct(f1, em, precision, recall) of one predicted against one gold answer."""
-    p_norm, g_norm = tx.normalize_answer(prediction), tx.normalize_answer(gold)
-    p, g = tx.answer_tokens(prediction), tx.answer_tokens(gold)
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed one time, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
 
+def _shared_count(left: Column, right: Column) -> Column:
+    """Size of the multiset intersection of two token lists."""
     def times(words: Column, word: Column) -> Column:
         return F.size(F.filter(words, lambda other: other == word))
 
-    shared = F.aggregate(
-        F.transform(
-            F.array_distinct(F.array_intersect(p, g)),
-            lambda word: F.least(times(p, word), times(g, word)),
-        ),
+    return F.aggregate(
+        F.array_intersect(left, right),
         F.lit(0),
-        lambda total, n: total + n,
+        lambda total, word: total + F.least(times(left, word), times(right, word)),
     )
+
+
+def _compare_answers(pair: Column) -> Column:
+    p_norm, g_norm, p, g = pair["p_norm"], pair["g_norm"], pair["p"], pair["g"]
     guarded = (p_norm.isin(*GUARDED_ANSWERS) | g_norm.isin(*GUARDED_ANSWERS)) & (p_norm != g_norm)
-    counts = F.when(guarded, F.lit(0)).otherwise(shared)
-    precision = F.when(counts > 0, ratio(counts, F.size(p))).otherwise(0.0)
-    found = F.when(counts > 0, ratio(counts, F.size(g))).otherwise(0.0)
-    return F.struct(
-        f1(precision, found).alias("f1"),
-        (p_norm == g_norm).cast("double").alias("em"),
-        precision.alias("precision"),
-        found.alias("recall"),
-    )
+    counted = F.when(guarded, F.lit(0)).otherwise(_shared_count(p, g))
 
+    def scores(same: Column) -> Column:
+        precision = F.when(same > 0, ratio(same, F.size(p))).otherwise(0.0)
+        found = F.when(same > 0, ratio(same, F.size(g))).otherwise(0.0)
+        return F.struct(
+            f1(precision, found).alias("f1"),
+            (p_norm == g_norm).cast("double").alias("em"),
+            precision.alias("precision"),
+            found.alias("recall"),
+        )
 
-def token_overlap_f1(prediction: Column, gold: Column) -> Column:
-    """Bag-of-tokens F1 on the plain tokeniser; two empty texts agree."""
-    p, g = tx.tokens(prediction), tx.tokens(gold)
+    return _once(counted, scores)
+
+
+def _answer_words(norm: Column) -> Column:
+    return F.filter(F.split(norm, " "), lambda part: part != "")
 
-    def times(words: Column, word: Column) -> Column:
-        return F.size(F.filter(words, lambda other: other == word))
 
-    shared = F.aggregate(
-        F.transform(
-            F.array_distinct(F.array_intersect(p, g)),
-            lambda word: F.least(times(p, word), times(g, word)),
+def answer_scores(prediction: Column, gold: Column) -> Column:
+    """struct(f1, em, precision, recall) of one predicted against one gold answer."""
+    norms = F.struct(
+        tx.normalize_answer(prediction).alias("p_norm"), tx.normalize_answer(gold).alias("g_norm")
+    )
+    return _once(
+        norms,
+        lambda n: _once(
+            F.struct(
+                n["p_norm"].alias("p_norm"), n["g_norm"].alias("g_norm"),
+                _answer_words(n["p_norm"]).alias("p"), _answer_words(n["g_norm"]).alias("g"),
+            ),
+            _compare_answers,
         ),
-        F.lit(0),
-        lambda total, n: total + n,
     )
-    both_empty = (F.size(p) == 0) & (F.size(g) == 0)
-    return F.when(both_empty, 1.0).otherwise(
-        safe_divide(2.0 * shared, (F.size(p) + F.size(g)).cast("double"))
+
+
+def token_overlap_f1(prediction: Column, gold: Column) -> Column:
+    """Bag-of-tokens F1 on the plain tokeniser; two empty texts agree."""
+    def compare(pair: Column) -> Column:
+        p, g = pair["p"], pair["g"]
+        both_empty = (F.size(p) == 0) & (F.size(g) == 0)
+        return F.when(both_empty, 1.0).otherwise(
+            safe_divide(2.0 * _shared_count(p, g), (F.size(p) + F.size(g)).cast("double"))
+        )
+
+    return _once(
+        F.struct(tx.tokens(prediction).alias("p"), tx.tokens(gold).alias("g")), compare
     )
 
 

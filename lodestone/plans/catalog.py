@@ -5,6 +5,7 @@ from lodestone.plans import (  # noqa: F401
     metric_queries,
     policy_queries,
     retrieval_queries,
+    statistic_queries,
     text_queries,
 )
 from lodestone.plans.registry import ORACLE, QUERIES  # noqa: F401
