@@ -2,6 +2,7 @@
 
 from lodestone.plans import (  # noqa: F401
     graph_queries,
+    ingest_queries,
     metric_queries,
     policy_queries,
     retrieval_queries,

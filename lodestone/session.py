@@ -35,16 +35,21 @@ def build_session(
     return builder.getOrCreate()
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Materialise a step of an iterative job in the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a session without
-    one (a test on one machine) gets a folder of its own.
+    Only a session without one (a test on one machine) gets a folder of its own.
     """
-    context = frame.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        shared = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """Materialise a step of an iterative job in the shared folder."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint(eager=True)
