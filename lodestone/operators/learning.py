@@ -282,6 +282,15 @@ def fit_platt(scored: DataFrame, folds: Sequence[Column], config: LearningConfig
     ]
 
 
+def isotonic_levels(counted: DataFrame) -> DataFrame:
+    """``counted(p, n, y)`` plus ``level``, the pooled label mean of each probability."""
+    rows = VectorAssembler(inputCols=["p"], outputCol="features").transform(counted)
+    model = IsotonicRegression(
+        featuresCol="features", labelCol="y", weightCol="n", predictionCol="level"
+    ).fit(rows)
+    return model.transform(rows)
+
+
 def fit_isotonic(scored: DataFrame) -> Calibrator:
     """Pool-adjacent-violators blocks: x = mean probability, y = mean label of each block.
 
@@ -292,12 +301,8 @@ def fit_isotonic(scored: DataFrame) -> Calibrator:
     counted = scored.groupBy("p").agg(
         F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.col("y").cast("double")).alias("y")
     )
-    rows = VectorAssembler(inputCols=["p"], outputCol="features").transform(counted)
-    model = IsotonicRegression(
-        featuresCol="features", labelCol="y", weightCol="n", predictionCol="level"
-    ).fit(rows)
     blocks = (
-        model.transform(rows)
+        isotonic_levels(counted)
         .groupBy(F.round("level", 12).alias("level"))
         .agg(
             (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("x"),

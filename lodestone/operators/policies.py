@@ -141,13 +141,15 @@ def rescue(
     scorer: Scorer | None = None,
     preflight: Gate | None = None,
     keep_going: Gate | None = None,
+    history: list[DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Run one policy for all queries: ``(traces, actions)``.
 
     Each step is one plan over the queries still active: gate, explore from all
     evidence held, score, choose, check the budget. A gate (``rows -> rows with
     probability and opens``) is asked before any edge is read. Steps are bounded
-    by ``max_actions`` and cut with a checkpoint.
+    by ``max_actions`` and cut with a checkpoint. ``history`` collects what each step
+    chose, one table per step.
     """
     retrieval, graph = world.retrieval, world.graph
     seeds = world.seeds()
@@ -238,6 +240,8 @@ def rescue(
             "qid", "marginal_value", *HEADS, "relevance", "confidence", "hub", "hops",
             F.col("frontier_size"), "score_margin",
         )
+        if history is not None:
+            history.append(previous)
         state = cut_lineage(
             state.join(done.filter(took).select("qid", F.col("target").alias("added")), "qid", "left")
             .select(

@@ -3,6 +3,7 @@
 from lodestone.plans import (  # noqa: F401
     graph_queries,
     ingest_queries,
+    learning_queries,
     metric_queries,
     policy_queries,
     retrieval_queries,

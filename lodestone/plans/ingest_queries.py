@@ -155,29 +155,33 @@ def sc03(spark, sf_dir):
 
 @query("sc04_json_array", """select user_id, count(*) as n, round(sum(value), 4) as total from events group by user_id""")
 def sc04(spark, sf_dir):
-    """Per user one file-like text holding a JSON array, exploded by the array reader."""
+    """SC05: files of at most a thousand records, each one JSON array, read back record by record."""
     folder = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
-    rows = table(spark, sf_dir, "events").groupBy("user_id", F.floor(F.col("event_id") / 1000).alias("block")).agg(
+    blocks = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("block")).agg(
         F.to_json(F.collect_list(F.struct("user_id", "value"))).alias("value"))
-    rows.select("value").write.option("lineSep", "\n").text(folder)
-    lines = spark.read.text(folder).select(
-        F.explode(F.from_json("value", "array<struct<user_id:bigint,value:double>>")).alias("r"))
-    return lines.groupBy("r.user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("r.value"), 4).alias("total"))
+    blocks.write.partitionBy("block").text(folder)
+    rows = jsonl.read_json_array(spark, folder, "user_id bigint, value double")
+    return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("sk05_resume", """select query_id from (select user_id::varchar as query_id, list_sort(list(distinct event_type)) as p from events group by user_id) where p <> ['click', 'error', 'purchase', 'signup', 'view']
-    union all select query_id from (select user_id::varchar as query_id from events group by user_id having count(distinct event_type) = 5 and list_sort(list(distinct event_type)) <> ['click', 'error', 'purchase', 'signup', 'view'])""")
+_BLOCKS = "select user_id || '-' || event_id // 2000 as query_id, list_sort(list(distinct event_type)) as p from events group by 1"
+
+
+@query("sk05_resume", f"""select query_id from ({_BLOCKS}) where p <> (select list_sort(list(distinct event_type)) from events)""")
 def sk05(spark, sf_dir):
-    """Users as queries, their event types as policies: who still has to be evaluated."""
-    events = table(spark, sf_dir, "events")
-    kinds = ("click", "error", "purchase", "signup", "view")
-    by_user = events.select(F.col("user_id").cast("string").alias("query_id"), "event_type").distinct().groupBy("query_id").agg(
-        F.collect_list(F.struct(F.col("event_type").alias("policy"))).alias("rows"))
-    lines = by_user.select(F.to_json(F.struct("query_id", "rows", F.col("rows").alias("traces"))).alias("value"))
+    """Blocks of a user's events as queries, event types as policies: who still has to be evaluated."""
     from lodestone.schemas import BUNDLES
 
+    events = table(spark, sf_dir, "events")
+    name = F.concat_ws("-", F.col("user_id"), F.floor(F.col("event_id") / 2000))
+    kinds = sorted(row[0] for row in events.select("event_type").distinct().collect())
+    by_query = events.select(name.alias("query_id"), "event_type").distinct().groupBy("query_id").agg(
+        F.collect_list(F.struct(F.col("event_type").alias("policy"))).alias("rows"))
+    whole = F.to_json(F.struct("query_id", "rows", F.col("rows").alias("traces")))
+    torn = F.substring(whole, 1, 25)
+    lines = by_query.select(F.explode(F.array(whole, torn)).alias("value"))
     done = checkpoint.complete_bundles(checkpoint.parse_bundles(lines, BUNDLES), kinds)
-    return checkpoint.pending_queries(by_user.select("query_id"), done)
+    return checkpoint.pending_queries(by_query.select("query_id"), done)
 
 
 def _results(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +27,10 @@ def embed_with_cache(spark: SparkSession, texts: DataFrame, path: str, embed: Em
     New vectors are appended to the Parquet folder and read back with the old ones.
     """
     schema = "key string, vector array<double>"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    cached = spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    try:
+        cached = spark.read.schema(schema).parquet(path)
+    except AnalysisException:  # the folder does not exist yet
+        cached = spark.createDataFrame([], schema)
     embed(missing_texts(texts, cached)).select("key", "vector").write.mode("append").parquet(path)
     stored = spark.read.schema(schema).parquet(path).groupBy("key").agg(F.first("vector").alias("vector"))
     return with_key(texts).join(stored, "key").drop("key")

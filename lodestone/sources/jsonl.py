@@ -9,8 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, StructType
+
 from lodestone import schemas
 
+# Keys under which a wrapped array may sit.
+WRAPPERS = ("data", "examples", "questions")
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -80,28 +85,11 @@ def read_counterfactuals(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON array, or an object holding it as data, examples or questions."""
-    whole = spark.read.option("wholetext", True).text(path)
-    body = F.trim("value")
-    wrapped = F.from_json(
-        body, f"data array<struct<{_fields(schema)}>>, examples array<struct<{_fields(schema)}>>, "
-        f"questions array<struct<{_fields(schema)}>>")
-    direct = F.from_json(body, f"array<struct<{_fields(schema)}>>")
-    listed = F.when(F.startswith(body, F.lit("[")), direct).otherwise(
-        F.coalesce(wrapped["data"], wrapped["examples"], wrapped["questions"]))
-    return whole.select(F.explode(listed).alias("row")).select("row.*")
-
-
-def _fields(schema: str) -> str:
-    """Top-level ``name type`` pairs of a DDL list as struct fields."""
-    parts, depth, current = [], 0, ""
-    for character in schema:
-        depth += character == "<"
-        depth -= character == ">"
-        if character == "," and depth == 0:
-            parts.append(current.strip())
-            current = ""
-        else:
-            current += character
-    parts.append(current.strip())
-    return ",".join(":".join(part.split(" ", 1)) for part in parts)
+    """Files that are one JSON array, or an object holding it as data, examples or questions."""
+    record = StructType.fromDDL(schema)
+    either = StructType(record.fields[:])
+    for name in WRAPPERS:
+        either = either.add(name, ArrayType(record))
+    rows = spark.read.schema(either).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    plain = F.array(F.struct(*[F.col(name) for name in record.names]))
+    return rows.select(F.explode(F.coalesce(*[F.col(name) for name in WRAPPERS], plain)).alias("row")).select("row.*")
