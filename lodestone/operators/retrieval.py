@@ -98,18 +98,22 @@ def term_idf(corpus: Corpus, postings: DataFrame) -> DataFrame:
     )
 
 
-def bm25_scores(
-    corpus: Corpus, queries: DataFrame, *, pairs: DataFrame | None = None
-) -> DataFrame:
-    """``(qid, pid, bm25_score)`` for every passage that shares a term with the query.
+@dataclass
+class LexicalIndex:
+    """What BM25 needs for one set of questions.
 
-    With ``pairs(qid, pid)`` only those pairs are scored.
+    ``postings(pid, term, saturation)`` of the asked terms only and
+    ``weights(qid, term, weight)`` with idf times how often the question repeats
+    the term. Both are kept, since ranking and pair scoring read them in turn.
     """
+
+    postings: DataFrame
+    weights: DataFrame
+
+
+def lexical_index(corpus: Corpus, queries: DataFrame) -> LexicalIndex:
     asked = query_terms(queries)
-    postings = term_counts(corpus, asked)
-    weights = asked.join(term_idf(corpus, postings), "term").select(
-        "qid", "term", (F.col("idf") * F.col("qf")).alias("weight")
-    )
+    counts = term_counts(corpus, asked).persist(StorageLevel.MEMORY_AND_DISK)
     average = corpus.tokens.agg(F.avg("doc_len").alias("avgdl"))
     average = average.select(
         F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(F.lit(1.0)).alias("avgdl")
@@ -119,11 +123,26 @@ def bm25_scores(
         * (BM25_K1 + 1.0)
         / (F.col("tf") + BM25_K1 * (1.0 - BM25_B + BM25_B * F.col("doc_len") / average))
     )
-    weighted = postings.select("pid", "term", saturation.alias("saturation"))
+    weights = asked.join(term_idf(corpus, counts), "term").select(
+        "qid", "term", (F.col("idf") * F.col("qf")).alias("weight")
+    )
+    return LexicalIndex(
+        counts.select("pid", "term", saturation.alias("saturation")),
+        weights.persist(StorageLevel.MEMORY_AND_DISK),
+    )
+
+
+def bm25_scores(index: LexicalIndex, *, pairs: DataFrame | None = None) -> DataFrame:
+    """``(qid, pid, bm25_score)`` for every passage that shares a term with the query.
+
+    With ``pairs(qid, pid)`` only those pairs are scored.
+    """
     if pairs is None:
-        matched = weighted.join(weights, "term")
+        matched = index.postings.join(index.weights, "term")
     else:
-        matched = weighted.join(pairs.select("qid", "pid"), "pid").join(weights, ["qid", "term"])
+        matched = index.postings.join(pairs.select("qid", "pid"), "pid").join(
+            index.weights, ["qid", "term"]
+        )
     return matched.groupBy("qid", "pid").agg(
         F.sum(F.col("weight") * F.col("saturation")).alias("bm25_score")
     )
@@ -139,15 +158,18 @@ def top_k(scores: DataFrame, score: str, k: int, tie: str = "pos") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def bm25_top_k(corpus: Corpus, queries: DataFrame, k: int) -> DataFrame:
+def bm25_top_k(
+    corpus: Corpus, queries: DataFrame, k: int, index: LexicalIndex | None = None
+) -> DataFrame:
     """``(qid, pid, pos, bm25_score, rank)`` over the whole corpus.
 
     Passages without any query term score 0 and fill the list in corpus order.
     When fewer than k passages match, the missing places can only go to passages
     at positions below k, so the fill touches k rows per short query, not N.
     """
+    index = index or lexical_index(corpus, queries)
     positions = corpus.tokens.select("pid", "pos")
-    ranked = top_k(bm25_scores(corpus, queries).join(positions, "pid"), "bm25_score", k)
+    ranked = top_k(bm25_scores(index).join(positions, "pid"), "bm25_score", k)
     ranked = ranked.persist(StorageLevel.MEMORY_AND_DISK)
     found = queries.select("qid").join(
         ranked.groupBy("qid").agg(F.count(F.lit(1)).alias("found")), "qid", "left"
@@ -343,11 +365,12 @@ def retrieve(
             "qid", "pid", "rank", zero.alias("bm25_score"), "dense_score",
             zero.alias("rrf_score"), F.col("dense_score").alias("rerank_score"),
         )
-    lexical = bm25_top_k(corpus, queries, config.bm25_k)
+    index = lexical_index(corpus, queries)
+    lexical = bm25_top_k(corpus, queries, config.bm25_k, index)
     fused = reciprocal_rank_fusion([lexical, nearest], config.rrf_k, config.rerank_k)
     fused = fused.persist(StorageLevel.MEMORY_AND_DISK)
     scored = (
-        fused.join(bm25_scores(corpus, queries, pairs=fused), ["qid", "pid"], "left")
+        fused.join(bm25_scores(index, pairs=fused), ["qid", "pid"], "left")
         .join(dense_similarity(fused, passage_vectors, query_vectors), ["qid", "pid"], "left")
         .withColumn("bm25_score", F.coalesce("bm25_score", zero))
         .withColumn("dense_score", F.coalesce("dense_score", zero))

@@ -86,6 +86,48 @@ def _exhausted(met: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def _needed(frontier: DataFrame, edges: DataFrame, met: DataFrame, barred: DataFrame, limit: int) -> DataFrame:
+    """The rows of the last frontier that a queue would still take before it stops.
+
+    Only ids travel: each row's visit number and the targets next to it. A target not
+    met before counts at its first row; the row at which a seed's search has met
+    ``limit`` targets is the last one worth expanding.
+    """
+    turn = Window.partitionBy("qid", "seed_no").orderBy("trail")
+    numbered = cut_lineage(frontier.withColumn("visit", F.row_number().over(turn)))
+    first_met = met.groupBy("qid", "node").agg(F.min("seed_no").alias("first_seed"))
+    per_seed = first_met.groupBy("qid", F.col("first_seed").alias("seed_no")).agg(F.count(F.lit(1)).alias("n"))
+    running = Window.partitionBy("qid").orderBy("seed_no")
+    searching = numbered.select("qid", "seed_no").distinct().withColumn("n", F.lit(0).cast("long"))
+    known = (
+        per_seed.unionByName(searching)
+        .groupBy("qid", "seed_no").agg(F.sum("n").alias("n"))
+        .withColumn("known", F.sum("n").over(running))
+        .select("qid", "seed_no", "known")
+    )
+    fresh = (
+        numbered.select("qid", "seed_no", "visit", F.col("node").alias("source"))
+        .join(edges.filter(is_passage(F.col("target"))).select("source", F.col("target").alias("node")), "source")
+        .groupBy("qid", "seed_no", "node").agg(F.min("visit").alias("visit"))
+        .join(barred, ["qid", "node"], "left_anti")
+        .join(first_met, ["qid", "node"], "left")
+        .filter(F.col("first_seed").isNull() | (F.col("first_seed") > F.col("seed_no")))
+    )
+    in_turn = Window.partitionBy("qid", "seed_no").orderBy("visit", "node")
+    last = (
+        fresh.select("qid", "seed_no", "visit", F.row_number().over(in_turn).alias("n"))
+        .filter(F.col("n") <= limit)
+        .join(known, ["qid", "seed_no"])
+        .filter(F.col("n") + F.col("known") == limit)
+        .select("qid", "seed_no", F.col("visit").alias("last_visit"))
+    )
+    return (
+        numbered.join(last, ["qid", "seed_no"], "left")
+        .filter(F.col("last_visit").isNull() | (F.col("visit") <= F.col("last_visit")))
+        .drop("visit", "last_visit")
+    )
+
+
 def candidate_paths(
     edges: DataFrame,
     seeds: DataFrame,
@@ -144,6 +186,8 @@ def candidate_paths(
             .filter(F.col("last_seed").isNull() | (F.col("seed_no") < F.col("last_seed")))
             .drop("last_seed")
         )
+        if depth == 2 * max_hops - 1:
+            frontier = _needed(frontier, edges, met, barred, limit)
 
     found = levels[0]
     for level in levels[1:]:

@@ -31,8 +31,8 @@ def hr01p(spark, sf_dir):
 @query("hr02_bm25_score", compose("select qid, pid, round(bm25_score, 6) as bm25_score from bm25"))
 def hr02(spark, sf_dir):
     """JN01: every question's terms against the inverted index, all matching pairs."""
-    return retrieval.bm25_scores(shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir)).select(
-        "qid", "pid", *_r("bm25_score"))
+    index = retrieval.lexical_index(shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir))
+    return retrieval.bm25_scores(index).select("qid", "pid", *_r("bm25_score"))
 
 
 @query("hr02_bm25_topk", compose(
