@@ -119,7 +119,7 @@ def threshold_for_recall(scored: DataFrame, target: float) -> DataFrame:
     )
     running = running_totals(counted, ["minus_p"], ["pos"])
     positives = counted.agg(F.sum("pos").alias("n")).scalar()
-    reached = (F.col("pos_before") + F.col("pos")) / positives >= target
+    reached = (F.col("pos_before") + F.col("pos")) / F.greatest(F.lit(1), positives) >= target
     best = running.agg(
         F.max(F.when(reached, -F.col("minus_p"))).alias("best"), F.sum("pos").alias("pos")
     )

@@ -209,9 +209,9 @@ def gb09(spark, sf_dir):
     from w_paths""", WALK))
 def gt01(spark, sf_dir):
     """Breadth-first exploration from the first seeds of every question, early stop included."""
-    here = shared.world(spark, sf_dir)
     return _path_columns(traversal.candidate_paths(
-        here.walk_edges, here.seeds(), max_hops=MAX_HOPS, cap=CAP, has_links=False))
+        shared.walk_edges(spark, sf_dir), shared.seeds(spark, sf_dir), max_hops=MAX_HOPS, cap=CAP,
+        has_links=False))
 
 
 def _path_columns(paths):

@@ -173,8 +173,8 @@ def po01(spark, sf_dir):
 @query("po03_hybrid_context", compose("select qid, final_ids, evidence_tokens from h_packed", PACK))
 def po03(spark, sf_dir):
     """PO02: each ranking packed greedily under the passage and token limits."""
-    here = shared.world(spark, sf_dir)
-    return packing.pack_ranking(here.ranking, here.tokens, FINAL_K, BUDGET)
+    return packing.pack_ranking(
+        shared.ranking(spark, sf_dir), shared.corpus(spark, sf_dir).tokens, FINAL_K, BUDGET)
 
 
 def choice_sql(selector: str, source: str, support_missing: str = "") -> str:

@@ -119,14 +119,18 @@ def world(spark: SparkSession, sf_dir: str) -> World:
     )
 
 
+def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking(spark, sf_dir).filter(F.col("rank") <= RETRIEVAL.seed_k).select(
+        "qid", "pid", F.col("rank").alias("seed_no"))
+
+
 def seed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidate paths from the first seeds of every question."""
-    here = world(spark, sf_dir)
     return _once(
         "seed_paths", spark, sf_dir,
         lambda: traversal.candidate_paths(
-            here.walk_edges, here.seeds(), max_hops=GRAPH.max_hops, cap=GRAPH.frontier_cap,
-            has_links=False),
+            walk_edges(spark, sf_dir), seeds(spark, sf_dir), max_hops=GRAPH.max_hops,
+            cap=GRAPH.frontier_cap, has_links=False),
     )
 
 
