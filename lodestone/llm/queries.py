@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.llm.decontamination import OP5_SQL, op5_decontamination
 from lodestone.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from lodestone.llm.sharding import op8_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_sharding": op8_sharding,
 }
 ORACLE: dict[str, str] = {
+    "op5_decontamination": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
 }
