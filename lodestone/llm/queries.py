@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import OP5_SQL, op5_decontamination
 from lodestone.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from lodestone.llm.quality import op3_quality
 from lodestone.llm.sharding import op8_sharding
+from lodestone.llm.toxicity import op2_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_sharding": op8_sharding,
