@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import OP5_SQL, op5_decontamination
 from lodestone.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from lodestone.llm.packing import op9_packing
 from lodestone.llm.quality import op3_quality
 from lodestone.llm.sharding import op8_sharding
 from lodestone.llm.toxicity import op2_toxicity
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_sharding": op8_sharding,
+    "op9_packing": op9_packing,
 }
 ORACLE: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
