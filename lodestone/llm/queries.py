@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import OP5_SQL, op5_decontamination
 from lodestone.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from lodestone.llm.near_dedup import OP10_SQL, op10_near_dedup
 from lodestone.llm.packing import op9_packing
 from lodestone.llm.quality import op3_quality
 from lodestone.llm.sharding import op8_sharding
@@ -20,8 +21,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op10_near_dedup": OP10_SQL,
 }
