@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontamination import OP5_SQL, op5_decontamination
 from lodestone.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from lodestone.llm.language_model import op7_language_model
 from lodestone.llm.near_dedup import OP10_SQL, op10_near_dedup
 from lodestone.llm.packing import op9_packing
 from lodestone.llm.quality import op3_quality
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": op3_quality,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_language_model": op7_language_model,
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_near_dedup": op10_near_dedup,
