@@ -14,10 +14,12 @@ from lodestone.llm.packing import op9_packing
 from lodestone.llm.quality import op3_quality
 from lodestone.llm.sharding import op8_sharding
 from lodestone.llm.toxicity import op2_toxicity
+from lodestone.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
+    "op4_warc": op4_warc,
     "op5_decontamination": op5_decontamination,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_language_model": op7_language_model,
@@ -26,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE: dict[str, str] = {
+    "op4_warc": OP4_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op10_near_dedup": OP10_SQL,
