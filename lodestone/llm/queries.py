@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.decontamination import OP5_SQL, op5_decontamination
 from lodestone.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from lodestone.llm.language_model import op7_language_model
+from lodestone.llm.license_scan import OP1_SQL, op1_license_scan
 from lodestone.llm.near_dedup import OP10_SQL, op10_near_dedup
 from lodestone.llm.packing import op9_packing
 from lodestone.llm.quality import op3_quality
@@ -17,6 +18,7 @@ from lodestone.llm.toxicity import op2_toxicity
 from lodestone.llm.warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_warc": op4_warc,
@@ -28,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_near_dedup": op10_near_dedup,
 }
 ORACLE: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op4_warc": OP4_SQL,
     "op5_decontamination": OP5_SQL,
     "op6_exact_dedup": OP6_SQL,
