@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +64,21 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]
 
 
+def spans_of_bytes(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The texts in runs of about ``most`` bytes, so that arrays over their bytes stay small
+    however long the texts of a batch are."""
+    run: list[bytes] = []
+    size = 0
+    for text in texts:
+        if run and size + len(text) > most:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 def lower_ascii(text: bytes) -> bytes:
     """A-Z to lower case and nothing else; bytes.lower() knows only ASCII."""
     return text.lower()

@@ -6,9 +6,10 @@ two sketches' XOR estimates a high similarity closely, so most false candidates
 without their sets. What is left is checked on the full sets.
 
 Equal sets are one node from the start. In each shared band, every node is first compared
-with one centre; nodes that this already connects need no comparison with each other. A
-second round compares the nodes of a band that are still in different components, so no
-link between components is lost and no group is expanded into all its pairs.
+with one centre; nodes that this already connects need no comparison with each other. Then
+the nodes of a band that are still in different components are compared: small bands as
+pairs, large ones block by block in tasks that give back only the links which connect
+something new. So no link between components is lost and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Workspace, byte_texts, lower_ascii, table
+from lodestone.llm.common import Workspace, byte_texts, lower_ascii, spans_of_bytes, table
 
 BANDS = 32
 ROWS = 5
@@ -33,8 +34,10 @@ SKETCH_BITS = 64 * SKETCH_WORDS
 #: A pair is checked when its sketches differ in at most as many bits as expected at this
 #: much below the similarity asked for, five standard deviations of the estimate.
 MARGIN = 0.2
+#: Bands of more members than this are compared in blocks of about BLOCK members in a task.
+LARGE_BAND = 64
+BLOCK = 256
 
-_M = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _draw = np.random.default_rng(20260101)
@@ -79,6 +82,10 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
 
     A text of fewer words than ``width``, but not none, is one shingle.
     """
+    return [s for run in spans_of_bytes(texts) for s in _shingle_sets(run, width)]
+
+
+def _shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     hashes, counts = word_hashes([lower_ascii(t) for t in texts])
     n = max(len(hashes) - width + 1, 0)
     rolled = np.zeros(n, np.uint64)
@@ -199,24 +206,92 @@ def _check(percent: int):
     return check
 
 
-def verified(pairs: DataFrame, rows: DataFrame, text: str, width: int, percent: int,
-             space: Workspace, step: str) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, space: Workspace, step: str) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough.
 
-    Sets are made for the rows in pairs only. A row in many pairs is a hot join key on the
-    pairs' side, which adaptive execution splits; the sets' side has one row for each.
+    A row in many pairs is a hot join key on the pairs' side, which adaptive execution
+    splits; the sets' side has one row for each.
     """
-    wanted = pairs.select(F.col("a").alias("_row")).union(pairs.select("b")).distinct()
-    texts = rows.select("_row", F.col(text).alias("text")).join(wanted, "_row")
-    sets = space.write(f"sets-{step}", texts.mapInArrow(_sets(width), "_row long, _set binary"))
     joined = (
         pairs.join(sets.withColumnsRenamed({"_row": "a", "_set": "a_set"}), "a")
         .join(sets.withColumnsRenamed({"_row": "b", "_set": "b_set"}), "b")
         .select("a", "b", "a_set", "b_set")
     )
-    links = space.write(f"links-{step}", joined.mapInArrow(_check(percent), "a long, b long"))
-    space.drop(f"sets-{step}")
-    return links
+    return space.write(f"links-{step}", joined.mapInArrow(_check(percent), "a long, b long"))
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links of the blocks that come in order of their key; a block is held at a time."""
+    key, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["band"], row["i"], row["j"]) != key:
+                yield _links_of_block(held, percent)
+                key, held = (row["band"], row["i"], row["j"]), []
+            held.append(row)
+    yield _links_of_block(held, percent)
+
+
+def _links_of_block(rows: list[dict], percent: int) -> pa.RecordBatch:
+    """Links between askers and members of a block, only those that connect something new.
+
+    Shared shingles of all pairs are one product of the incidence matrix with itself, a
+    stretch of the shingles at a time.
+    """
+    a, b = [], []
+    ask = [i for i, row in enumerate(rows) if row["asks"]]
+    if ask and len(rows) > 1:
+        sets = [np.frombuffer(row["_set"], np.uint64) for row in rows]
+        sizes = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(rows)), sizes)
+        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = times[column] > 1
+        owner, column = owner[shared], column[shared]
+        turn = np.argsort(column, kind="stable")
+        owner, column = owner[turn], np.unique(column[turn], return_inverse=True)[1]
+        both = np.zeros((len(ask), len(rows)), np.float32)
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            low, high = np.searchsorted(column, (first, first + 4096))
+            has = np.zeros((len(rows), 4096), np.float32)
+            has[owner[low:high], column[low:high] - first] = 1
+            both += has[ask] @ has.T
+        close = 100 * both >= percent * (sizes[ask][:, None] + sizes[None, :] - both)
+        group = {row["label"]: row["label"] for row in rows}
+
+        def root(label):
+            while group[label] != label:
+                label = group[label]
+            return label
+
+        for p, q in zip(*np.nonzero(close), strict=True):
+            left, right = rows[ask[p]], rows[q]
+            x, y = root(left["label"]), root(right["label"])
+            if x != y:
+                group[max(x, y)] = min(x, y)
+                a.append(left["_row"])
+                b.append(right["_row"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def linked_in_blocks(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of large bands.
+
+    Members of a band are dealt to blocks by hash. Those outside its largest component ask:
+    the askers of block i meet the members of block j, for all i and j.
+    """
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = open_.join(sets, "_row").withColumns(
+        {
+            "own": F.pmod(F.xxhash64("_row"), blocks).cast("int"),
+            "any": F.explode(F.sequence(F.lit(0), blocks - 1)),
+            "asks": F.col("label") != F.col("major"),
+        }
+    )
+    askers = dealt.filter("asks").select("band", F.col("own").alias("i"), F.col("any").alias("j"), "_row", "label", "asks", "_set")
+    members = dealt.select("band", F.col("any").alias("i"), F.col("own").alias("j"), "_row", "label", F.lit(False).alias("asks"), "_set")
+    sides = askers.union(members)
+    ordered = sides.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return ordered.mapInArrow(lambda batches: _compare(batches, percent), "a long, b long").distinct()
 
 
 def components(links: DataFrame, space: Workspace, step: str) -> DataFrame:
@@ -274,6 +349,9 @@ def link_groups(rows: DataFrame, text: str, doc_id: str, width: int, percent: in
     members = space.write("members", members.join(shared, "band").select("band", "_row", "centre"))
     sketches = sketched.select("_row", F.struct(*_SKETCH).alias("sketch"))
     most = most_differing_bits(percent / 100 - MARGIN)
+    wanted = members.select("_row").distinct().hint("merge")
+    texts = rows.select("_row", F.col(text).alias("text")).join(wanted, "_row")
+    sets = space.write("sets", texts.mapInArrow(_sets(width), "_row long, _set binary"))
 
     def close(pairs: DataFrame) -> DataFrame:
         return (
@@ -282,29 +360,41 @@ def link_groups(rows: DataFrame, text: str, doc_id: str, width: int, percent: in
             .filter(_differing("x", "y") <= most).select("a", "b")
         )
 
+    def mixed_bands(labels: DataFrame, step: str) -> DataFrame:
+        """Members of the bands that still hold several components, with the largest one's label."""
+        labelled = space.write(
+            f"labelled-{step}",
+            members.select("band", "_row").join(labels, "_row", "left")
+            .withColumn("label", F.coalesce("label", "_row")),
+        )
+        parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
+        mixed = space.write(
+            f"mixed-{step}",
+            parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("k"),
+                                     F.sum("n").alias("members"))
+            .filter("k > 1").select("band", F.col("top.label").alias("major"), "members"),
+        )
+        found = space.write(f"open-{step}", labelled.join(mixed, "band"))
+        space.drop(f"labelled-{step}")
+        return found
+
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
     stars = members.filter("_row <> centre").select(F.col("centre").alias("a"), F.col("_row").alias("b"))
-    pairs = space.write("pairs", close(space.write("stars", stars.distinct())))
-    links = verified(pairs, rows, text, width, percent, space, "first")
-    labels = components(links, space, "first")
-
-    # Bands whose members are still in different components: compare across components. All
-    # but the largest component of a band meet every member that is not of their own.
-    labelled = space.write(
-        "labelled",
-        members.select("band", "_row").join(labels, "_row", "left")
-        .withColumn("label", F.coalesce("label", "_row")),
-    )
-    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = space.write(
-        "mixed",
-        parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("k"))
-        .filter("k > 1").select("band", F.col("top.label").alias("major")),
-    )
-    open_ = space.write("open", labelled.join(mixed, "band").join(sketches, "_row"))
-    one = open_.filter("label <> major").select(
+    tested = space.write("tested-0", ordered(close(space.write("stars", stars.distinct()))))
+    links = verified(tested, sets, percent, space, "0")
+    labels = components(links, space, "0")
+    open_ = mixed_bands(labels, "0")
+    # What follows needs only the rows of such bands.
+    few = space.write("few", sets.join(open_.select("_row").distinct(), "_row", "left_semi"))
+    space.drop("sets")
+    # All but the largest component of a band meet every member that is not of their own.
+    small = open_.filter(F.col("members") <= LARGE_BAND).join(sketches, "_row")
+    one = small.filter("label <> major").select(
         "band", F.col("_row").alias("p"), F.col("label").alias("p_label"), F.col("sketch").alias("x")
     )
-    other = open_.select(
+    other = small.select(
         "band", F.col("_row").alias("q"), F.col("label").alias("q_label"),
         F.col("sketch").alias("y"), "major",
     )
@@ -313,11 +403,11 @@ def link_groups(rows: DataFrame, text: str, doc_id: str, width: int, percent: in
         & ((F.col("q_label") == F.col("major")) | (F.col("p") < F.col("q")))
         & (_differing("x", "y") <= most)
     )
-    again = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    again = ordered(across.select(F.col("p").alias("a"), F.col("q").alias("b"))).distinct()
     again = space.write("again", again.join(tested, ["a", "b"], "left_anti"))
-    more = verified(again, rows, text, width, percent, space, "second")
-    labels = components(links.union(more), space, "second")
+    more = verified(again, few, percent, space, "1")
+    large = space.write("blocks", linked_in_blocks(open_.filter(F.col("members") > LARGE_BAND), few, percent))
+    labels = components(links.union(more).union(large), space, "1")
 
     grouped = leaders.join(labels, "_row", "left").withColumn("label", F.coalesce("label", "_row"))
     ids = grouped.join(nodes.select(F.col("first.row").alias("_row"), "first"), "_row")
@@ -326,7 +416,7 @@ def link_groups(rows: DataFrame, text: str, doc_id: str, width: int, percent: in
         "settled",
         ids.join(groups, "label").select("_digest", "_size", F.col("best.row").alias("group_row"), "group_id"),
     )
-    for name in ("sketched", "shared", "members", "labelled", "open", "stars", "pairs"):
+    for name in ("sketched", "shared", "members", "stars", "few", "open-0", "again"):
         space.drop(name)
     return rows.join(settled, ["_digest", "_size"], "left").select(
         "_row", F.coalesce("group_row", "_row").alias("group_row"),
