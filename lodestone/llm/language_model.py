@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Workspace, byte_texts, fold, lower_ascii, table
+from lodestone.llm.common import Workspace, byte_texts, fold, lower_ascii, spans_of_bytes, table
 
 #: Bytes of context.
 ORDER = 5
@@ -71,10 +71,10 @@ def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(sums)], names=["key", "n"])
 
     for batch in batches:
-        keys, _ = context_keys([lower_ascii(t) for t in byte_texts(batch.column(0))])
-        held.append(np.unique(keys, return_counts=True))
-        if sum(len(k) for k, _ in held) > 2_000_000:
-            yield added()
+        for run in spans_of_bytes([lower_ascii(t) for t in byte_texts(batch.column(0))]):
+            held.append(np.unique(context_keys(run)[0], return_counts=True))
+            if sum(len(k) for k, _ in held) > 1_000_000:
+                yield added()
     if held:
         yield added()
 
@@ -270,8 +270,8 @@ def _score(model, frequent):
         for batch in batches:
             texts = [lower_ascii(t) for t in byte_texts(batch["_text"])]
             scores: list[float] = []
-            for start in range(0, len(texts), 64):
-                keys, counts = context_keys(texts[start : start + 64])
+            for run in spans_of_bytes(texts, 1 << 18):
+                keys, counts = context_keys(run)
                 lengths = code_lengths(orders, keys)
                 scores += np.add.reduceat(lengths, np.concatenate(([0], np.cumsum(counts)[:-1]))).tolist()
             totals, logs, known, rest = [], [], [], []
