@@ -1,9 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are sorted by key and cut into shards by the running total of their payload bytes,
-so what goes where depends on the records alone, not on partitions. The task of a shard
-rolls files by compressed size, makes new headers and digests, and writes under temporary
-names. A file counts only once the manifest, written by Spark when all tasks have ended,
+Records are sorted by id and cut into shards by the running total of their payload bytes,
+so what goes where depends on the records alone, not on partitions. Payloads are shuffled
+once, to the task of their shard, which files by compressed size, makes new headers and digests, and writes under temporary names. A file counts only once the manifest, written by Spark when all tasks have ended,
 names it and it has been renamed; a task that runs again writes other temporary names.
 """
 
@@ -16,12 +15,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Workspace, table
-from lodestone.llm.sharding import numbered
+from lodestone.operators.ordered import running_totals
 
 #: Payload bytes of a shard, which one task writes, and compressed bytes after which a file
 #: is full. On a cluster both are usually set to a gigabyte.
@@ -44,15 +45,15 @@ def record_id(key: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(_NAMES, key)}>"
 
 
-def build_record(page_id, url: str | None, payload: bytes, digest: str, refers_to, place: int) -> bytes:
-    """One record, uncompressed. Line breaks in a url are escaped so that no header can be faked."""
+def build_record(page_id, digest: str, url: str | None, payload: bytes, refers_to, copy: int) -> bytes:
+    """One record, uncompressed; ``copy`` tells rows apart that are all equal. Line breaks in a url are escaped so that no header can be faked."""
     target = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     block = http + f"Content-Length: {len(payload)}\r\n\r\n".encode() + (b"" if revisit else payload)
     headers = {
         "WARC-Type": "revisit" if revisit else "response",
-        "WARC-Record-ID": record_id(f"{page_id}:{place}"),
+        "WARC-Record-ID": record_id(f"{page_id}:{digest}:{url}:{copy}"),
         "WARC-Date": DATE,
         "WARC-Target-URI": target,
         "WARC-Page-ID": "" if page_id is None else str(page_id),
@@ -103,6 +104,7 @@ _MANIFEST = "file string, temporary string, shard long, records long, bytes long
 def _write(folder: str, file_bytes: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, done = None, []
+        mark, last, copy = (None, None, None), None, 0
         for batch in batches:
             for row in batch.to_pylist():
                 if roller is None or roller.shard != row["shard"]:
@@ -110,9 +112,14 @@ def _write(folder: str, file_bytes: int):
                         roller.close()
                         done += roller.done
                     roller = _Roller(folder, row["shard"], file_bytes)
-                payload = row["payload"] or b""
-                roller.add(build_record(row["page_id"], row["url"], payload, row["digest"],
-                                        row["refers_to"], row["_number"]))
+                if row["payload"] is None:
+                    mark = (row["page_id"], row["digest"], row["refers_to"])
+                    continue
+                key = (row["page_id"], row["digest"], row["url"])
+                copy = copy + 1 if key == last else 0
+                last = key
+                first = mark[2] if mark[:2] == key[:2] else None
+                roller.add(build_record(*key, row["payload"], first, copy))
         if roller:
             roller.close()
             done += roller.done
@@ -142,7 +149,7 @@ def _rename(folder: str):
 
 
 def revisits_of(rows: DataFrame, space: Workspace, least: int = LEAST_REVISIT) -> DataFrame:
-    """``_row, refers_to`` for rows (_row, page_id, digest, bytes) whose payload came before.
+    """``page_id, digest, refers_to`` of the payloads in rows (page_id, digest, bytes) that came before.
 
     Of equal payloads of ``least`` bytes or more the row with the smallest id is not a
     revisit, nor are rows that repeat that id or have no id.
@@ -155,9 +162,17 @@ def revisits_of(rows: DataFrame, space: Workspace, least: int = LEAST_REVISIT) -
     )
     # The groups have been written, so both sides of this join are plain shuffles and adaptive
     # execution can split a digest that many rows share.
-    return able.join(firsts, "digest").filter(F.col("page_id") != F.col("first")).select(
-        "_row", F.col("first").alias("refers_to")
-    )
+    later = able.join(firsts, "digest").filter(F.col("page_id") != F.col("first"))
+    return later.select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+
+
+def shard_starts(rows: DataFrame, shard_bytes: int) -> np.ndarray:
+    """The first id of each shard but the first; there is one for each ``shard_bytes``."""
+    sizes = rows.groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
+    shard = F.floor(F.col("bytes_before") / shard_bytes).alias("shard")
+    placed = running_totals(sizes, ["page_id"], ["bytes"]).select("page_id", shard)
+    firsts = placed.groupBy("shard").agg(F.min("page_id").alias("first")).orderBy("shard").collect()
+    return np.array([row["first"] for row in firsts[1:]], np.int64)
 
 
 def write_archives(
@@ -172,48 +187,38 @@ def write_archives(
 
     Rows are in the order of id, digest and url, nulls first. A null html is an empty payload,
     a null url becomes ``urn:page:<id>``, a null id is left out of the header; rows that repeat
-    each other are records of their own. An empty table gives no file and an empty manifest.
+    an id stay in one shard and are records of their own. An empty table gives no file and an
+    empty manifest. Other columns are not written.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    pages = pages.select("page_id", "url", payload.alias("payload"))
-    tagged = space.write(
-        "tagged",
-        pages.withColumns({"digest": F.sha2("payload", 256), "_row": F.monotonically_increasing_id()}),
-    )
-    narrow = tagged.select("_row", "page_id", "url", "digest", F.length("payload").cast("long").alias("bytes"))
-    order = space.write("order", numbered(narrow, ["page_id", "digest", "url"], space)[0])
-    # Payload bytes before a record decide its shard. They are added up in blocks of records.
-    sized = order.select("_row", "_number", "bytes", F.shiftright("_number", 12).alias("block"))
-    blocks = sized.groupBy("block").agg(F.sum("bytes").alias("bytes"))
-    at = sized.join(_bytes_before(blocks), "block").selectExpr(
-        "_row", "_number", "before + sum(bytes) over (partition by block order by _number) - bytes as at"
+    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    narrow = space.write("narrow", rows.select("page_id", "digest", F.length("payload").cast("long").alias("bytes")))
+    starts = shard_starts(narrow, shard_bytes)
+
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        low = np.iinfo(np.int64).min
+        return pd.Series(np.searchsorted(starts, ids.fillna(low).to_numpy(np.int64), side="right"))
+
+    # What a revisit refers to travels as a row of its own, ahead of the payloads it is about.
+    marks = revisits_of(narrow, space).select(
+        "page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
+        "digest", "refers_to",
     )
-    places = at.select("_row", "_number", F.floor(F.col("at") / shard_bytes).cast("long").alias("shard")).join(
-        revisits_of(order, space), "_row", "left"
-    )
-    places = space.write("places", places)
-    placed = tagged.join(places, "_row")
-    count = max(1, int(places.agg(F.max("shard")).first()[0] or 0) + 1)
+    stream = marks.unionByName(rows.withColumn("refers_to", F.lit(None).cast("long")))
+    placed = stream.withColumn("shard", shard_of(F.col("page_id").cast("long")))
+    keys = ["shard", "page_id", "digest", F.col("refers_to").isNull(), "url"]
+    count = len(starts) + 1
     written = space.write(
-        "manifest",
-        placed.repartitionByRange(count, "shard").sortWithinPartitions("shard", "_number")
+        "written",
+        placed.repartitionById(count, "shard").sortWithinPartitions(*keys)
         .mapInArrow(_write(folder, file_bytes), _MANIFEST),
     )
-    final = written.repartition(max(1, count // 8), "file").mapInArrow(_rename(folder), _MANIFEST).drop("temporary")
+    final = written.repartition(count, "file").mapInArrow(_rename(folder), _MANIFEST).drop("temporary")
     final.write.mode("overwrite").parquet(f"{folder}/manifest")
     return space.spark.read.schema(final.schema).parquet(f"{folder}/manifest")
 
 
-def _bytes_before(blocks: DataFrame) -> DataFrame:
-    """``block, before``: the bytes of all earlier blocks, by groups of blocks."""
-    group = F.shiftright("block", 12)
-    groups = blocks.groupBy(group.alias("group")).agg(F.sum("bytes").alias("bytes"))
-    starts = groups.selectExpr("group", "sum(bytes) over (order by group) - bytes as start")
-    return blocks.withColumn("group", group).join(starts, "group").selectExpr(
-        "block", "start + sum(bytes) over (partition by group order by block) - bytes as before"
-    )
-
-
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers and block of each gzip member of an archive."""
     while content:
@@ -272,7 +277,7 @@ def read_archives(folder: str, manifest: DataFrame) -> DataFrame:
 
     Each task opens its own files, one at a time. Payloads of revisits are null.
     """
-    files = manifest.select("file", "sha256").repartition(F.col("file"))
+    files = manifest.select("file", "sha256").repartition(max(1, manifest.count()), "file")
     return files.mapInArrow(
         _read(folder),
         "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
