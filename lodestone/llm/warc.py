@@ -46,7 +46,10 @@ def record_id(key: str) -> str:
 
 
 def build_record(page_id, digest: str, url: str | None, payload: bytes, refers_to, copy: int) -> bytes:
-    """One record, uncompressed; ``copy`` tells rows apart that are all equal. Line breaks in a url are escaped so that no header can be faked."""
+    """One record, uncompressed; ``copy`` tells rows apart that are all equal.
+
+    Line breaks in a url are escaped, so that no header can be faked.
+    """
     target = (url or f"urn:page:{page_id}").replace("\r", "%0D").replace("\n", "%0A")
     revisit = refers_to is not None
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
