@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import bisect_left, insort
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,6 +38,8 @@ RATE = 2.0
 #: Under so many pieces per length that is left, rounding down would place next to nothing:
 #: the last pieces are placed one by one.
 PIECES_PER_LENGTH = 8
+#: Pieces of the scaled-down table that best fit makes columns from.
+SCALED_PIECES = 50_000
 
 
 # ---------------------------------------------------------------- the plan, on the driver
@@ -130,8 +132,30 @@ def configurations(demand: np.ndarray) -> list[tuple[dict[int, int], float]]:
     return solution
 
 
+def best_fit_fillings(demand: np.ndarray) -> list[tuple[dict[int, int], float]]:
+    """Fillings that best fit gives for the demand scaled down to ``SCALED_PIECES``, scaled up."""
+    scale = max(1, int(-(-demand.sum() // SCALED_PIECES)))
+    runs: list[tuple[int, int, int, int, int]] = []
+    left = demand.astype(np.int64) // scale
+    _best_fit(left, np.zeros(len(demand), np.int64), runs, defaultdict(list), len(demand) - 1, 0)
+    fillings: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
+    for length, _, sequence, n, _ in runs[:-1]:
+        fillings[sequence][length] += n
+    times = Counter(tuple(sorted(filling.items())) for filling in fillings.values())
+    return [(dict(filling), float(n * scale)) for filling, n in times.items()]
+
+
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
-    """A place for each of ``histogram[length]`` pieces of each length."""
+    """A place for each of ``histogram[length]`` pieces of each length.
+
+    The program is rounded from two starting points, its own columns and those of best fit,
+    which is hard to beat where sizes are spread evenly; the plan of fewer sequences is taken.
+    """
+    plans = [_rounded(histogram, capacity, columns) for columns in (configurations, best_fit_fillings)]
+    return min(plans, key=lambda plan: plan.sequences)
+
+
+def _rounded(histogram: dict[int, int], capacity: int, columns: Callable) -> Plan:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] += n
@@ -157,7 +181,7 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     while left.any() and (not rounds or left.sum() > PIECES_PER_LENGTH * np.count_nonzero(left)):
         rounds += 1
         before = int(left.sum())
-        for filling, amount in configurations(left.astype(float)):
+        for filling, amount in columns(left.astype(float)):
             times = min(int(amount), *(int(left[length]) // n for length, n in filling.items()))
             if times:
                 place(filling, times)
