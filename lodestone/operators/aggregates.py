@@ -118,11 +118,17 @@ def dose_response(rows: DataFrame, dose: str, value: str, *, conditions: int) ->
         ((F.count(F.lit(1)) == conditions) & never_rises).alias("nonincreasing_mean"))
 
 
-def budget_audit(rows: DataFrame, reference: str, final_k: int, token_budget: int) -> DataFrame:
-    """Per policy: contexts over a limit, and seeds that differ from the reference policy's."""
+def budget_audit(
+    rows: DataFrame, reference: str, final_k: int, token_budget: int, max_actions: int
+) -> DataFrame:
+    """Per policy: contexts over a limit or with too many graph actions, and seeds that differ
+    from the reference policy's."""
     base = rows.filter(F.col("policy") == reference).select("qid", F.col("seed_ids").alias("base"))
-    over = (F.size("final_ids") > final_k) | (
-        (F.col("evidence_tokens") > token_budget) & (F.size("final_ids") > 1))
+    over = (
+        (F.size("final_ids") > final_k)
+        | (F.col("evidence_tokens") > token_budget)
+        | (F.size("selected_ids") > max_actions)
+    )
     return rows.join(base, "qid").groupBy("policy").agg(
         F.count_if(over).alias("budget_violations"),
         F.count_if(F.col("seed_ids") != F.col("base")).alias("seed_mismatches"))

@@ -269,7 +269,7 @@ def corrupt(
 
     def draw(*parts: Column) -> Column:
         text = F.concat_ws("|", F.lit(str(seed)), *parts)
-        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+        return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
     low, high = F.least("source", "target"), F.greatest("source", "target")
     merged = (
@@ -284,11 +284,11 @@ def corrupt(
     )
     if false_ratio <= 0:
         return both_directions(kept)
-    wanted = kept.agg(F.bround(F.count(F.lit(1)) * F.lit(false_ratio)).cast("long").alias("n"))
+    # The number of false links follows the edges before any is dropped.
+    wanted = merged.agg(F.bround(F.count(F.lit(1)) * F.lit(false_ratio)).cast("long").alias("n"))
     n_passages = passages.agg(F.count(F.lit(1)).alias("n")).scalar()
-    tries = wanted.select(F.greatest(F.lit(100).cast("long"), 30 * F.col("n")).alias("tries"))
-    drawn = tries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("tries") - 1)).alias("i"))
-    drawn = drawn.repartition("i").select(
+    tries = max(100, 30 * wanted.head()["n"])
+    drawn = edges.sparkSession.range(tries).withColumnRenamed("id", "i").select(
         "i",
         (draw(F.lit("left"), F.col("i")) % n_passages).alias("left_pos"),
         (draw(F.lit("right"), F.col("i")) % n_passages).alias("right_pos"),

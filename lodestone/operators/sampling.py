@@ -14,9 +14,14 @@ def draw_key(seed: object, identifier: Column) -> Column:
 def stratified_sample(frame: DataFrame, group: str, identifier: str, quotas: DataFrame, seed: object) -> DataFrame:
     """Per group the ``quota`` rows with the smallest hash; ``quotas(group, quota)``.
 
+    A group that cannot fill its quota is an error, never a short sample.
+
     The rank limit is applied before the shuffle, so a group that is a third of
     the table still sends at most its quota per input partition.
     """
+    short = short_groups(frame, group, quotas).limit(5).collect()
+    if short:
+        raise ValueError(f"not enough rows for the quota of {group}: {[row[group] for row in short]}")
     order = Window.partitionBy(group).orderBy("_draw", identifier)
     largest = quotas.agg(F.max("quota").alias("q")).head()["q"] or 0
     return (

@@ -133,7 +133,7 @@ def threshold_for_recall(scored: DataFrame, target: float) -> DataFrame:
 def _draw(seed: int, replicate: Column, draw: Column, n: Column) -> Column:
     """Position drawn by resample ``replicate`` in its draw number ``draw``."""
     text = F.concat_ws("|", F.lit(str(seed)), replicate.cast("string"), draw.cast("string"))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") % n
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long") % n
 
 
 def resample(values: DataFrame, samples: int, *, seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:

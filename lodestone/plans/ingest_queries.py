@@ -178,8 +178,9 @@ def sk05(spark, sf_dir):
     by_query = events.select(name.alias("query_id"), "event_type").distinct().groupBy("query_id").agg(
         F.collect_list(F.struct(F.col("event_type").alias("policy"))).alias("rows"))
     whole = F.to_json(F.struct("query_id", "rows", F.col("rows").alias("traces")))
-    torn = F.substring(whole, 1, 25)
-    lines = by_query.select(F.explode(F.array(whole, torn)).alias("value"))
+    torn = F.substring(whole, 1, 25)  # each query has a file of its own that ends in a torn line
+    lines = by_query.select(
+        F.col("query_id").alias("file"), F.posexplode(F.array(whole, torn)).alias("line", "value"))
     done = checkpoint.complete_bundles(checkpoint.parse_bundles(lines, BUNDLES), kinds)
     return checkpoint.pending_queries(by_query.select("query_id"), done)
 

@@ -310,11 +310,11 @@ def mt12(spark, sf_dir):
     return slices(spark, sf_dir)
 
 
-@query("mt13_budget_audit", compose(f"""select policy, count_if(len(final_ids) > {FINAL_K} or (evidence_tokens > {BUDGET} and len(final_ids) > 1)) as budget_violations,
+@query("mt13_budget_audit", compose(f"""select policy, count_if(len(final_ids) > {FINAL_K} or evidence_tokens > {BUDGET} or len(selected_ids) > 5) as budget_violations,
       count_if(seed_ids <> base) as seed_mismatches from (select t.*, b.seed_ids as base from traces t join traces b on b.qid = t.qid and b.policy = 'hybrid')
       group by policy""", CONTEXTS))
 def mt13(spark, sf_dir):
-    return aggregates.budget_audit(traces(spark, sf_dir), "hybrid", FINAL_K, BUDGET)
+    return aggregates.budget_audit(traces(spark, sf_dir), "hybrid", FINAL_K, BUDGET, 5)
 
 
 _MEASURED = {

@@ -36,9 +36,9 @@ def hr02(spark, sf_dir):
 
 
 @query("hr02_bm25_topk", compose(
-    "select qid, pid, rank, round(bm25_score, 6) as bm25_score from bm25_rank where rank <= 10"))
+    "select qid, pid, rank, round(bm25_score, 6) as bm25_score from bm25_rank"))
 def hr02k(spark, sf_dir):
-    return bm25_ranked(spark, sf_dir)
+    return bm25_ranked(spark, sf_dir, shared.RETRIEVAL.bm25_k)
 
 
 def bm25_ranked(spark, sf_dir, k=10):
@@ -49,10 +49,10 @@ def bm25_ranked(spark, sf_dir, k=10):
 
 
 @query("hr03_dense_topk", compose(
-    "select qid, pid, rank, round(dense_score, 6) as dense_score from dense_rank where rank <= 10"))
+    "select qid, pid, rank, round(dense_score, 6) as dense_score from dense_rank"))
 def hr03(spark, sf_dir):
     ranked = retrieval.retrieve(
-        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode="dense", k=10,
+        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode="dense", k=shared.RETRIEVAL.dense_k,
         config=shared.RETRIEVAL)
     return ranked.select("qid", "pid", F.col("rank").cast("long").alias("rank"), *_r("dense_score"))
 
@@ -144,16 +144,23 @@ def hr07(spark, sf_dir):
     return ranked.select("qid", "pid", F.col("rank").cast("long").alias("rank"), *_r("rerank_score"))
 
 
+# A whole list of each mode: a fused list has no limit of its own.
+_LENGTHS = {
+    "bm25": shared.RETRIEVAL.bm25_k, "dense": shared.RETRIEVAL.dense_k,
+    "rrf_fusion": shared.RETRIEVAL.bm25_k + shared.RETRIEVAL.dense_k, "hybrid": shared.RETRIEVAL.rerank_k,
+}
+
+
 @query("hr08_modes", compose("""select mode, count(*) as n_rows, round(sum(score), 4) as total, sum(rank * (pid % 97))::bigint as mix from (
-      select 'bm25' as mode, pid, rank, bm25_score as score from bm25_rank where rank <= 20
-      union all select 'dense', pid, rank, dense_score from dense_rank where rank <= 20
-      union all select 'hybrid', pid, rank, rerank_score from ranking where rank <= 20
-      union all select 'rrf_fusion', pid, rank, rrf_score from fused where rank <= 20) group by mode"""))
+      select 'bm25' as mode, pid, rank, bm25_score as score from bm25_rank 
+      union all select 'dense', pid, rank, dense_score from dense_rank
+      union all select 'hybrid', pid, rank, rerank_score from ranking
+      union all select 'rrf_fusion', pid, rank, rrf_score from fused) group by mode"""))
 def hr08(spark, sf_dir):
     parts = None
     for mode in retrieval.MODES:
         ranked = retrieval.retrieve(
-            shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode=mode, k=20,
+            shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode=mode, k=_LENGTHS[mode],
             config=shared.RETRIEVAL).withColumn("mode", F.lit(mode))
         parts = ranked if parts is None else parts.unionByName(ranked)
     return parts.groupBy("mode").agg(

@@ -78,7 +78,7 @@ def lr10(spark, sf_dir):
 
 
 def _draw(b: str, i: str) -> str:
-    return f"('0x' || substr(md5('42|' || {b} || '|' || {i}), 1, 8))::bigint"
+    return f"('0x' || substr(md5('42|' || {b} || '|' || {i}), 1, 15))::bigint"
 
 
 _THRESHOLD = {

@@ -15,19 +15,34 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def parse_bundles(lines: DataFrame, schema: str) -> DataFrame:
-    """Text lines to bundles; a line that does not parse is null and dropped (a torn last write)."""
-    return lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("b")).select("b.*").filter(
-        F.col("query_id").isNotNull())
+    """Lines (file, line, value) to bundles with their file and line.
+
+    The last line of a file may be torn by a stopped write and is then left out; any other
+    line that does not parse is an error.
+    """
+    last = lines.groupBy("file").agg(F.max("line").alias("last"))
+    parsed = lines.select(
+        "file", "line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("b")
+    ).join(last, "file")
+    broken = F.col("b").isNull() | F.col("b.query_id").isNull()
+    wrong = F.raise_error(F.concat(F.lit("malformed bundle in "), "file", F.lit(" line "), F.col("line").cast("string")))
+    checked = parsed.withColumn("keep", F.when(broken & (F.col("line") < F.col("last")), wrong.cast("boolean")).otherwise(~broken))
+    return checked.filter("keep").select("file", "line", "b.*")
 
 
 def complete_bundles(bundles: DataFrame, policies: Sequence[str]) -> DataFrame:
-    """Bundles whose rows and traces both cover exactly the wanted policies; last one per query."""
+    """The last bundle of each query that has one row and one trace for every wanted policy."""
     wanted = F.array_sort(F.array(*[F.lit(p) for p in policies]))
 
     def names(column: str):
-        return F.array_sort(F.array_distinct(F.transform(column, lambda r: r["policy"])))
+        return F.array_sort(F.transform(column, lambda r: r["policy"]))
 
-    return bundles.filter((names("rows") == wanted) & (names("traces") == wanted)).dropDuplicates(["query_id"])
+    others = [c for c in bundles.columns if c not in ("query_id", "file", "line")]
+    return (
+        bundles.filter((names("rows") == wanted) & (names("traces") == wanted))
+        .groupBy("query_id").agg(F.max_by(F.struct(*others), F.struct("file", "line")).alias("b"))
+        .select("query_id", "b.*")
+    )
 
 
 def pending_queries(queries: DataFrame, done: DataFrame) -> DataFrame:

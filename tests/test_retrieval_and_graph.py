@@ -168,13 +168,18 @@ def test_embedding_cache_embeds_each_text_once(spark, tmp_path):
 
 
 def test_bundles_and_stream(spark, tmp_path):
-    lines = spark.createDataFrame([
-        ('{"query_id":"a","rows":[{"policy":"x"},{"policy":"y"}],"traces":[{"policy":"y"},{"policy":"x"}]}',),
-        ('{"query_id":"b","rows":[{"policy":"x"}],"traces":[{"policy":"x"}]}',), ('{"query_id":"c","ro',)], "value string")
+    whole = '{"query_id":"a","rows":[{"policy":"x"},{"policy":"y"}],"traces":[{"policy":"y"},{"policy":"x"}]}'
+    twice = whole.replace('"a"', '"d"').replace('{"policy":"x"},', '{"policy":"x"},{"policy":"x"},')
+    part = '{"query_id":"b","rows":[{"policy":"x"}],"traces":[{"policy":"x"}]}'
+    values = [whole, part, twice, '{"query_id":"c","ro']
+    lines = spark.createDataFrame([("f", i, v) for i, v in enumerate(values)], "file string, line long, value string")
     from lodestone.schemas import BUNDLES
 
     done = checkpoint.complete_bundles(checkpoint.parse_bundles(lines, BUNDLES), ["x", "y"])
     assert [r["query_id"] for r in done.collect()] == ["a"]
+    torn = spark.createDataFrame([("f", 9, part)], lines.schema).union(lines)
+    with pytest.raises(Exception, match="malformed bundle in f line 3"):
+        checkpoint.parse_bundles(torn, BUNDLES).collect()
     source = tmp_path / "in"
     source.mkdir()
     (source / "one.json").write_text('{"query_id":"a"}\n{"query_id":"b"}\n')
