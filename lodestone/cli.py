@@ -27,7 +27,7 @@ def convert(spark, source: str, target: str, kind: str) -> None:
         support = ingest.paragraph_support(paragraphs)
         names = F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>")))
     else:
-        rows = jsonl.read_json_array(spark, source, schemas.MULTI_HOP).withColumnRenamed("_id", "record")
+        rows = jsonl.read_multi_hop(spark, source).withColumnRenamed("_id", "record")
         pairs = ingest.context_pairs(rows)
         support = ingest.multi_hop_support(
             pairs, rows.select("record", F.explode("supporting_facts").alias("f")).select("record", "f.title"))

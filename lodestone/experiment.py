@@ -93,9 +93,29 @@ def open_world(run: Run, questions: DataFrame, support: DataFrame, mode: str = "
         support=support, has_links=True, retrieval=config.retrieval, graph=config.graph, learning=config.learning)
 
 
+def measured_gains(run: Run, questions: DataFrame) -> DataFrame | None:
+    """``(qid, evidence_ids, target, delta_f1)`` in the numbers of this run, from the file of the settings."""
+    if not run.config.counterfactual_path:
+        return None
+    rows = jsonl.read_counterfactuals(run.spark, run.config.counterfactual_path)
+    known = run.passages.select("id", "pid")
+    held = (
+        rows.select("query_id", "candidate_id", "evidence_ids", F.explode("evidence_ids").alias("id"))
+        .join(known, "id").groupBy("query_id", "candidate_id", "evidence_ids")
+        .agg(F.array_sort(F.collect_set("pid")).alias("held"))
+    )
+    return (
+        rows.join(held, ["query_id", "candidate_id", "evidence_ids"])
+        .join(questions.select(F.col("id").alias("query_id"), "qid"), "query_id")
+        .join(known.withColumnsRenamed({"id": "candidate_id", "pid": "target"}), "candidate_id")
+        .select("qid", F.col("held").alias("evidence_ids"), "target", "delta_f1")
+    )
+
+
 def train(run: Run) -> training.Models:
     questions, support = load_questions(run, run.config.train_path)
-    models = training.train(open_world(run, questions, support), run.config.learning)
+    models = training.train(
+        open_world(run, questions, support), run.config.learning, measured_gains(run, questions))
     folder = Path(run.config.output_dir)
     folder.mkdir(parents=True, exist_ok=True)
     learning.save_models(str(folder / "models.json"), **models.heads, preflight=models.preflight, keep_going=models.keep_going)

@@ -19,7 +19,6 @@ PASSAGE_PREFIX, ENTITY_PREFIX = "p:", "e:"
 ENTITY_MODES = ("provided", "title_links", "explicit_only")
 FALSE_LINK_CONFIDENCE = 0.5
 MAX_TITLE_TOKENS = 8
-MAX_PASSAGE_ENTITIES = 128
 
 
 def passage_node(pid: Column) -> Column:
@@ -231,7 +230,7 @@ def title_mentions(passages: DataFrame) -> DataFrame:
 def offline_entities(passages: DataFrame) -> DataFrame:
     """``(pid, entities)``: own title, titles found in the text and surface forms.
 
-    Sorted by name, first 128 kept; the list limit is part of the definition.
+    Sorted by name; all of them.
     """
     own = passages.select("pid", tx.normalize("title").alias("entity"))
     surface = passages.repartition("pid").select(
@@ -243,7 +242,7 @@ def offline_entities(passages: DataFrame) -> DataFrame:
     gathered = (
         merged.filter(F.col("entity") != "")
         .groupBy("pid")
-        .agg(F.slice(F.array_sort(F.collect_set("entity")), 1, MAX_PASSAGE_ENTITIES).alias("entities"))
+        .agg(F.array_sort(F.collect_set("entity")).alias("entities"))
     )
     return passages.select("pid").join(gathered, "pid", "left").select(
         "pid", F.coalesce("entities", F.array().cast("array<string>")).alias("entities")

@@ -28,7 +28,6 @@ from lodestone.operators.statistics import bootstrap_threshold
 SCALE_FLOOR = 1e-8
 CONSTANT_FLOOR = 1e-5
 PLATT_EPOCHS = 800
-PARTITION_ROWS = 100_000
 CALIBRATORS = ("identity", "platt", "isotonic")
 REDUNDANCY_LIMIT, HUB_LIMIT, CONFIDENCE_LIMIT, GAIN_LIMIT = 0.45, 8, 0.10, 0.01
 
@@ -117,7 +116,7 @@ def standardizer(rows: DataFrame, features: Sequence[str]) -> tuple[list[float],
 
 
 def _descend(
-    rows: DataFrame, n_rows: int, weights: np.ndarray, bias: np.ndarray, n: np.ndarray,
+    rows: DataFrame, weights: np.ndarray, bias: np.ndarray, n: np.ndarray,
     epochs: int, config: LearningConfig, free: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Full-batch gradient descent for several heads over the same inputs.
@@ -126,19 +125,18 @@ def _descend(
     one row weight per head (weight 0 leaves a row out of that head). ``n`` divides
     each head's gradient; ``free`` marks the weights that may move (all by default).
 
-    A pass adds up gradients in every partition and ships one row from each. A
-    counted table of at most ``PARTITION_ROWS`` rows is a single partition, where
-    all passes can follow each other without a job per pass.
+    ``rows`` is a training sample of bounded size (``LearningConfig.training_rows``), so
+    all passes follow each other in one task instead of a job for each pass.
     """
     heads, width = weights.shape
     rate, l2 = config.learning_rate, config.l2
     free = np.ones((heads, width)) if free is None else free
 
-    def descend_in_task(batches, w, b, passes, whole):
+    def descend_in_task(batches):
         def matrix(batch, name, columns):
             return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
 
-        def gradient(parts):
+        def gradient(parts, w, b):
             total = np.zeros((heads, width + 1))
             for x, y, c in parts:
                 p = 1.0 / (1.0 + np.exp(-np.clip(x @ w.T + b, -30.0, 30.0)))
@@ -147,39 +145,29 @@ def _descend(
                 total[:, -1] += error.sum(axis=0)
             return total
 
-        parts = (
+        parts = [
             (matrix(batch, "x", width), matrix(batch, "y", heads), matrix(batch, "c", heads))
             for batch in batches
-        )
-        if whole:
-            parts = list(parts)
-            for _ in range(passes):
-                step = gradient(parts)
-                w = w - rate * (step[:, :-1] / n[:, None] + l2 * w) * free
-                b = b - rate * step[:, -1] / n
-            result = np.concatenate([w, b[:, None]], axis=1)
-        else:
-            result = gradient(parts)
+        ]
+        w, b = weights, bias
+        for _ in range(epochs):
+            step = gradient(parts, w, b)
+            w = w - rate * (step[:, :-1] / n[:, None] + l2 * w) * free
+            b = b - rate * step[:, -1] / n
+        result = np.concatenate([w, b[:, None]], axis=1)
         yield pa.RecordBatch.from_arrays(
             [pa.array([result.ravel().tolist()], type=pa.list_(pa.float64()))], names=["values"]
         )
 
-    def run(passes: int, whole: bool) -> np.ndarray:
-        w, b = weights, bias
-        parts = rows.mapInArrow(
-            lambda batches: descend_in_task(batches, w, b, passes, whole), "values array<double>"
-        ).collect()
-        return np.sum([part["values"] for part in parts], axis=0).reshape(heads, width + 1)
-
-    if n_rows <= PARTITION_ROWS:
-        rows = rows.coalesce(1)
-        fitted = run(epochs, True)
-        return fitted[:, :-1], fitted[:, -1]
-    for _ in range(epochs):
-        total = run(1, False)
-        weights = weights - rate * (total[:, :-1] / n[:, None] + l2 * weights) * free
-        bias = bias - rate * total[:, -1] / n
-    return weights, bias
+    values = rows.coalesce(1).mapInArrow(descend_in_task, "values array<double>").head()["values"]
+    fitted = np.array(values).reshape(heads, width + 1)
+    return fitted[:, :-1], fitted[:, -1]
+
+
+def training_sample(rows: DataFrame, most: int) -> DataFrame:
+    """About ``most`` rows at most: those with the smallest hash, the same at every size."""
+    share = int(min(1.0, most / max(rows.count(), 1)) * (1 << 30))
+    return rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < share)
 
 
 def fit_logistic(
@@ -188,7 +176,7 @@ def fit_logistic(
 ) -> dict[str, Logistic]:
     """One class-balanced logistic model per label column, all fitted in the same passes."""
     features, labels = list(features), list(labels)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = training_sample(rows, config.training_rows).persist(StorageLevel.MEMORY_AND_DISK)
     mean, scale = standardizer(rows, features)
     counts = rows.agg(
         F.count(F.lit(1)).alias("n"),
@@ -220,7 +208,7 @@ def fit_logistic(
             F.array(*[balanced(label) for label in open_labels]).alias("c"),
         ).persist(StorageLevel.MEMORY_AND_DISK)
         weights, bias = _descend(
-            table, n, np.zeros((len(open_labels), len(features))), np.zeros(len(open_labels)),
+            table, np.zeros((len(open_labels), len(features))), np.zeros(len(open_labels)),
             np.full(len(open_labels), float(n)), config.epochs, config,
         )
         table.unpersist()
@@ -235,7 +223,7 @@ def fit_platt(scored: DataFrame, folds: Sequence[Column], config: LearningConfig
 
     Equal (probability, label) rows are merged first; the fit only needs their number.
     """
-    counted = scored.groupBy("p", "y").agg(
+    counted = training_sample(scored, config.training_rows).groupBy("p", "y").agg(
         *[F.sum(mask.cast("double")).alias(f"c{i}") for i, mask in enumerate(folds)]
     )
     p = clip_probability(F.col("p"))
@@ -273,7 +261,7 @@ def fit_platt(scored: DataFrame, folds: Sequence[Column], config: LearningConfig
     # a fold with one class keeps its starting point: all its row weights are 0
     free = np.diag(weights)
     w, bias = _descend(
-        table, table.count(), np.diag(weights), bias, sizes, epochs, config, free
+        table, np.diag(weights), bias, sizes, epochs, config, free
     )
     table.unpersist()
     logit.unpersist()

@@ -142,6 +142,7 @@ def rescue(
     preflight: Gate | None = None,
     keep_going: Gate | None = None,
     history: list[DataFrame] | None = None,
+    enforce_budget: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Run one policy for all queries: ``(traces, actions)``.
 
@@ -149,7 +150,7 @@ def rescue(
     evidence held, score, choose, check the budget. A gate (``rows -> rows with
     probability and opens``) is asked before any edge is read. Steps are bounded
     by ``max_actions`` and cut with a checkpoint. ``history`` collects what each step
-    chose, one table per step.
+    chose, one table per step. Without ``enforce_budget`` no action is refused for its tokens.
     """
     retrieval, graph = world.retrieval, world.graph
     seeds = world.seeds()
@@ -209,7 +210,7 @@ def rescue(
         held = (
             evidence.join(costs, "pid").groupBy("qid").agg(F.sum("est_tokens").alias("held_tokens"))
         )
-        over = F.col("held_tokens") + F.col("est_tokens") > retrieval.token_budget
+        over = F.lit(enforce_budget) & (F.col("held_tokens") + F.col("est_tokens") > retrieval.token_budget)
         reason = F.when(~F.col("opens"), STOP_GATE).when(F.col("path_id").isNull(), STOP_EMPTY)
         if selector == "oracle":
             reason = reason.when(~F.col("is_missing_support"), STOP_ORACLE)

@@ -12,9 +12,8 @@ from lodestone.operators import features, learning, policies, traversal
 from lodestone.operators.policies import World
 from lodestone.session import cut_lineage
 
-# Label columns per head, extra training candidates per query.
+# Label columns per head.
 HEAD_LABELS = {"p_add": "y_add", "p_complete": "y_complete", "p_reader": "y_reader", "p_harmful": "y_harmful"}
-SECOND_STATE_CANDIDATES = 50
 
 
 @dataclass(frozen=True)
@@ -42,7 +41,7 @@ def candidate_rows(world: World, paths: DataFrame | None = None, gains: DataFram
     """Feature rows with labels from two states per query.
 
     First the seeds; then, where a missing support passage is reachable, the seeds
-    plus the first such passage, of which the first fifty candidates are used.
+    plus the first such passage, of which the first ``second_state_candidates`` of the settings are used.
     """
     seeds = cut_lineage(world.seeds())
     graph = world.graph
@@ -62,7 +61,7 @@ def candidate_rows(world: World, paths: DataFrame | None = None, gains: DataFram
         seeds.join(reached.select("qid"), "qid", "left_semi").unionByName(reached.select("qid", "pid", "seed_no")))
     more = traversal.candidate_paths(
         world.walk_edges, later, max_hops=graph.max_hops, cap=graph.frontier_cap, has_links=world.has_links
-    ).filter(F.col("place") <= SECOND_STATE_CANDIDATES)
+    ).filter(F.col("place") <= world.learning.second_state_candidates)
     held = later.select("qid", "pid")
     second = learning.candidate_labels(
         policies.score_candidates(world, more, held, None), world.support, held, gains)
@@ -85,7 +84,8 @@ def gate_states(world: World, heads: dict[str, learning.Logistic]) -> tuple[Data
         return rows.withColumns({name: model.probability() for name, model in heads.items()})
 
     history: list[DataFrame] = []
-    _, actions = policies.rescue(world, "mrv", scorer=scorer, history=history)
+    # The roll-out has no token budget: a full context is a state that gates must know, too.
+    _, actions = policies.rescue(world, "mrv", scorer=scorer, history=history, enforce_budget=False)
     states = cut_lineage(actions.select(
         F.struct("qid", "step").alias("state"), "qid", "step", F.posexplode("evidence_before").alias("seed_no", "pid")))
     keyed = states.select(F.col("state").alias("qid"), "pid", "seed_no")
@@ -121,15 +121,18 @@ def _no_previous(rows: DataFrame) -> DataFrame:
     return rows.select("qid", *[F.lit(None).cast("double").alias(name) for name in names])
 
 
-def train(world: World, config: LearningConfig) -> Models:
-    """Split the queries, fit the heads on one part and the gates on both."""
+def train(world: World, config: LearningConfig, gains: DataFrame | None = None) -> Models:
+    """Split the queries, fit the heads on one part and the gates on both.
+
+    ``gains(qid, evidence_ids, target, delta_f1)``, where given, replaces derived gain labels.
+    """
     counts = world.support.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     sized = world.queries.select("qid").join(counts, "qid", "left").select(
         "qid", F.coalesce("n", F.lit(0)).alias("support_count"))
     split = cut_lineage(learning.calibration_split(sized, config.calibration_fraction, config.seed))
     fitting = restrict(world, split.filter("part = 'train'"))
     held_out = restrict(world, split.filter("part = 'calibration'"))
-    heads = fit_heads(candidate_rows(fitting), config)
+    heads = fit_heads(candidate_rows(fitting, gains=gains), config)
     first, later = gate_states(fitting, heads)
     first_held, later_held = gate_states(held_out, heads)
     every = features.GATE_FEATURES + features.CONTINUE_FEATURES

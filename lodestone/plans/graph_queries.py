@@ -157,7 +157,7 @@ def jn09(spark, sf_dir):
 
 
 @query("gb08_offline_entities", compose(f"""select pid, len(e) as n, md5(array_to_string(e, '|')) as digest from (
-      select p.pid, coalesce(e, []) as e from passages p left join (select pid, list_sort(list(entity))[:128] as e from (
+      select p.pid, coalesce(e, []) as e from passages p left join (select pid, list_sort(list(entity)) as e from (
         select distinct pid, entity from (
           select pid, {sql.norm('title')} as entity from passages
           union all select pid, phrase from title_hits

@@ -9,7 +9,7 @@ PASSAGES = (
 QUERIES = (
     "id string, question string, answer string, answers array<string>, "
     "supporting_passage_ids array<string>, "
-    "supporting_facts array<struct<title:string,sent_idx:int>>, "
+    "supporting_facts array<string>, "
     "evidence_triples array<array<string>>, evidences array<array<string>>, "
     "supporting_paragraph_indices array<int>, "
     "passage_indices array<struct<pid:string,idx:int>>, "
@@ -29,9 +29,11 @@ COUNTERFACTUALS = (
 )
 MULTI_HOP = (
     "_id string, question string, answer string, type string, "
-    "context array<struct<title:string,sentences:array<string>>>, "
-    "supporting_facts array<struct<title:string,idx:int>>, evidences array<array<string>>"
+    "context array<string>, supporting_facts array<string>, evidences array<array<string>>"
 )
+# Entries of the two lists come as objects or as [title, sentences] and [title, index] pairs.
+CONTEXT_ENTRY = "title string, sentences array<string>"
+FACT_ENTRY = "title string, sent_idx int, idx int"
 PARAGRAPHS = (
     "id string, question string, answer string, answer_aliases array<string>, answerable boolean, "
     "paragraphs array<struct<idx:int,title:string,paragraph_text:string,is_supporting:boolean>>"

@@ -42,6 +42,50 @@ def _filled(name: str, kind: str) -> Column:
     return F.coalesce(F.col(name), empty).alias(name)
 
 
+def _parsed(entry: Column, schema: str) -> tuple[Column, Column, Column]:
+    """Object form, pair form and whether the entry is a pair, of an entry kept as JSON text."""
+    checked = {"mode": "FAILFAST"}
+    pair = F.ltrim(entry).startswith("[")
+    return (
+        F.from_json(F.when(~pair, entry), schema, checked),
+        F.from_json(F.when(pair, entry), "array<string>", checked),
+        pair,
+    )
+
+
+def context_entries(column: str) -> Column:
+    """``array<struct<title, sentences>>`` from objects or ``[title, [sentence, ...]]`` pairs."""
+    def entry(raw: Column) -> Column:
+        whole, parts, pair = _parsed(raw, schemas.CONTEXT_ENTRY)
+        sentences = F.from_json(parts[1], "array<string>", {"mode": "FAILFAST"})
+        return F.struct(
+            F.when(pair, parts[0]).otherwise(whole["title"]).alias("title"),
+            F.when(pair, sentences).otherwise(whole["sentences"]).alias("sentences"),
+        )
+
+    return F.transform(column, entry)
+
+
+def fact_entries(column: str) -> Column:
+    """``array<struct<title, sent_idx>>`` from objects or ``[title, index]`` pairs."""
+    def entry(raw: Column) -> Column:
+        whole, parts, pair = _parsed(raw, schemas.FACT_ENTRY)
+        index = F.coalesce(whole["sent_idx"], whole["idx"])
+        return F.struct(
+            F.when(pair, parts[0]).otherwise(whole["title"]).alias("title"),
+            F.when(pair, parts[1].cast("int")).otherwise(index).alias("sent_idx"),
+        )
+
+    return F.transform(column, entry)
+
+
+def read_multi_hop(spark: SparkSession, path: str) -> DataFrame:
+    """Multi-hop source records with parsed context and facts."""
+    return read_json_array(spark, path, schemas.MULTI_HOP).withColumns(
+        {"context": context_entries("context"), "supporting_facts": fact_entries("supporting_facts")}
+    )
+
+
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
     rows = read_jsonl(spark, path, schemas.PASSAGES).select(
         "id", _filled("title", "string"), _filled("text", "string"),
@@ -57,7 +101,9 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
         "id", _filled("question", "string"),
         F.coalesce("answers", F.when(F.col("answer").isNotNull(), F.array("answer")), none).alias("answers"),
         _filled("supporting_passage_ids", "array<string>"),
-        _filled("supporting_facts", "array<struct<title:string,sent_idx:int>>"),
+        F.coalesce(
+            fact_entries("supporting_facts"), F.array().cast("array<struct<title:string,sent_idx:int>>")
+        ).alias("supporting_facts"),
         F.transform(
             F.filter(
                 F.coalesce("evidence_triples", "evidences", F.array().cast("array<array<string>>")),

@@ -67,7 +67,10 @@ def test_convert_multi_hop(spark, tmp_path):
         "_id": "1", "question": "Q?", "answer": "A",
         "context": [{"title": "T", "sentences": ["one", "two"]}, {"title": "U", "sentences": ["three"]}, {"title": "t", "sentences": ["ONE  two"]}],
         "supporting_facts": [{"title": "T", "idx": 0}]}
-    (tmp_path / "in.json").write_text(json.dumps([record, {**record, "_id": "2"}]), encoding="utf-8")
+    pairs = {
+        **record, "_id": "2", "supporting_facts": [["T", 0]],
+        "context": [[entry["title"], entry["sentences"]] for entry in record["context"]]}
+    (tmp_path / "in.json").write_text(json.dumps([record, pairs]), encoding="utf-8")
     cli.convert(spark, str(tmp_path / "in.json"), str(tmp_path / "out"), "hotpot")
     assert spark.read.json(str(tmp_path / "out" / "passages")).count() == 2
     queries = spark.read.json(str(tmp_path / "out" / "queries")).collect()

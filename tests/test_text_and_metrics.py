@@ -119,10 +119,13 @@ def brute_force_descent(x, y, epochs, rate=0.05, l2=0.01):
     return w, b
 
 
-@pytest.mark.parametrize("partition_rows", [100_000, 10])
-def test_logistic_matches_direct_descent(spark, monkeypatch, partition_rows):
-    monkeypatch.setattr(learning, "PARTITION_ROWS", partition_rows)
-    epochs = 40 if partition_rows > 10 else 4
+def test_training_sample_is_bounded(spark):
+    assert learning.training_sample(spark.range(5000), 1000).count() < 1200
+    assert learning.training_sample(spark.range(500), 1000).count() == 500
+
+
+def test_logistic_matches_direct_descent(spark):
+    epochs = 40
     rows = spark.range(200).select(F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b"),
                                    (F.sin("id") + 0.3 * F.cos(F.col("id") * 5) > 0.2).cast("int").alias("y"))
     model = learning.fit_logistic(rows, ["a", "b"], ["y"], learning.LearningConfig(epochs=epochs))["y"]
