@@ -14,7 +14,6 @@ coded in the next shorter one.
 
 from __future__ import annotations
 
-import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,8 +28,8 @@ from lodestone.llm.common import Workspace, byte_texts, fold, lower_ascii, spans
 
 #: Bytes of context.
 ORDER = 5
-#: Nodes of one order that the trie keeps; about 40 bytes each
-#: are broadcast, so the trie has 150 MB at most.
+#: Nodes of one order that the trie keeps; about 40 bytes each are broadcast, so the trie
+#: has 150 MB at most.
 NODES = 600_000
 #: End of text: a byte that UTF-8 never uses.
 END = 255
@@ -265,7 +264,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _score(model, frequent):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = pickle.loads(model.value)
+        orders = model.value
         common = frequent.value
         for batch in batches:
             texts = [lower_ascii(t) for t in byte_texts(batch["_text"])]
@@ -330,7 +329,7 @@ def score_documents(
     often = counts.filter(F.col("n") >= max(FREQUENT * all_tokens, 2)).toArrow()
     logs = np.log10((often["n"].to_numpy() + 1) / denominator)
     common = dict(zip(often["token"].to_pylist(), logs.tolist(), strict=True))
-    model = context.broadcast(pickle.dumps(count_trie(learnt, "body", space)))
+    model = context.broadcast(count_trie(learnt, "body", space))
     numbered = plain.withColumn("_row", F.monotonically_increasing_id()).select("id", "train", "_row", F.col("body").alias("_text"))
     schema = T.StructType(
         [
