@@ -20,7 +20,7 @@ from lodestone.operators import (
 )
 from lodestone.operators.ordered import positions
 from lodestone.operators.policies import POLICIES, World
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, path_exists
 from lodestone.sources import jsonl, sinks
 from lodestone.streaming.checkpoint import pending_queries
 
@@ -202,7 +202,7 @@ def evaluate(run: Run, models: training.Models, wanted: list[str] | None = None)
     names = policy_names(config, wanted)
     folder = f"{config.output_dir}/results-{fingerprint(config, names)[:16]}"
     questions, support = load_questions(run, config.eval_path)
-    if config.evaluation.resume and Path(folder, "_SUCCESS").exists():
+    if config.evaluation.resume and path_exists(run.spark, f"{folder}/_SUCCESS"):
         done = run.spark.read.parquet(folder).groupBy("query_id").agg(F.count_distinct("policy").alias("n")).filter(
             F.col("n") == len(names))
         open_questions = pending_queries(questions.withColumnRenamed("id", "query_id"), done).withColumnRenamed("query_id", "id")

@@ -1,4 +1,4 @@
-"""Context selection: fixed ranking, graph rescue loops and seed-centred expansion."""
+"""Context selection: fixed ranking, loops that add neighbours and seed-centred expansion."""
 
 from __future__ import annotations
 

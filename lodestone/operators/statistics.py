@@ -183,7 +183,12 @@ def bootstrap_mean(
 def bootstrap_threshold(
     scored: DataFrame, target: float, *, samples: int = 400, quantile: float = 0.10, seed: int = 42
 ) -> DataFrame:
-    """Recall threshold made cautious: a low quantile over resampled positives, never above the plain one."""
+    """Recall threshold made cautious: a low quantile over resampled positives, never above the plain one.
+
+    Without samples it is the plain threshold.
+    """
+    if samples <= 0:
+        return threshold_for_recall(scored, target)
     positives = positions(scored.filter(F.col("y") == 1).select("id", "p"), ["p", "id"])
     drawn = resample(positives, samples, seed=seed)
     counted = (

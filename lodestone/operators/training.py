@@ -132,6 +132,8 @@ def train(world: World, config: LearningConfig, gains: DataFrame | None = None)
     split = cut_lineage(learning.calibration_split(sized, config.calibration_fraction, config.seed))
     fitting = restrict(world, split.filter("part = 'train'"))
     held_out = restrict(world, split.filter("part = 'calibration'"))
+    if split.limit(2).count() < 2:  # a single query serves for both
+        fitting = held_out = world
     heads = fit_heads(candidate_rows(fitting, gains=gains), config)
     first, later = gate_states(fitting, heads)
     first_held, later_held = gate_states(held_out, heads)

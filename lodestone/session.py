@@ -51,6 +51,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in whatever store the path names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    return bool(target.getFileSystem(settings).exists(target))
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise a step of an iterative job in the shared folder."""
     shared_folder(frame.sparkSession)

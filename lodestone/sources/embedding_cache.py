@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.session import path_exists
+
 Embed = Callable[[DataFrame], DataFrame]
 
 
@@ -27,9 +28,9 @@ def embed_with_cache(spark: SparkSession, texts: DataFrame, path: str, embed: Em
     New vectors are appended to the Parquet folder and read back with the old ones.
     """
     schema = "key string, vector array<double>"
-    try:
+    if path_exists(spark, path):
         cached = spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # the folder does not exist yet
+    else:
         cached = spark.createDataFrame([], schema)
     embed(missing_texts(texts, cached)).select("key", "vector").write.mode("append").parquet(path)
     stored = spark.read.schema(schema).parquet(path).groupBy("key").agg(F.first("vector").alias("vector"))
