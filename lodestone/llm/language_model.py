@@ -6,10 +6,10 @@ shorter context, from which the bytes already ruled out are excluded. Escapes ar
 by method D: half a count of each different byte that the context has seen goes to them. A text's score is the log10 probability
 of its bytes and of its end.
 
-What a byte costs depends on its context alone once the trie is fixed, so scoring is table
-look-ups over whole batches. The trie has a budget of nodes, as usual for this model:
-the rarest contexts of the highest orders go first, and a byte whose context has gone is
-coded in the next shorter one.
+What a byte costs depends on it and its longest context alone once the trie is counted. So
+each different pair of them in any text, trained or scored, is priced once by joins of
+tables, order by order; the trie is never in one place and nothing of it is left out. The
+prices of frequent pairs are broadcast, the others are joined to the texts that have them.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from lodestone.llm.common import Workspace, byte_texts, fold, lower_ascii, spans
 
 #: Bytes of context.
 ORDER = 5
-#: Nodes of one order that the trie keeps; about 40 bytes each are broadcast, so the trie
-#: has 150 MB at most.
-NODES = 600_000
+#: Contexts with their byte that make up this share of all bytes or more are broadcast,
+#: 10,000,000 at most; what has a smaller share is joined.
+FREQUENT_CONTEXTS = 1e-7
 #: End of text: a byte that UTF-8 never uses.
 END = 255
 #: Tokens that make up this share of all training tokens or more are broadcast, 500,000 at most.
@@ -58,27 +58,33 @@ def context_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the longest contexts, added up for some batches before they are given on."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Counts of the longest contexts in training texts and in all texts, added up for some
+    batches before they are given on."""
+    held: list[tuple[np.ndarray, np.ndarray, bool]] = []
 
     def added() -> pa.RecordBatch:
-        keys = np.concatenate([k for k, _ in held])
-        counts = np.concatenate([n for _, n in held])
+        keys = np.concatenate([k for k, _, _ in held])
+        counts = np.concatenate([n for _, n, _ in held])
+        learnt = np.concatenate([np.full(len(k), train) for k, _, train in held])
         held.clear()
         unique, at = np.unique(keys, return_inverse=True)
-        sums = np.bincount(at, counts).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(sums)], names=["key", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(unique.view(np.int64)), *[pa.array(np.bincount(at, n, len(unique)).astype(np.int64)) for n in (counts * learnt, counts)]],
+            names=["key", "n", "uses"],
+        )
 
     for batch in batches:
-        for run in spans_of_bytes([lower_ascii(t) for t in byte_texts(batch.column(0))]):
-            held.append(np.unique(context_keys(run)[0], return_counts=True))
-            if sum(len(k) for k, _ in held) > 1_000_000:
-                yield added()
+        texts, trains = [lower_ascii(t) for t in byte_texts(batch["text"])], batch["train"].to_pylist()
+        for train in (True, False):
+            for run in spans_of_bytes([t for t, k in zip(texts, trains, strict=True) if k == train]):
+                held.append((*np.unique(context_keys(run)[0], return_counts=True), train))
+                if sum(len(k) for k, _, _ in held) > 1_000_000:
+                    yield added()
     if held:
         yield added()
 
 
-# ---------------------------------------------------------------- the trie
+# ---------------------------------------------------------------- the trie of a few texts, in memory
 
 
 class Index:
@@ -200,40 +206,105 @@ def code_lengths(orders: list[Order], keys: np.ndarray) -> np.ndarray:
     return score
 
 
-def count_trie(texts: DataFrame, text: str, space: Workspace, nodes: int = NODES) -> list[Order]:
-    """Count the contexts of all texts and build the trie.
+# ---------------------------------------------------------------- the trie as tables
+
+
+def _suffix(key: Column, order: int) -> Column:
+    """The byte of a key and the ``order`` bytes before it."""
+    return key.bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1))
+
 
-    Every order is counted whole. Of an order with more nodes than the budget, whole contexts
-    go, the rarest first: those whose count is below the least bound (a power of the square
-    root of two) that fits. Longer contexts of a context that goes have gone as well.
+def _context(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 8)
+
+
+def _log10(x: Column) -> Column:
+    """log10, and 0 where nothing is left, so that nothing is charged."""
+    return F.when(x > 0, F.log10(x)).otherwise(F.lit(0.0))
+
+
+def context_costs(longest: DataFrame, space: Workspace) -> DataFrame:
+    """``key, uses, cost`` of each row of ``longest(key, n, uses)``: log10 probability of the
+    last byte of the key after the bytes before it, by the trie of all keys with their ``n``.
+
+    Rows of every order are spread by key or context, and no context has more than 256 rows.
+    A key that its order has not seen goes on as its suffix in the next lower one; what that
+    costs (``left``) depends on the suffix alone, so each suffix is priced once.
     """
+    nodes = {ORDER: longest.filter("n > 0").select("key", "n")}
+    for order in range(ORDER - 1, -1, -1):
+        shorter = nodes[order + 1].groupBy(_suffix(F.col("key"), order).alias("key")).agg(F.sum("n").alias("n"))
+        nodes[order] = space.write(f"nodes{order}", shorter)
+    unseen = {ORDER: longest.filter("n = 0").select("key")}
+    for order in range(ORDER - 1, -1, -1):
+        suffixes = unseen[order + 1].select(_suffix(F.col("key"), order).alias("key")).distinct()
+        unseen[order] = space.write(f"unseen{order}", suffixes.join(nodes[order], "key", "left_anti"))
+    known = nodes[0].count()  # 256 at most
+    # Bytes that no training text has: equally likely among all.
+    left = unseen[0].select("key", F.lit(-float(np.log10(max(256 - known, 1)))).alias("left"))
+    sizes = nodes[0].groupBy(_context(F.col("key")).alias("context")).agg(
+        F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds")
+    )
+    for order in range(1, ORDER + 1):
+        # What is left of the next shorter context without the bytes seen in this one.
+        lower = nodes[order - 1].select(F.col("key").alias("suffix"), F.col("n").alias("lower_n"))
+        longer = nodes[order].withColumn("suffix", _suffix(F.col("key"), order - 1)).join(lower, "suffix")
+        contexts = longer.groupBy(_context(F.col("key")).alias("context")).agg(
+            F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds"), F.sum("lower_n").alias("out")
+        )
+        # A context of ``order`` bytes has the form of a key of the order below.
+        short = F.lit(0).cast("long") if order == 1 else _suffix(F.col("context"), order - 2)
+        below = sizes.select(
+            F.col("context").alias("short"), F.col("size").alias("lower_size"), F.col("kinds").alias("lower_kinds")
+        )
+        rest, kinds_left = F.col("lower_size") - F.col("out"), F.col("lower_kinds") - F.col("kinds")
+        contexts = space.write(
+            f"contexts{order}",
+            contexts.withColumn("short", short).join(below, "short").select(
+                "context", "size", "kinds", _log10(2 * rest).alias("less_total"),
+                F.when(kinds_left > 0, F.log10(kinds_left) - _log10(2 * rest)).otherwise(F.lit(0.0)).alias("less_escape"),
+            ),
+        )
+        total = F.coalesce("less_total", F.log10(2 * F.col("lower_size")))
+        escape = F.coalesce(
+            "less_escape", F.log10("lower_kinds") - F.log10(2 * F.col("lower_size")), F.lit(0.0)
+        )
+        open_ = unseen[order].select(
+            "key", _context(F.col("key")).alias("context"), _suffix(F.col("key"), order - 1).alias("suffix")
+        ).join(contexts.select("context", "less_total", "less_escape"), "context", "left").withColumn("short", short)
+        left = space.write(
+            f"left{order}",
+            open_.join(below, "short", "left").join(lower, "suffix", "left")
+            .join(left.withColumnRenamed("key", "suffix"), "suffix", "left")
+            .select(
+                "key",
+                F.when(F.col("lower_n").isNotNull(), F.log10(2 * F.col("lower_n") - 1) - total)
+                .otherwise(escape + F.col("left")).alias("left"),
+            ),
+        )
+        sizes = contexts.select("context", "size", "kinds")
+    inside = longest.withColumn("context", _context(F.col("key"))).join(sizes, "context", "left").join(left, "key", "left")
+    total = F.log10(2 * F.col("size"))
+    return inside.select(
+        "key", "uses",
+        F.when(F.col("n") > 0, F.log10(2 * F.col("n") - 1) - total)
+        .otherwise(F.coalesce(F.log10("kinds") - total, F.lit(0.0)) + F.col("left")).alias("cost"),
+    )
+
+
+def count_costs(texts: DataFrame, space: Workspace) -> DataFrame:
+    """``key, uses, cost`` of all contexts of ``texts(text, train)``, counted in those with ``train``."""
     longest = space.write(
         "contexts",
-        texts.select(F.col(text).alias("text")).mapInArrow(_count_contexts, "key long, n long")
-        .groupBy("key").agg(F.sum("n").alias("n")),
+        texts.mapInArrow(_count_contexts, "key long, n long, uses long")
+        .groupBy("key").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")),
     )
-    levels, least = [], 1.0
+    costs = space.write("costs", context_costs(longest, space))
     for order in range(ORDER + 1):
-        mask = (1 << (8 * (order + 1))) - 1
-        shorter = longest.groupBy(F.col("key").bitwiseAND(F.lit(mask)).alias("key")).agg(F.sum("n").alias("n"))
-        shorter = shorter.withColumn("context", F.shiftrightunsigned("key", 8))
-        sizes = shorter.groupBy("context").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("kinds"))
-        step = F.floor(F.log2("size") * 2)
-        steps = sizes.groupBy(step.alias("step")).agg(F.sum("kinds").alias("n")).orderBy(F.desc("step")).collect()
-        held, bound = 0, 0.0
-        for row in steps:  # one row for each power
-            held += row["n"]
-            if held > nodes:
-                bound = 2 ** ((row["step"] + 1) / 2)
-                break
-        least = max(least, bound)
-        kept = shorter.join(sizes.filter(F.col("size") >= least).select("context"), "context")
-        part = kept.select("key", "n").toArrow()
-        keys, counts = part["key"].to_numpy().astype(np.int64).view(np.uint64), part["n"].to_numpy()
-        turn = np.argsort(keys)
-        levels.append((keys[turn], counts[turn]))
+        for name in ("nodes", "unseen", "contexts", "left"):
+            space.drop(f"{name}{order}")
     space.drop("contexts")
-    return build_trie(levels)
+    return costs
 
 
 # ---------------------------------------------------------------- tokens
@@ -262,16 +333,32 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield added()
 
 
-def _score(model, frequent):
+def _keys_of_texts(keys: np.ndarray, texts: np.ndarray, n: int) -> pa.ListArray:
+    """A list of the different keys with their number for each of ``n`` texts."""
+    turn = np.lexsort((keys, texts))
+    keys, texts = keys[turn], texts[turn]
+    first = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1]))[: len(keys)])
+    pairs = pa.StructArray.from_arrays(
+        [pa.array(keys[first].view(np.int64)), pa.array(np.diff(np.append(first, len(keys))), pa.int64())], names=["key", "n"]
+    )
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(texts[first], np.arange(n + 1)), pa.int32()), pairs)
+
+
+def _score(costs, frequent):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = model.value
+        index, cost = costs.value
         common = frequent.value
         for batch in batches:
             texts = [lower_ascii(t) for t in byte_texts(batch["_text"])]
             scores: list[float] = []
+            rare_keys, rare_texts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for run in spans_of_bytes(texts, 1 << 18):
                 keys, counts = context_keys(run)
-                lengths = code_lengths(orders, keys)
+                at = index.find(keys)
+                lengths = np.where(at >= 0, cost[at], 0.0) if len(cost) else np.zeros(len(keys))
+                missing = np.flatnonzero(at < 0)
+                rare_keys.append(keys[missing])
+                rare_texts.append(len(scores) + np.searchsorted(np.cumsum(counts), missing, side="right"))
                 scores += np.add.reduceat(lengths, np.concatenate(([0], np.cumsum(counts)[:-1]))).tolist()
             totals, logs, known, rest = [], [], [], []
             for text in texts:
@@ -288,8 +375,9 @@ def _score(model, frequent):
                     pa.array(totals, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()),
                     pa.array(scores, pa.float64()),
                     pa.array(rest, pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int64())]))),
+                    _keys_of_texts(np.concatenate(rare_keys), np.concatenate(rare_texts), len(texts)),
                 ],
-                names=[*batch.schema.names[:-1], "n_tokens", "_known", "_logs", "score", "_rest"],
+                names=[*batch.schema.names[:-1], "n_tokens", "_known", "_logs", "_score", "_rest", "_keys"],
             )
 
     return score
@@ -329,34 +417,50 @@ def score_documents(
     often = counts.filter(F.col("n") >= max(FREQUENT * all_tokens, 2)).toArrow()
     logs = np.log10((often["n"].to_numpy() + 1) / denominator)
     common = dict(zip(often["token"].to_pylist(), logs.tolist(), strict=True))
-    model = context.broadcast(count_trie(learnt, "body", space))
+    costs = count_costs(plain.select(F.col("body").alias("text"), "train"), space)
+    # In the same way 1 / FREQUENT_CONTEXTS at most.
+    least = max(FREQUENT_CONTEXTS * (costs.agg(F.sum("uses")).first()[0] or 0), 2)
+    part = costs.filter(F.col("uses") >= least).select("key", "cost").toArrow()
+    keys = part["key"].to_numpy().astype(np.int64).view(np.uint64)
+    priced = context.broadcast((Index(keys), part["cost"].to_numpy()))
     numbered = plain.withColumn("_row", F.monotonically_increasing_id()).select("id", "train", "_row", F.col("body").alias("_text"))
     schema = T.StructType(
         [
             *numbered.schema.fields[:-1],
             T.StructField("n_tokens", T.LongType()), T.StructField("_known", T.LongType()),
-            T.StructField("_logs", T.DoubleType()), T.StructField("score", T.DoubleType()),
+            T.StructField("_logs", T.DoubleType()), T.StructField("_score", T.DoubleType()),
             T.StructField("_rest", T.ArrayType(T.StructType(
                 [T.StructField("token", T.BinaryType()), T.StructField("n", T.LongType())]))),
+            T.StructField("_keys", T.ArrayType(T.StructType(
+                [T.StructField("key", T.LongType()), T.StructField("n", T.LongType())]))),
         ]
     )
-    scored = space.write("scored", numbered.mapInArrow(_score(model, context.broadcast(common)), schema))
+    scored = space.write("scored", numbered.mapInArrow(_score(priced, context.broadcast(common)), schema))
     rare = scored.select("_row", F.inline("_rest").alias("token", "times")).join(
         counts.filter(F.col("n") < max(FREQUENT * all_tokens, 2)), "token", "left"
     )
-    sums = rare.groupBy("_row").agg(
-        F.sum(F.col("times") * log_share(F.coalesce("n", F.lit(0)))).alias("rare_logs"),
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-    )
+    sums = rare.select(
+        "_row",
+        (F.col("times") * log_share(F.coalesce("n", F.lit(0)))).alias("rare_logs"),
+        F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("rare_known"),
+        F.lit(0.0).alias("rare_score"),
+    ).unionByName(
+        scored.select("_row", F.inline("_keys").alias("key", "times"))
+        .join(costs.filter(F.col("uses") < least), "key")
+        .select(
+            "_row", F.lit(0.0).alias("rare_logs"), F.lit(0).cast("long").alias("rare_known"),
+            (F.col("times") * F.col("cost")).alias("rare_score"),
+        )
+    ).groupBy("_row").agg(*[F.sum(c).alias(c) for c in ("rare_logs", "rare_known", "rare_score")])
     end_log = float(np.log10((ends + 1) / denominator))
-    return scored.drop("_rest").join(sums, "_row", "left").select(
+    return scored.drop("_rest", "_keys").join(sums, "_row", "left").select(
         F.col("id").alias(doc_id),
         (~F.col("train")).alias("held_out"),
         "n_tokens",
         (F.col("_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(all_tokens).cast("long").alias("train_tokens"),
         (F.col("_logs") + F.coalesce("rare_logs", F.lit(0.0)) + F.lit(end_log)).alias("base_score"),
-        "score",
+        (F.col("_score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -391,6 +391,23 @@ def test_probabilities_of_a_context_sum_to_one():
         assert abs((10 ** language_model.code_lengths(orders, ends)).sum() - 1) < 1e-9
 
 
+def test_no_context_is_cut(spark):
+    draw = np.random.default_rng(5)
+    texts = [bytes(draw.integers(97, 123, 20_000, np.uint8)).decode() for _ in range(50)]
+    texts.append("".join(t[100:150] for t in texts) + "?!")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.score for r in language_model.score_documents(rows, F.col("doc_id") < 50).collect()}
+    keys = np.concatenate([language_model.context_keys([low(t)])[0] for t in texts[:50]])
+    levels = []
+    for order in range(language_model.ORDER + 1):
+        levels.append(np.unique(keys & np.uint64((1 << (8 * (order + 1))) - 1), return_counts=True))
+    assert len(levels[-1][0]) > 900_000
+    orders = language_model.build_trie(levels)
+    for i in (0, 49, 50):
+        wanted = language_model.code_lengths(orders, language_model.context_keys([low(texts[i])])[0]).sum()
+        assert abs(found[i] - wanted) < 1e-6 * abs(wanted)
+
+
 # ---------------------------------------------------------------- fitted models
 
 
