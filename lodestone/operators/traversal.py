@@ -208,6 +208,33 @@ def candidate_paths(
     return frontier_cap(best_paths(found), cap)
 
 
+def reachable(edges: DataFrame, seeds: DataFrame, *, max_hops: int = 2) -> DataFrame:
+    """``(qid, target)`` of every passage within ``max_hops`` of a query's seeds, without stop or cap.
+
+    Only distinct (query, node, hops) travel from level to level. A walk that meets a node
+    twice can be shortened, so these are the ends of all simple paths.
+    """
+    links = edges.select("source", "target")
+    frontier = seeds.select("qid", passage_node(F.col("pid")).alias("node"), F.lit(0).alias("hops")).distinct()
+    barred = frontier.select("qid", "node")
+    known = frontier
+    hops = F.col("hops") + F.when(is_passage(F.col("target")), F.lit(1)).otherwise(F.lit(0))
+    for _ in range(2 * max_hops):
+        frontier = cut_lineage(
+            frontier.filter(F.col("hops") < max_hops)
+            .join(links, F.col("node") == F.col("source"))
+            .select("qid", F.col("target").alias("node"), hops.alias("hops"))
+            .distinct()
+            .join(known, ["qid", "node", "hops"], "left_anti")
+        )
+        known = known.unionByName(frontier)
+    return (
+        known.filter(is_passage(F.col("node"))).select("qid", "node").distinct()
+        .join(barred, ["qid", "node"], "left_anti")
+        .select("qid", passage_of(F.col("node")).alias("target"))
+    )
+
+
 def best_paths(found: DataFrame) -> DataFrame:
     """One path per (query, target): fewest hops, then confidence, then smallest path id."""
     path_id = F.array_join("nodes", "->")

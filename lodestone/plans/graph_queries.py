@@ -244,7 +244,8 @@ def gt03(spark, sf_dir):
     from q group by qid""", WALK))
 def gt05(spark, sf_dir):
     here = shared.world(spark, sf_dir)
-    reached = traversal.rescuable(shared.seed_paths(spark, sf_dir), here.support, here.seeds())
+    reached = traversal.rescuable(
+        traversal.reachable(shared.walk_edges(spark, sf_dir), here.seeds(), max_hops=MAX_HOPS), here.support, here.seeds())
     return here.queries.select("qid").join(reached.withColumn("rescuable", F.lit(1)), "qid", "left").select(
         "qid", F.coalesce("rescuable", F.lit(0)).alias("rescuable"))
 
@@ -264,8 +265,7 @@ def gt06(spark, sf_dir):
     support = shared.support(spark, sf_dir)
     walk = (F.col("qid") * 100_000_000 + F.col("pid")).alias("walk")
     seeds = support.select(walk.alias("qid"), "pid", F.lit(1).alias("seed_no"))
-    paths = traversal.candidate_paths(
-        shared.walk_edges(spark, sf_dir), seeds, max_hops=MAX_HOPS, cap=CAP, has_links=False)
+    paths = traversal.reachable(shared.walk_edges(spark, sf_dir), seeds, max_hops=MAX_HOPS)
     pairs = support.select("qid", "pid", walk).join(
         support.select("qid", F.col("pid").alias("other")), "qid").filter("pid <> other")
     hit = pairs.join(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, packing, retrieval, traversal
+from lodestone.plans import graph_queries
 from lodestone.sources.embedding_cache import embed_with_cache
 from lodestone.streaming import checkpoint
 
@@ -131,6 +132,21 @@ def test_search_equals_queue_on_random_graphs(spark, max_hops, cap):
         assert found == queue_search(adjacency, ps, max_hops, cap), q
 
 
+def test_pair_recall_and_rescue_see_past_the_frontier_cap(spark, monkeypatch):
+    links = [list(range(1, 701))] + [[] for _ in range(700)]
+    frame = passages_of(spark, [(i, i, "t", "x", [f"only {i}"], links[i]) for i in range(701)])
+    edges = traversal.with_degrees(graph.build_edges(frame, max_df_ratio=0.5)).cache()
+    support = spark.createDataFrame([(7, 0), (7, 699)], "qid long, pid long")
+    monkeypatch.setattr(graph_queries.shared, "support", lambda *_: support)
+    monkeypatch.setattr(graph_queries.shared, "walk_edges", lambda *_: edges)
+    row = graph_queries.gt06(spark, "")
+    assert tuple(row.head()) == (2, 2, 1, 1)
+    seeds = spark.createDataFrame([(7, 0, 1)], "qid long, pid long, seed_no int")
+    reached = traversal.reachable(edges, seeds, max_hops=2)
+    assert {r["target"] for r in reached.collect()} == {str(i) for i in range(1, 701)}
+    assert traversal.rescuable(reached, support, seeds).count() == 1
+
+
 def test_title_links_and_corruption(spark):
     rows = passages_of(spark, [(i, i, f"Title {i}", "Title 1 and Other Name", [], [(i + 1) % 9]) for i in range(9)])
     assert graph.build_edges(rows, mode="title_links", max_df_ratio=1.0).count() < graph.build_edges(rows, max_df_ratio=1.0).count()
