@@ -8,21 +8,24 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import dataclass
-from pathlib import Path
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.config import RunConfig
 from lodestone.operators import (
     aggregates, audit, graph, learning, metrics, packing, policies, retrieval, statistics, training, traversal,
 )
+from lodestone.operators.graph import Damage, Linking
+from lodestone.operators.learning import Descent, GateRules
 from lodestone.operators.ordered import positions
-from lodestone.operators.policies import POLICIES, World
-from lodestone.session import cut_lineage, path_exists
-from lodestone.sources import jsonl, sinks
-from lodestone.streaming.checkpoint import pending_queries
+from lodestone.operators.packing import Context
+from lodestone.operators.policies import POLICIES, Worth, World
+from lodestone.operators.retrieval import Depths
+from lodestone.operators.traversal import Reach
+from lodestone.session import cut_lineage, path_exists, read_text, write_text
+from lodestone.settings import Files, Report, Settings
+from lodestone.sources import jsonl, ranges, sinks
 
 CLASSIC = ("bm25", "dense", "rrf_fusion")
 BASELINE, PROPOSED = "hybrid", "mrv_gated"
@@ -31,21 +34,27 @@ MEASURES = ("support_recall", "full_evidence", "graph_actions", "harmful_expansi
 
 @dataclass
 class Run:
-    config: RunConfig
+    settings: Settings
     spark: SparkSession
     passages: DataFrame
     corpus: retrieval.Corpus
     edges: DataFrame
     walk_edges: DataFrame
     vectors: DataFrame
+    #: What had to be left out, by name.
+    notes: dict[str, int] = field(default_factory=dict)
 
 
-def open_run(spark: SparkSession, config: RunConfig) -> Run:
-    """Read the corpus once; build the token table, the graph and the passage vectors."""
-    raw = jsonl.read_passages(spark, config.corpus_path)
+def open_run(spark: SparkSession, settings: Settings) -> Run:
+    """Read the corpus once; build the token table, the graph and the passage vectors.
+
+    Links to ids that the corpus does not have cannot be edges; ``notes`` counts them.
+    """
+    raw = jsonl.read_passages(spark, settings[Files].corpus)
     numbered = cut_lineage(
         positions(raw, ["id"]).withColumn("pos", F.col("position").cast("long")).withColumn("pid", F.col("pos")).drop("position"))
     ids = numbered.select(F.col("id").alias("linked_id"), F.col("pid").alias("linked"))
+    unknown = numbered.select(F.explode("links").alias("linked_id")).join(ids, "linked_id", "left_anti").count()
     links = (
         numbered.select("pid", F.posexplode("links").alias("place", "linked_id")).join(ids, "linked_id")
         .groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("place", "linked"))).alias("l"))
@@ -54,15 +63,16 @@ def open_run(spark: SparkSession, config: RunConfig) -> Run:
         numbered.drop("links").join(links, "pid", "left")
         .withColumn("links", F.coalesce("links", F.array().cast("array<bigint>"))))
     corpus = retrieval.Corpus(cut_lineage(retrieval.build_corpus(passages, persist=False).tokens))
-    g = config.graph
+    linking, damage = settings[Linking], settings[Damage]
     edges = graph.build_edges(
-        passages, mode=g.entity_mode, min_df=g.min_entity_df, max_df_ratio=g.max_entity_df_ratio)
-    if g.edge_dropout > 0 or g.false_edge_ratio > 0:
+        passages, mode=linking.entities, min_df=linking.least_df, max_df_ratio=linking.most_share)
+    if damage.dropout > 0 or damage.false_links > 0:
         edges = graph.corrupt(
-            edges, passages, dropout=g.edge_dropout, false_ratio=g.false_edge_ratio, seed=g.seed)
+            edges, passages, dropout=damage.dropout, false_ratio=damage.false_links, seed=damage.seed)
     edges = cut_lineage(edges)
     vectors = cut_lineage(retrieval.hash_embeddings(corpus.tokens, "pid", prefix=retrieval.PASSAGE_PREFIX))
-    return Run(config, spark, passages, corpus, edges, cut_lineage(traversal.with_degrees(edges)), vectors)
+    return Run(settings, spark, passages, corpus, edges, cut_lineage(traversal.with_degrees(edges)), vectors,
+               {"links_to_unknown_passages": unknown})
 
 
 def load_questions(run: Run, path: str) -> tuple[DataFrame, DataFrame]:
@@ -81,56 +91,71 @@ def load_questions(run: Run, path: str) -> tuple[DataFrame, DataFrame]:
 def open_world(run: Run, questions: DataFrame, support: DataFrame, mode: str = "hybrid") -> World:
     from lodestone.functions import text as tx
 
-    config = run.config
+    settings = run.settings
     asked = questions.select("qid", "question")
     query_vectors = cut_lineage(retrieval.hash_embeddings(
         asked.select("qid", tx.tokens("question").alias("tokens")), "qid", prefix=retrieval.QUERY_PREFIX))
     ranking = cut_lineage(retrieval.retrieve(
-        run.corpus, asked, mode=mode, k=config.retrieval.rerank_k, config=config.retrieval))
+        run.corpus, asked, mode=mode, k=settings[Depths].fused, depths=settings[Depths]))
     return World(
         tokens=run.corpus.tokens, edges=run.edges, walk_edges=run.walk_edges, queries=asked, ranking=ranking,
         similarity=lambda pairs: retrieval.dense_similarity(pairs, run.vectors, query_vectors),
-        support=support, has_links=True, retrieval=config.retrieval, graph=config.graph, learning=config.learning)
+        support=support, has_links=True, context=settings[Context], reach=settings[Reach], worth=settings[Worth])
 
 
 def measured_gains(run: Run, questions: DataFrame) -> DataFrame | None:
-    """``(qid, evidence_ids, target, delta_f1)`` in the numbers of this run, from the file of the settings."""
-    if not run.config.counterfactual_path:
+    """``(qid, evidence_ids, target, delta_f1)`` in the numbers of this run, from the file of the settings.
+
+    Evidence keeps its order. Gains that name a passage or query this run does not have are of no
+    use here; ``notes`` counts them.
+    """
+    if not run.settings[Files].measured_gains:
         return None
-    rows = jsonl.read_counterfactuals(run.spark, run.config.counterfactual_path)
+    rows = jsonl.read_counterfactuals(run.spark, run.settings[Files].measured_gains)
     known = run.passages.select("id", "pid")
     held = (
-        rows.select("query_id", "candidate_id", "evidence_ids", F.explode("evidence_ids").alias("id"))
+        rows.select("query_id", "candidate_id", "evidence_ids", F.posexplode("evidence_ids").alias("place", "id"))
         .join(known, "id").groupBy("query_id", "candidate_id", "evidence_ids")
-        .agg(F.array_sort(F.collect_set("pid")).alias("held"))
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pid"))), lambda e: e["pid"]).alias("held"))
+        .filter(F.size("held") == F.size("evidence_ids"))
     )
-    return (
+    usable = cut_lineage(
         rows.join(held, ["query_id", "candidate_id", "evidence_ids"])
         .join(questions.select(F.col("id").alias("query_id"), "qid"), "query_id")
         .join(known.withColumnsRenamed({"id": "candidate_id", "pid": "target"}), "candidate_id")
         .select("qid", F.col("held").alias("evidence_ids"), "target", "delta_f1")
     )
+    run.notes["gains_of_unknown_ids"] = rows.count() - usable.count()
+    return usable
 
 
 def train(run: Run) -> training.Models:
-    questions, support = load_questions(run, run.config.train_path)
+    """Fit and store the models; ``training.json`` beside them says from what."""
+    settings = run.settings
+    questions, support = load_questions(run, settings[Files].training)
+    gains = measured_gains(run, questions)
     models = training.train(
-        open_world(run, questions, support), run.config.learning, measured_gains(run, questions))
-    folder = Path(run.config.output_dir)
-    folder.mkdir(parents=True, exist_ok=True)
-    learning.save_models(str(folder / "models.json"), **models.heads, preflight=models.preflight, keep_going=models.keep_going)
+        open_world(run, questions, support), settings[Descent], settings[GateRules], gains)
+    folder = settings[Files].model_folder
+    write_text(run.spark, f"{folder}/models.json", learning.models_to_json(
+        **models.heads, preflight=models.preflight, keep_going=models.keep_going))
+    write_text(run.spark, f"{folder}/training.json", json.dumps({
+        "queries": questions.count(), "measured_gains": 0 if gains is None else gains.count(), "notes": run.notes,
+        "gates": {name: {"calibrator": gate.calibrator.kind, "threshold": gate.threshold}
+                  for name, gate in (("preflight", models.preflight), ("continue", models.keep_going))},
+    }, indent=2))
     return models
 
 
-def load_models(config: RunConfig) -> training.Models:
-    values = json.loads((Path(config.output_dir) / "models.json").read_text(encoding="utf-8"))
+def load_models(spark: SparkSession, settings: Settings) -> training.Models:
+    values = json.loads(read_text(spark, f"{settings[Files].model_folder}/models.json"))
     heads = {name: learning.load_logistic(values[name]) for name in training.HEAD_LABELS}
     return training.Models(heads, learning.load_gate(values["preflight"]), learning.load_gate(values["keep_going"]))
 
 
-def policy_names(config: RunConfig, wanted: list[str] | None = None) -> list[str]:
-    names = [n for n in POLICIES if n != "oracle_upper_bound" or config.evaluation.oracle]
-    if config.evaluation.classic_baselines:
+def policy_names(settings: Settings, wanted: list[str] | None = None) -> list[str]:
+    names = [n for n in POLICIES if n != "oracle_upper_bound" or settings[Report].oracle]
+    if settings[Report].classic:
         names += list(CLASSIC)
     if wanted is None:
         return names
@@ -140,9 +165,21 @@ def policy_names(config: RunConfig, wanted: list[str] | None = None) -> list[str
     return [n for n in names if n in wanted]
 
 
-def fingerprint(config: RunConfig, names: list[str]) -> str:
-    text = json.dumps({"config": config.to_dict(), "policies": names}, sort_keys=True)
-    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+def input_digests(spark: SparkSession, settings: Settings, *, models: bool = True) -> dict[str, str]:
+    """Content digest of everything a result depends on, by setting."""
+    files = settings[Files]
+    paths = {"corpus": files.corpus, "training": files.training, "evaluation": files.evaluation}
+    if models:
+        paths["models"] = f"{files.model_folder}/models.json"
+    if files.measured_gains:
+        paths["measured_gains"] = files.measured_gains
+    return {name: ranges.content_digest(spark, path) for name, path in paths.items()}
+
+
+def fingerprint(spark: SparkSession, settings: Settings, names: list[str]) -> str:
+    """Identity of a result: settings, policies and the content of every input, the models included."""
+    said = {"settings": settings.flat(), "policies": names, "inputs": input_digests(spark, settings)}
+    return hashlib.sha256(json.dumps(said, sort_keys=True).encode("utf-8")).hexdigest()
 
 
 def result_rows(run: Run, models: training.Models, questions: DataFrame, support: DataFrame, names: list[str]) -> DataFrame:
@@ -152,12 +189,12 @@ def result_rows(run: Run, models: training.Models, questions: DataFrame, support
     for name in names:
         if name in CLASSIC:
             ranked = cut_lineage(retrieval.retrieve(
-                run.corpus, world.queries, mode=name, k=run.config.retrieval.rerank_k, config=run.config.retrieval))
-            seeds = ranked.filter(F.col("rank") <= run.config.retrieval.seed_k).groupBy("qid").agg(
+                run.corpus, world.queries, mode=name, k=run.settings[Depths].fused, depths=run.settings[Depths]))
+            seeds = ranked.filter(F.col("rank") <= world.context.seeds).groupBy("qid").agg(
                 F.array_sort(F.collect_list(F.struct("rank", "pid"))).alias("s"))
             none = F.array().cast("array<bigint>")
             traces = packing.pack_ranking(
-                ranked, world.tokens, run.config.retrieval.final_k, run.config.retrieval.token_budget
+                ranked, world.tokens, world.context.passages, world.context.tokens
             ).join(seeds, "qid").select(
                 "qid", F.transform("s", lambda s: s["pid"]).alias("seed_ids"), none.alias("selected_ids"),
                 "final_ids", "evidence_tokens")
@@ -172,7 +209,26 @@ def result_rows(run: Run, models: training.Models, questions: DataFrame, support
     values = {**metrics.support_metrics(), **metrics.cutoff_metrics(),
               "support_mrr": metrics.reciprocal_rank(), "support_ndcg": metrics.ndcg()}
     measured = metrics.with_support(rows, support).select("*", *[v.alias(k) for k, v in values.items()])
-    return answered(run, measured, questions)
+    if BASELINE in names:
+        gains = metrics.against_baseline(measured.select("qid", "policy", "support", "final_ids"), BASELINE)
+        measured = measured.join(gains, ["qid", "policy"], "left")
+    return answered(run, measured.join(slices(world), "qid", "left"), questions)
+
+
+def slices(world: World) -> DataFrame:
+    """``(qid, slice)``: what stands between a question and its support."""
+    seeds = cut_lineage(world.seeds())
+    paths = traversal.candidate_paths(
+        world.walk_edges, seeds, max_hops=world.reach.hops, cap=world.reach.frontier, has_links=world.has_links)
+    reached = traversal.rescuable(paths, world.support, seeds).withColumn("reached", F.lit(True))
+
+    def first(most: int):
+        return F.collect_list(F.when(F.col("rank") <= most, F.col("pid")))
+
+    lists = world.ranking.groupBy("qid").agg(
+        first(world.context.seeds).alias("seed_ids"), first(world.context.passages).alias("top_ids"))
+    return metrics.with_support(lists, world.support).join(reached, "qid", "left").select(
+        "qid", metrics.diagnostic_slice(F.coalesce("reached", F.lit(False))).alias("slice"))
 
 
 def answered(run: Run, rows: DataFrame, questions: DataFrame) -> DataFrame:
@@ -197,28 +253,33 @@ def answered(run: Run, rows: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def evaluate(run: Run, models: training.Models, wanted: list[str] | None = None) -> DataFrame:
-    """Evaluate the questions that have no result yet, append them, then summarise everything."""
-    config = run.config
-    names = policy_names(config, wanted)
-    folder = f"{config.output_dir}/results-{fingerprint(config, names)[:16]}"
-    questions, support = load_questions(run, config.eval_path)
-    if config.evaluation.resume and path_exists(run.spark, f"{folder}/_SUCCESS"):
-        done = run.spark.read.parquet(folder).groupBy("query_id").agg(F.count_distinct("policy").alias("n")).filter(
-            F.col("n") == len(names))
-        open_questions = pending_queries(questions.withColumnRenamed("id", "query_id"), done).withColumnRenamed("query_id", "id")
-    else:
-        open_questions = questions
-    if not open_questions.isEmpty():
-        keys = open_questions.select("qid")
-        rows = result_rows(run, models, open_questions, support.join(keys, "qid", "left_semi"), names)
-        rows.write.mode("append" if config.evaluation.resume else "overwrite").parquet(folder)
-    rows = run.spark.read.parquet(folder)
-    summarise(rows, names, config)
+    """Evaluate the questions batch by batch, then summarise everything.
+
+    Which batch a question is in follows from its number alone, and a batch counts once Spark has
+    committed its folder. A run that was stopped goes on at the first batch without a commit and
+    writes that one anew, so no question is evaluated twice or has rows twice. Other settings,
+    inputs or models have another fingerprint and so another folder.
+    """
+    settings, spark = run.settings, run.spark
+    names = policy_names(settings, wanted)
+    folder = f"{settings[Files].output}/results-{fingerprint(spark, settings, names)[:16]}"
+    questions, support = load_questions(run, settings[Files].evaluation)
+    size = settings[Report].batch_questions
+    for number in range(-(-questions.count() // size)):
+        place = f"{folder}/batch={number}"
+        if settings[Report].resume and path_exists(spark, f"{place}/_SUCCESS"):
+            continue
+        batch = questions.filter((F.col("qid") >= number * size) & (F.col("qid") < (number + 1) * size))
+        rows = result_rows(run, models, batch, support.join(batch.select("qid"), "qid", "left_semi"), names)
+        rows.write.mode("overwrite").parquet(place)
+    rows = spark.read.parquet(folder).drop("batch")
+    summarise(rows, names, run)
     return rows
 
 
-def summarise(rows: DataFrame, names: list[str], config: RunConfig) -> None:
+def summarise(rows: DataFrame, names: list[str], run: Run) -> None:
     """Policy means, paired bootstrap against the baseline with Holm correction, report files."""
+    settings = run.settings
     means = aggregates.policy_means(rows, MEASURES, "evidence_tokens")
     pairs = [(n, BASELINE) for n in names if n != BASELINE and BASELINE in names]
     tests = None
@@ -230,32 +291,38 @@ def summarise(rows: DataFrame, names: list[str], config: RunConfig) -> None:
     if tests is None:
         return
     placed = positions(tests, ["unit"], by=["name"])
-    compared = statistics.bootstrap_mean(placed, config.evaluation.bootstrap_samples, by=("name",), seed=config.learning.seed)
+    compared = statistics.bootstrap_mean(placed, settings[Report].resamples, by=("name",), seed=settings[Descent].seed)
     corrected = statistics.holm(compared.select(F.lit("all").alias("family"), "name", F.col("p_value_two_sided").alias("p_value")))
-    sinks.write_report(config.output_dir, means, compared.join(corrected.select("name", "p_value", "adjusted"), "name"))
-    sinks.write_csv(means, f"{config.output_dir}/aggregate", mode="overwrite")
+    output = settings[Files].output
+    sinks.write_report(output, means, compared.join(corrected.select("name", "p_value", "adjusted"), "name"), run.notes)
+    sinks.write_csv(means, f"{output}/aggregate", mode="overwrite")
 
 
-def freeze(spark: SparkSession, config: RunConfig) -> bool:
+def freeze(spark: SparkSession, settings: Settings) -> bool:
     """Audit the corpus and both question sets, write the manifest, say whether it passed."""
-    passages = jsonl.read_passages(spark, config.corpus_path).withColumnRenamed("id", "pid")
-    trained = jsonl.read_queries(spark, config.train_path).withColumnRenamed("id", "qid")
-    judged = jsonl.read_queries(spark, config.eval_path).withColumnRenamed("id", "qid")
+    files = settings[Files]
+    passages = jsonl.read_passages(spark, files.corpus).withColumnRenamed("id", "pid")
+    trained = jsonl.read_queries(spark, files.training).withColumnRenamed("id", "qid")
+    judged = jsonl.read_queries(spark, files.evaluation).withColumnRenamed("id", "qid")
     claimed = trained.select(F.explode("supporting_passage_ids").alias("pid")).unionByName(
         judged.select(F.explode("supporting_passage_ids").alias("pid")))
-    raw = spark.read.text(config.corpus_path).select("value", F.get_json_object("value", "$.id").alias("pid"))
+    raw = spark.read.text(files.corpus).select("value", F.get_json_object("value", "$.id").alias("pid"))
     found = (
         audit.shared_ids(trained, judged)
         .unionByName(audit.shared_questions(trained, judged))
         .unionByName(audit.unknown_support(claimed, passages))
         .unionByName(audit.forbidden_columns(raw, "value", "pid"))
         .unionByName(audit.foreign_entities(passages, passages.select("pid", "entities"))))
+    if files.measured_gains:
+        measured = jsonl.read_counterfactuals(spark, files.measured_gains).select(F.col("query_id").alias("qid"))
+        found = found.unionByName(audit.labelled_evaluation(measured, judged))
     summary = [row.asDict() for row in audit.roll_up(found).collect()]
     ok = bool(audit.passed(found).head()["passed"])
-    folder = Path(config.output_dir)
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / "manifest.json").write_text(
-        json.dumps({"passed": ok, "findings": summary, "protocol": fingerprint(config, [])}, indent=2, default=str), encoding="utf-8")
+    manifest = {
+        "passed": ok, "findings": summary, "inputs": input_digests(spark, settings, models=False),
+        "protocol": hashlib.sha256(json.dumps(settings.flat(), sort_keys=True).encode("utf-8")).hexdigest(),
+    }
+    write_text(spark, f"{files.output}/manifest.json", json.dumps(manifest, indent=2, default=str))
     return ok
 
 
@@ -264,19 +331,19 @@ def label_counterfactual(run: Run, *, max_queries: int = 60, max_candidates: int
     from lodestone.functions import text as tx
     from lodestone.operators.sampling import hash_sample
 
-    questions, support = load_questions(run, run.config.train_path)
-    chosen_questions = cut_lineage(hash_sample(questions, "id", max_queries, run.config.learning.seed))
+    questions, support = load_questions(run, run.settings[Files].training)
+    chosen_questions = cut_lineage(hash_sample(questions, "id", max_queries, run.settings[Descent].seed))
     support = support.join(chosen_questions, "qid", "left_semi")
     world = open_world(run, chosen_questions, support)
     seeds = world.seeds()
     paths = cut_lineage(traversal.candidate_paths(
-        world.walk_edges, seeds, max_hops=world.graph.max_hops, cap=world.graph.frontier_cap, has_links=True))
+        world.walk_edges, seeds, max_hops=world.reach.hops, cap=world.reach.frontier, has_links=True))
     scored = policies.score_candidates(world, paths, seeds.select("qid", "pid"), None)
     chosen = learning.counterfactual_choice(scored, support, seeds).filter(F.col("turn") < max_candidates)
     texts = run.passages.select("pid", "id", tx.full_text("title", "text").alias("ft"))
     held = seeds.join(texts, "pid").groupBy("qid").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seed_no", "ft"))), lambda r: r["ft"]), " ").alias("base"),
-        F.array_sort(F.collect_set("id")).alias("evidence_ids"))
+        F.transform(F.array_sort(F.collect_list(F.struct("seed_no", "id"))), lambda r: r["id"]).alias("evidence_ids"))
     rows = chosen.join(held, "qid").join(
         texts.select(F.col("pid").alias("target"), F.col("id").alias("candidate_id"), F.col("ft").alias("added")), "target"
     ).join(chosen_questions.select("qid", F.col("id").alias("query_id"), "answers"), "qid")
@@ -288,8 +355,8 @@ def label_counterfactual(run: Run, *, max_queries: int = 60, max_candidates: int
         "query_id", "evidence_ids", "candidate_id", gain(F.col("base")).alias("base_f1"),
         gain(F.concat_ws(" ", "base", "added")).alias("candidate_f1"),
     ).withColumn("delta_f1", F.col("candidate_f1") - F.col("base_f1"))
-    path = f"{run.config.output_dir}/counterfactual"
-    if Path(path, "_SUCCESS").exists():
+    path = f"{run.settings[Files].output}/counterfactual"
+    if path_exists(run.spark, f"{path}/_SUCCESS"):
         old = jsonl.read_counterfactuals(run.spark, path)
         measured = measured.join(old, ["query_id", "evidence_ids", "candidate_id"], "left_anti")
     jsonl.write_jsonl(measured, path, "append")

@@ -8,6 +8,8 @@ lists them: by passage position, mentions before links, then position in the lis
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,26 @@ MENTIONS, EXPLICIT_LINK, FALSE_LINK = "mentions", "explicit_link", "false_link"
 PASSAGE_PREFIX, ENTITY_PREFIX = "p:", "e:"
 ENTITY_MODES = ("provided", "title_links", "explicit_only")
 FALSE_LINK_CONFIDENCE = 0.5
-MAX_TITLE_TOKENS = 8
+#: Words of a title that must match before the whole is compared.
+TITLE_PREFIX = 4
+
+
+@dataclass(frozen=True)
+class Linking:
+    """Where entities come from, and how rare or common one may be to link its passages."""
+
+    entities: str = "provided"
+    least_df: int = 2
+    most_share: float = 0.20
+
+
+@dataclass(frozen=True)
+class Damage:
+    """Share of edges left out and of false links put in."""
+
+    dropout: float = 0.0
+    false_links: float = 0.0
+    seed: int = 42
 
 
 def passage_node(pid: Column) -> Column:
@@ -187,43 +208,45 @@ def graph_stats(passages: DataFrame, entities: DataFrame, edges: DataFrame) -> D
 
 
 def title_phrases(passages: DataFrame) -> DataFrame:
-    """``(phrase, width, title)``: normalised titles that may be looked for in texts."""
+    """``(phrase, width)``: normalised titles that may be looked for in texts, of any length."""
     words = tx.tokens("title")
     return (
         passages.select(words.alias("words"))
-        .filter((F.size("words") >= 1) & (F.size("words") <= MAX_TITLE_TOKENS))
-        .filter((F.size("words") > 1) | (F.char_length(F.element_at("words", 1)) >= 4))
+        .filter((F.size("words") > 1) | ((F.size("words") == 1) & (F.char_length(F.element_at("words", 1)) >= 4)))
         .select(F.array_join("words", " ").alias("phrase"), F.size("words").alias("width"))
         .distinct()
     )
 
 
 def title_mentions(passages: DataFrame) -> DataFrame:
-    """``(pid, phrase)``: every title phrase that occurs token for token in a text.
+    """``(pid, phrase)``: every title that occurs token for token in a text.
 
-    A token starts only the phrase widths that some title beginning with that
-    token has; the phrases built that way meet the titles in an equality join, so
-    the work stays linear in the text however common a first word is.
+    The first words of titles, ``TITLE_PREFIX`` of them or all, meet the same number of words at
+    every place of every text in an equality join on 8-byte hashes, which is linear in the text.
+    Only where they meet, the whole title is compared by its digest with as many words of the text.
     """
-    phrases = title_phrases(passages)
-    starts = phrases.select(
-        F.substring_index("phrase", " ", 1).alias("first"), "width"
-    ).distinct()
-    ahead = F.transform(
-        "words", lambda word, at: F.slice("words", at + 1, F.lit(MAX_TITLE_TOKENS))
+    titles = title_phrases(passages)
+    words = F.split("phrase", " ")
+    prefix = F.least("width", F.lit(TITLE_PREFIX))
+    titles = titles.select(
+        "phrase", "width", prefix.alias("k"), F.xxhash64(F.slice(words, F.lit(1), prefix)).alias("start"),
+        F.md5(F.col("phrase").cast("binary")).alias("digest"))
+    texts = passages.repartition("pid").select("pid", tx.tokens("text").alias("words"))
+    places = F.flatten(F.transform("words", lambda _, i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(TITLE_PREFIX), F.size("words") - i)),
+        lambda k: F.struct(k.alias("k"), F.xxhash64(F.slice("words", i + 1, k)).alias("start"), (i + 1).alias("at")))))
+    wanted = titles.groupBy("k", "start").agg(F.array_sort(F.collect_set("width")).alias("widths"))
+    met = (
+        texts.filter(F.size("words") > 0).select("pid", F.explode(places).alias("p")).select("pid", "p.*")
+        .join(wanted, ["k", "start"])
+        .groupBy("pid").agg(F.collect_set(F.struct("at", "widths")).alias("met"))
     )
+    digests = F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(
+        F.filter(m["widths"], lambda w: m["at"] + w - 1 <= F.size("words")),
+        lambda w: F.md5(F.array_join(F.slice("words", m["at"], w), " ").cast("binary"))))))
     return (
-        passages.repartition("pid")
-        .select("pid", tx.tokens("text").alias("words"))
-        .select("pid", F.explode(ahead).alias("ahead"))
-        .withColumn("first", F.element_at("ahead", 1))
-        .join(starts, "first")
-        .filter(F.size("ahead") >= F.col("width"))
-        .select(
-            "pid", F.array_join(F.slice("ahead", F.lit(1), F.col("width")), " ").alias("phrase")
-        )
-        .distinct()
-        .join(phrases.select("phrase").distinct(), "phrase", "left_semi")
+        texts.join(met, "pid").select("pid", F.explode(digests).alias("digest"))
+        .join(titles.select("digest", "phrase"), "digest").select("pid", "phrase")
     )
 
 

@@ -19,7 +19,6 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import LearningConfig
 from lodestone.functions.scores import clip_probability, linear, log_loss_term, sigmoid
 from lodestone.operators.ordered import positions
 from lodestone.operators.statistics import bootstrap_threshold
@@ -32,6 +31,34 @@ CALIBRATORS = ("identity", "platt", "isotonic")
 REDUNDANCY_LIMIT, HUB_LIMIT, CONFIDENCE_LIMIT, GAIN_LIMIT = 0.45, 8, 0.10, 0.01
 
 
+@dataclass(frozen=True)
+class Descent:
+    """Passes, step and penalty of a fit; about ``rows`` labelled rows at most are used, by hash."""
+
+    epochs: int = 350
+    rate: float = 0.05
+    l2: float = 0.01
+    rows: int = 100_000
+    seed: int = 42
+
+
+@dataclass(frozen=True)
+class GateRules:
+    """Queries held back for calibration, the calibrator (``auto`` compares all by ``folds``-fold
+    cross-validation), and the recall, resamples and quantile of the threshold."""
+
+    held_back: float = 0.10
+    method: str = "auto"
+    folds: int = 5
+    recall: float = 0.95
+    resamples: int = 400
+    quantile: float = 0.10
+
+    def __post_init__(self) -> None:
+        if self.method not in ("auto", *CALIBRATORS):
+            raise ValueError(f"unknown calibration method: {self.method}")
+
+
 @dataclass(frozen=True)
 class Logistic:
     features: tuple[str, ...]
@@ -117,7 +144,7 @@ def standardizer(rows: DataFrame, features: Sequence[str]) -> tuple[list[float],
 
 def _descend(
     rows: DataFrame, weights: np.ndarray, bias: np.ndarray, n: np.ndarray,
-    epochs: int, config: LearningConfig, free: np.ndarray | None = None,
+    epochs: int, descent: Descent, free: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
     """Full-batch gradient descent for several heads over the same inputs.
 
@@ -125,11 +152,11 @@ def _descend(
     one row weight per head (weight 0 leaves a row out of that head). ``n`` divides
     each head's gradient; ``free`` marks the weights that may move (all by default).
 
-    ``rows`` is a training sample of bounded size (``LearningConfig.training_rows``), so
+    ``rows`` is a training sample of bounded size (``Descent.rows``), so
     all passes follow each other in one task instead of a job for each pass.
     """
     heads, width = weights.shape
-    rate, l2 = config.learning_rate, config.l2
+    rate, l2 = descent.rate, descent.l2
     free = np.ones((heads, width)) if free is None else free
 
     def descend_in_task(batches):
@@ -172,11 +199,11 @@ def training_sample(rows: DataFrame, most: int) -> DataFrame:
 
 def fit_logistic(
     rows: DataFrame, features: Sequence[str], labels: Sequence[str],
-    config: LearningConfig = LearningConfig(),
+    descent: Descent = Descent(),
 ) -> dict[str, Logistic]:
     """One class-balanced logistic model per label column, all fitted in the same passes."""
     features, labels = list(features), list(labels)
-    rows = training_sample(rows, config.training_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = training_sample(rows, descent.rows).persist(StorageLevel.MEMORY_AND_DISK)
     mean, scale = standardizer(rows, features)
     counts = rows.agg(
         F.count(F.lit(1)).alias("n"),
@@ -209,7 +236,7 @@ def fit_logistic(
         ).persist(StorageLevel.MEMORY_AND_DISK)
         weights, bias = _descend(
             table, np.zeros((len(open_labels), len(features))), np.zeros(len(open_labels)),
-            np.full(len(open_labels), float(n)), config.epochs, config,
+            np.full(len(open_labels), float(n)), descent.epochs, descent,
         )
         table.unpersist()
         for label, w, b in zip(open_labels, weights, bias):
@@ -218,12 +245,14 @@ def fit_logistic(
     return models
 
 
-def fit_platt(scored: DataFrame, folds: Sequence[Column], config: LearningConfig, epochs: int = PLATT_EPOCHS) -> list[Calibrator]:
+def fit_platt(
+    scored: DataFrame, folds: Sequence[Column], descent: Descent = Descent(), epochs: int = PLATT_EPOCHS
+) -> list[Calibrator]:
     """Logistic calibration on standardised log-odds, one model per fold mask, in shared passes.
 
     Equal (probability, label) rows are merged first; the fit only needs their number.
     """
-    counted = training_sample(scored, config.training_rows).groupBy("p", "y").agg(
+    counted = training_sample(scored, descent.rows).groupBy("p", "y").agg(
         *[F.sum(mask.cast("double")).alias(f"c{i}") for i, mask in enumerate(folds)]
     )
     p = clip_probability(F.col("p"))
@@ -261,7 +290,7 @@ def fit_platt(scored: DataFrame, folds: Sequence[Column], config: LearningConfig
     # a fold with one class keeps its starting point: all its row weights are 0
     free = np.diag(weights)
     w, bias = _descend(
-        table, np.diag(weights), bias, sizes, epochs, config, free
+        table, np.diag(weights), bias, sizes, epochs, descent, free
     )
     table.unpersist()
     logit.unpersist()
@@ -304,11 +333,11 @@ def fit_isotonic(scored: DataFrame) -> Calibrator:
     )
 
 
-def fit_calibrator(kind: str, scored: DataFrame, config: LearningConfig) -> Calibrator:
+def fit_calibrator(kind: str, scored: DataFrame, descent: Descent = Descent()) -> Calibrator:
     if kind == "identity":
         return Calibrator("identity")
     if kind == "platt":
-        return fit_platt(scored, [F.lit(True)], config)[0]
+        return fit_platt(scored, [F.lit(True)], descent)[0]
     if kind == "isotonic":
         return fit_isotonic(scored)
     raise ValueError(f"unknown calibration method: {kind}")
@@ -321,12 +350,14 @@ def assign_folds(scored: DataFrame, folds: int, seed: int) -> DataFrame:
     return placed.withColumn("fold", (F.col("position") % folds).cast("int")).drop("_draw", "position")
 
 
-def select_calibration(scored: DataFrame, config: LearningConfig) -> tuple[str, dict[str, float]]:
+def select_calibration(
+    scored: DataFrame, descent: Descent = Descent(), folds: int = GateRules.folds
+) -> tuple[str, dict[str, float]]:
     """Calibrator with the lowest cross-validated log-loss; ties go to the simpler one."""
     n = scored.count()
-    folds = max(2, min(config.calibration_folds, n))
-    dealt = assign_folds(scored, folds, config.seed).persist(StorageLevel.MEMORY_AND_DISK)
-    platt = fit_platt(dealt, [F.col("fold") != k for k in range(folds)], config)
+    folds = max(2, min(folds, n))
+    dealt = assign_folds(scored, folds, descent.seed).persist(StorageLevel.MEMORY_AND_DISK)
+    platt = fit_platt(dealt, [F.col("fold") != k for k in range(folds)], descent)
     isotonic = [fit_isotonic(dealt.filter(F.col("fold") != k)) for k in range(folds)]
 
     def held_out(models: Sequence[Calibrator]) -> Column:
@@ -346,6 +377,12 @@ def select_calibration(scored: DataFrame, config: LearningConfig) -> tuple[str,
     return best, losses
 
 
+def chosen_calibrator(scored: DataFrame, descent: Descent, rules: GateRules) -> Calibrator:
+    """The calibrator the rules name, or with ``auto`` the one that cross-validation prefers."""
+    kind = select_calibration(scored, descent, rules.folds)[0] if rules.method == "auto" else rules.method
+    return fit_calibrator(kind, scored, descent)
+
+
 @dataclass(frozen=True)
 class Gate:
     model: Logistic
@@ -362,19 +399,17 @@ class Gate:
 
 def fit_gate(
     train: DataFrame, calibration: DataFrame, features: Sequence[str], label: str, identifier: str,
-    config: LearningConfig = LearningConfig(),
+    descent: Descent = Descent(), rules: GateRules = GateRules(),
 ) -> Gate:
     """Classifier on the training part; calibrator and cautious threshold on the other part."""
-    model = fit_logistic(train, features, [label], config)[label]
+    model = fit_logistic(train, features, [label], descent)[label]
     scored = calibration.select(
         F.col(identifier).alias("id"), model.probability().alias("p"), F.col(label).cast("int").alias("y")
     ).persist(StorageLevel.MEMORY_AND_DISK)
-    kind, _ = select_calibration(scored, config)
-    calibrator = fit_calibrator(kind, scored, config)
+    calibrator = chosen_calibrator(scored, descent, rules)
     calibrated = scored.withColumn("p", calibrator.apply(F.col("p")))
     threshold = bootstrap_threshold(
-        calibrated, config.target_recall, samples=config.threshold_samples,
-        quantile=config.threshold_quantile, seed=config.seed,
+        calibrated, rules.recall, samples=rules.resamples, quantile=rules.quantile, seed=descent.seed,
     ).head()["threshold"]
     scored.unpersist()
     return Gate(model, calibrator, float(threshold))
@@ -383,8 +418,9 @@ def fit_gate(
 def candidate_labels(rows: DataFrame, support: DataFrame, evidence: DataFrame, gains: DataFrame | None = None) -> DataFrame:
     """Add the four training labels to candidate feature rows.
 
-    ``support(qid, pid)``, ``evidence(qid, pid)``; ``gains(qid, evidence_ids, target, delta_f1)``
-    holds measured answer gains that replace the derived gain and harm labels.
+    ``support(qid, pid)``, ``evidence(qid, pid, seed_no)``; ``gains(qid, evidence_ids, target, delta_f1)``
+    holds measured answer gains that replace the derived gain and harm labels. They were measured
+    for a list of evidence, so its order counts.
     """
     missing = support.join(evidence.select("qid", "pid"), ["qid", "pid"], "left_anti")
     missing_count = missing.groupBy("qid").agg(F.count(F.lit(1)).alias("missing"))
@@ -407,7 +443,8 @@ def candidate_labels(rows: DataFrame, support: DataFrame, evidence: DataFrame, g
     )
     if gains is None:
         return labelled
-    held = evidence.groupBy("qid").agg(F.array_sort(F.collect_set("pid")).alias("evidence_ids"))
+    held = evidence.groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seed_no", "pid"))), lambda e: e["pid"]).alias("evidence_ids"))
     measured = labelled.join(held, "qid", "left").join(gains, ["qid", "evidence_ids", "target"], "left")
     known = F.col("delta_f1").isNotNull()
     return measured.select(
@@ -460,9 +497,8 @@ def counterfactual_choice(candidates: DataFrame, support: DataFrame, evidence: D
     return chosen.groupBy("qid", "target").agg(F.min("turn").alias("turn"))
 
 
-def save_models(path: str, **models: object) -> None:
-    with open(path, "w", encoding="utf-8") as sink:
-        json.dump({name: asdict(model) for name, model in models.items()}, sink, indent=2)
+def models_to_json(**models: object) -> str:
+    return json.dumps({name: asdict(model) for name, model in models.items()}, indent=2)
 
 
 def load_logistic(values: dict) -> Logistic:

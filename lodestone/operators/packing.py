@@ -6,10 +6,21 @@ ranked list, done by Spark's ``aggregate`` on an array inside the row.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Context:
+    """Seeds that head a context, its most passages and its most tokens."""
+
+    seeds: int = 5
+    passages: int = 10
+    tokens: int = 2048
+
+
 def pack(items: Column, final_k: int, token_budget: int) -> Column:
     """Fold ``array<struct<pid, cost>>`` to ``struct<ids, tokens>``.
 

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import GraphConfig, LearningConfig, RetrievalConfig
 from lodestone.functions.scores import stable
 from lodestone.operators.features import (
     candidate_features,
@@ -16,8 +15,8 @@ from lodestone.operators.features import (
     gate_features,
     relevance,
 )
-from lodestone.operators.packing import pack, ranked_items
-from lodestone.operators.traversal import candidate_paths, per_seed_paths
+from lodestone.operators.packing import Context, pack, ranked_items
+from lodestone.operators.traversal import Reach, candidate_paths, per_seed_paths
 from lodestone.session import cut_lineage
 
 # Value weights, score weights, policy table, reasons to stop.
@@ -44,16 +43,26 @@ Scorer = Callable[[DataFrame], DataFrame]
 Gate = Callable[[DataFrame], DataFrame]
 
 
-def marginal_value(learning: LearningConfig) -> Column:
+@dataclass(frozen=True)
+class Worth:
+    """What the marginal value gives for an answer gain and takes for tokens, hops and hubs."""
+
+    reader: float = 0.50
+    tokens: float = 0.08
+    hops: float = 0.05
+    noise: float = 0.10
+
+
+def marginal_value(worth: Worth) -> Column:
     """Expected worth of adding a candidate, from the four head probabilities and its cost."""
     return (
         COMPLETE_WEIGHT * F.col("p_complete")
         + ADD_WEIGHT * F.col("p_add")
-        + learning.reader_gain_weight * F.col("p_reader")
+        + worth.reader * F.col("p_reader")
         - HARM_WEIGHT * F.col("p_harmful")
-        - learning.token_cost_weight * F.col("token_cost")
-        - learning.hop_cost_weight * F.col("hops")
-        - learning.noise_cost_weight * F.least(F.lit(1.0), F.col("hub") / HUB_SCALE)
+        - worth.tokens * F.col("token_cost")
+        - worth.hops * F.col("hops")
+        - worth.noise * F.least(F.lit(1.0), F.col("hub") / HUB_SCALE)
     )
 
 
@@ -69,12 +78,12 @@ class World:
     similarity: Callable[[DataFrame], DataFrame]
     support: DataFrame
     has_links: bool = True
-    retrieval: RetrievalConfig = field(default_factory=RetrievalConfig)
-    graph: GraphConfig = field(default_factory=GraphConfig)
-    learning: LearningConfig = field(default_factory=LearningConfig)
+    context: Context = Context()
+    reach: Reach = Reach()
+    worth: Worth = Worth()
 
     def seeds(self) -> DataFrame:
-        return self.ranking.filter(F.col("rank") <= self.retrieval.seed_k).select(
+        return self.ranking.filter(F.col("rank") <= self.context.seeds).select(
             "qid", "pid", F.col("rank").alias("seed_no")
         )
 
@@ -124,14 +133,14 @@ def score_candidates(
     pairs = typed.select("qid", F.col("target").alias("pid"))
     rows = candidate_features(
         typed, world.queries, world.tokens, world.ranking, evidence,
-        world.similarity(pairs), world.retrieval.token_budget,
+        world.similarity(pairs), world.context.tokens,
     ).withColumn("relevance", relevance())
     if scorer is None:
         for head in HEADS:
             rows = rows.withColumn(head, F.lit(0.0))
     else:
         rows = scorer(rows)
-    return rows.withColumn("marginal_value", marginal_value(world.learning))
+    return rows.withColumn("marginal_value", marginal_value(world.worth))
 
 
 def rescue(
@@ -152,7 +161,7 @@ def rescue(
     by ``max_actions`` and cut with a checkpoint. ``history`` collects what each step
     chose, one table per step. Without ``enforce_budget`` no action is refused for its tokens.
     """
-    retrieval, graph = world.retrieval, world.graph
+    context, reach = world.context, world.reach
     seeds = world.seeds()
     costs = world.tokens.select("pid", "est_tokens")
     state = cut_lineage(
@@ -167,7 +176,7 @@ def rescue(
     )
     all_actions: DataFrame | None = None
     previous: DataFrame | None = None
-    steps = 0 if selector == "none" else graph.max_actions
+    steps = 0 if selector == "none" else reach.actions
     for step in range(steps):
         active = state.filter("active")
         evidence = active.select(
@@ -181,7 +190,7 @@ def rescue(
                 world.ranking.join(active.select("qid"), "qid", "left_semi"),
                 world.queries.join(active.select("qid"), "qid", "left_semi"),
                 world.tokens, world.edges, evidence,
-                retrieval.seed_k, retrieval.token_budget,
+                context.seeds, context.tokens,
             )
             if step > 0 and previous is not None:
                 rows = continue_features(rows, previous)
@@ -193,7 +202,7 @@ def rescue(
                 "opens", F.lit(True)
             )
         paths = candidate_paths(
-            world.walk_edges, evidence, max_hops=graph.max_hops, cap=graph.frontier_cap,
+            world.walk_edges, evidence, max_hops=reach.hops, cap=reach.frontier,
             has_links=world.has_links,
         )
         scored = score_candidates(world, paths, evidence, scorer)
@@ -210,7 +219,7 @@ def rescue(
         held = (
             evidence.join(costs, "pid").groupBy("qid").agg(F.sum("est_tokens").alias("held_tokens"))
         )
-        over = F.lit(enforce_budget) & (F.col("held_tokens") + F.col("est_tokens") > retrieval.token_budget)
+        over = F.lit(enforce_budget) & (F.col("held_tokens") + F.col("est_tokens") > context.tokens)
         reason = F.when(~F.col("opens"), STOP_GATE).when(F.col("path_id").isNull(), STOP_EMPTY)
         if selector == "oracle":
             reason = reason.when(~F.col("is_missing_support"), STOP_ORACLE)
@@ -270,7 +279,7 @@ def rescue(
 
 def pack_selected(world: World, state: DataFrame) -> DataFrame:
     """``(qid, seed_ids, selected_ids, final_ids, evidence_tokens)`` from the final states."""
-    retrieval = world.retrieval
+    context = world.context
     chosen = (
         state.select("qid", F.posexplode("evidence").alias("place", "pid"))
         .join(world.tokens.select("pid", F.col("est_tokens").alias("cost")), "pid")
@@ -287,7 +296,7 @@ def pack_selected(world: World, state: DataFrame) -> DataFrame:
             "packed",
             pack(
                 F.concat(F.coalesce("head", none), F.coalesce("items", none)),
-                retrieval.final_k, retrieval.token_budget,
+                context.passages, context.tokens,
             ),
         )
     )
@@ -309,8 +318,8 @@ def seed_group_scores(world: World) -> DataFrame:
     seeds = cut_lineage(world.seeds())
     paths = cut_lineage(
         per_seed_paths(
-            world.walk_edges, seeds, max_hops=world.graph.max_hops,
-            cap=world.graph.frontier_cap, has_links=world.has_links,
+            world.walk_edges, seeds, max_hops=world.reach.hops,
+            cap=world.reach.frontier, has_links=world.has_links,
         ).withColumn("seed", F.col("seed").cast("long")).withColumn(
             "target", F.col("target").cast("long")
         )
@@ -339,7 +348,7 @@ def seed_group_scores(world: World) -> DataFrame:
     rows = candidate_features(
         best, world.queries, world.tokens, world.ranking, seeds.select("qid", "pid"),
         world.similarity(best.select("qid", F.col("target").alias("pid"))),
-        world.retrieval.token_budget,
+        world.context.tokens,
     ).withColumn("relevance", relevance()).join(n_seeds, "qid")
     w = SEED_GROUP_WEIGHTS
     score = (
@@ -381,8 +390,8 @@ def seed_group_selection(world: World, scored: DataFrame) -> DataFrame:
     )
 
     def step(acc: Column, item: Column) -> Column:
-        full = F.size(acc["picked"]) >= world.graph.max_actions
-        over = acc["tokens"] + item["cost"] > world.retrieval.token_budget
+        full = F.size(acc["picked"]) >= world.reach.actions
+        over = acc["tokens"] + item["cost"] > world.context.tokens
         grown = F.struct(
             F.concat(acc["picked"], F.array(item)).alias("picked"),
             (acc["tokens"] + item["cost"]).alias("tokens"),
@@ -422,7 +431,7 @@ def seed_group_context(world: World, picked: DataFrame) -> DataFrame:
     )
     packed = layout.join(ranked_items(world.ranking, world.tokens), "qid").select(
         "qid",
-        pack(F.concat("head", "items"), world.retrieval.final_k, world.retrieval.token_budget).alias("packed"),
+        pack(F.concat("head", "items"), world.context.passages, world.context.tokens).alias("packed"),
     )
     return packed.select(
         "qid", F.col("packed.ids").alias("final_ids"), F.col("packed.tokens").alias("evidence_tokens")

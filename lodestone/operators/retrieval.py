@@ -16,7 +16,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.config import RetrievalConfig
 from lodestone.functions import text as tx
 from lodestone.functions.scores import dot, minmax, stable
 
@@ -30,6 +29,16 @@ PASSAGE_PREFIX = "passage: "
 QUERY_PREFIX = "query: "
 
 
+@dataclass(frozen=True)
+class Depths:
+    """Passages of the lexical, the dense and the fused list, and the offset of ranks in fusion."""
+
+    lexical: int = 100
+    dense: int = 100
+    fused: int = 50
+    rank_offset: int = 60
+
+
 def _longs(n: int) -> Column:
     """The array 0 .. n-1."""
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
@@ -341,14 +350,14 @@ def retrieve(
     *,
     mode: str = "hybrid",
     k: int = 50,
-    config: RetrievalConfig = RetrievalConfig(),
+    depths: Depths = Depths(),
 ) -> DataFrame:
     """``(qid, pid, rank, bm25_score, dense_score, rrf_score, rerank_score)``."""
     if mode not in MODES:
         raise ValueError(f"unknown retrieval mode: {mode}")
     zero = F.lit(0.0)
     if mode == "bm25":
-        return bm25_top_k(corpus, queries, config.bm25_k).filter(F.col("rank") <= k).select(
+        return bm25_top_k(corpus, queries, depths.lexical).filter(F.col("rank") <= k).select(
             "qid", "pid", "rank", "bm25_score", zero.alias("dense_score"),
             zero.alias("rrf_score"), F.col("bm25_score").alias("rerank_score"),
         )
@@ -359,15 +368,15 @@ def retrieve(
         queries.select("qid", tx.tokens("question").alias("tokens")), "qid", prefix=QUERY_PREFIX
     )
     placed = passage_vectors.join(corpus.tokens.select("pid", "pos"), "pid")
-    nearest = dense_top_k(placed, query_vectors, config.dense_k)
+    nearest = dense_top_k(placed, query_vectors, depths.dense)
     if mode == "dense":
         return nearest.filter(F.col("rank") <= k).select(
             "qid", "pid", "rank", zero.alias("bm25_score"), "dense_score",
             zero.alias("rrf_score"), F.col("dense_score").alias("rerank_score"),
         )
     index = lexical_index(corpus, queries)
-    lexical = bm25_top_k(corpus, queries, config.bm25_k, index)
-    fused = reciprocal_rank_fusion([lexical, nearest], config.rrf_k, config.rerank_k)
+    lexical = bm25_top_k(corpus, queries, depths.lexical, index)
+    fused = reciprocal_rank_fusion([lexical, nearest], depths.rank_offset, depths.fused)
     fused = fused.persist(StorageLevel.MEMORY_AND_DISK)
     scored = (
         fused.join(bm25_scores(index, pairs=fused), ["qid", "pid"], "left")

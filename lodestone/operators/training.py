@@ -7,7 +7,6 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.config import LearningConfig
 from lodestone.operators import features, learning, policies, traversal
 from lodestone.operators.policies import World
 from lodestone.session import cut_lineage
@@ -37,20 +36,22 @@ def restrict(world: World, part: DataFrame) -> World:
     )
 
 
-def candidate_rows(world: World, paths: DataFrame | None = None, gains: DataFrame | None = None) -> DataFrame:
+def candidate_rows(
+    world: World, paths: DataFrame | None = None, gains: DataFrame | None = None, *, second_state: int = 50
+) -> DataFrame:
     """Feature rows with labels from two states per query.
 
     First the seeds; then, where a missing support passage is reachable, the seeds
-    plus the first such passage, of which the first ``second_state_candidates`` of the settings are used.
+    plus the first such passage, of which the first ``second_state`` candidates are used.
     """
     seeds = cut_lineage(world.seeds())
-    graph = world.graph
+    reach = world.reach
     if paths is None:
         paths = cut_lineage(traversal.candidate_paths(
-            world.walk_edges, seeds, max_hops=graph.max_hops, cap=graph.frontier_cap, has_links=world.has_links))
-    evidence = seeds.select("qid", "pid")
+            world.walk_edges, seeds, max_hops=reach.hops, cap=reach.frontier, has_links=world.has_links))
+    evidence = seeds.select("qid", "pid", "seed_no")
     first = learning.candidate_labels(
-        policies.score_candidates(world, paths, evidence, None), world.support, evidence, gains)
+        policies.score_candidates(world, paths, evidence.drop("seed_no"), None), world.support, evidence, gains)
     missing = world.support.join(evidence, ["qid", "pid"], "left_anti")
     reached = (
         paths.select("qid", F.col("target").cast("long").alias("pid"), "place")
@@ -60,17 +61,16 @@ def candidate_rows(world: World, paths: DataFrame | None = None, gains: DataFram
     later = cut_lineage(
         seeds.join(reached.select("qid"), "qid", "left_semi").unionByName(reached.select("qid", "pid", "seed_no")))
     more = traversal.candidate_paths(
-        world.walk_edges, later, max_hops=graph.max_hops, cap=graph.frontier_cap, has_links=world.has_links
-    ).filter(F.col("place") <= world.learning.second_state_candidates)
-    held = later.select("qid", "pid")
+        world.walk_edges, later, max_hops=reach.hops, cap=reach.frontier, has_links=world.has_links
+    ).filter(F.col("place") <= second_state)
     second = learning.candidate_labels(
-        policies.score_candidates(world, more, held, None), world.support, held, gains)
+        policies.score_candidates(world, more, later.select("qid", "pid"), None), world.support, later, gains)
     return first.withColumn("state", F.lit(0)).unionByName(second.withColumn("state", F.lit(1)))
 
 
-def fit_heads(rows: DataFrame, config: LearningConfig) -> dict[str, learning.Logistic]:
+def fit_heads(rows: DataFrame, descent: learning.Descent = learning.Descent()) -> dict[str, learning.Logistic]:
     """The four candidate heads, fitted together."""
-    fitted = learning.fit_logistic(rows, features.CANDIDATE_FEATURES, list(HEAD_LABELS.values()), config)
+    fitted = learning.fit_logistic(rows, features.CANDIDATE_FEATURES, list(HEAD_LABELS.values()), descent)
     return {name: fitted[label] for name, label in HEAD_LABELS.items()}
 
 
@@ -90,7 +90,7 @@ def gate_states(world: World, heads: dict[str, learning.Logistic]) -> tuple[Data
         F.struct("qid", "step").alias("state"), "qid", "step", F.posexplode("evidence_before").alias("seed_no", "pid")))
     keyed = states.select(F.col("state").alias("qid"), "pid", "seed_no")
     paths = traversal.candidate_paths(
-        world.walk_edges, keyed, max_hops=world.graph.max_hops, cap=world.graph.frontier_cap, has_links=world.has_links)
+        world.walk_edges, keyed, max_hops=world.reach.hops, cap=world.reach.frontier, has_links=world.has_links)
     known = states.select("state", "qid").distinct()
 
     def per_state(frame: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def gate_states(world: World, heads: dict[str, learning.Logistic]) -> tuple[Data
     reached = traversal.rescuable(paths, per_state(world.support), keyed.select("qid", "pid"))
     rows = features.gate_features(
         per_state(world.ranking), per_state(world.queries), world.tokens, world.edges,
-        keyed.select("qid", "pid"), world.retrieval.seed_k, world.retrieval.token_budget)
+        keyed.select("qid", "pid"), world.context.seeds, world.context.tokens)
     labelled = rows.join(reached.withColumn("y", F.lit(1)), "qid", "left").withColumn("y", F.coalesce("y", F.lit(0)))
     flat = cut_lineage(labelled.withColumn("step", F.col("qid.step")).withColumn("qid", F.col("qid.qid")))
     preflight = flat.filter("step = 0")
@@ -121,7 +121,10 @@ def _no_previous(rows: DataFrame) -> DataFrame:
     return rows.select("qid", *[F.lit(None).cast("double").alias(name) for name in names])
 
 
-def train(world: World, config: LearningConfig, gains: DataFrame | None = None) -> Models:
+def train(
+    world: World, descent: learning.Descent = learning.Descent(), rules: learning.GateRules = learning.GateRules(),
+    gains: DataFrame | None = None,
+) -> Models:
     """Split the queries, fit the heads on one part and the gates on both.
 
     ``gains(qid, evidence_ids, target, delta_f1)``, where given, replaces derived gain labels.
@@ -129,21 +132,21 @@ def train(world: World, config: LearningConfig, gains: DataFrame | None = None)
     counts = world.support.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
     sized = world.queries.select("qid").join(counts, "qid", "left").select(
         "qid", F.coalesce("n", F.lit(0)).alias("support_count"))
-    split = cut_lineage(learning.calibration_split(sized, config.calibration_fraction, config.seed))
+    split = cut_lineage(learning.calibration_split(sized, rules.held_back, descent.seed))
     fitting = restrict(world, split.filter("part = 'train'"))
     held_out = restrict(world, split.filter("part = 'calibration'"))
     if split.limit(2).count() < 2:  # a single query serves for both
         fitting = held_out = world
-    heads = fit_heads(candidate_rows(fitting, gains=gains), config)
+    heads = fit_heads(candidate_rows(fitting, gains=gains), descent)
     first, later = gate_states(fitting, heads)
     first_held, later_held = gate_states(held_out, heads)
     every = features.GATE_FEATURES + features.CONTINUE_FEATURES
-    preflight = learning.fit_gate(first, first_held, features.GATE_FEATURES, "y", "qid", config)
+    preflight = learning.fit_gate(first, first_held, features.GATE_FEATURES, "y", "qid", descent, rules)
     if later.isEmpty():
         later = _padded(first)
     if later_held.isEmpty():
         later_held = _padded(first_held)
-    keep_going = learning.fit_gate(later, later_held, every, "y", "qid", config)
+    keep_going = learning.fit_gate(later, later_held, every, "y", "qid", descent, rules)
     return Models(heads, preflight, keep_going)
 
 
@@ -152,20 +155,22 @@ def _padded(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.lit(0.0) for name in features.CONTINUE_FEATURES})
 
 
-def recalibrate(gate: learning.Gate, rows: DataFrame, n: int, config: LearningConfig) -> tuple[learning.Gate, DataFrame]:
+def recalibrate(
+    gate: learning.Gate, rows: DataFrame, n: int, descent: learning.Descent = learning.Descent(),
+    rules: learning.GateRules = learning.GateRules(),
+) -> tuple[learning.Gate, DataFrame]:
     """A gate moved to another domain: calibrator and threshold refitted on the first n
     rows in hash order; the rest is given back for evaluation."""
     from lodestone.operators.ordered import positions
     from lodestone.operators.sampling import draw_key
     from lodestone.operators.statistics import bootstrap_threshold
 
-    placed = cut_lineage(positions(rows.withColumn("_draw", draw_key(config.seed, F.col("qid"))), ["_draw", "qid"]))
+    placed = cut_lineage(positions(rows.withColumn("_draw", draw_key(descent.seed, F.col("qid"))), ["_draw", "qid"]))
     scored = placed.filter(F.col("position") < n).select(
         F.col("qid").alias("id"), gate.model.probability().alias("p"), F.col("y").cast("int").alias("y"))
-    kind, _ = learning.select_calibration(scored, config)
-    calibrator = learning.fit_calibrator(kind, scored, config)
+    calibrator = learning.chosen_calibrator(scored, descent, rules)
     threshold = bootstrap_threshold(
-        scored.withColumn("p", calibrator.apply(F.col("p"))), config.target_recall,
-        samples=config.threshold_samples, quantile=config.threshold_quantile, seed=config.seed).head()["threshold"]
+        scored.withColumn("p", calibrator.apply(F.col("p"))), rules.recall,
+        samples=rules.resamples, quantile=rules.quantile, seed=descent.seed).head()["threshold"]
     moved = learning.Gate(gate.model, calibrator, float(threshold))
     return moved, placed.filter(F.col("position") >= n).drop("_draw", "position")

@@ -8,6 +8,8 @@ visited" and the early stop mean exactly what they mean in a queue.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,15 @@ from lodestone.session import cut_lineage
 STOP_FACTOR = 3
 
 
+@dataclass(frozen=True)
+class Reach:
+    """Hops of a search, targets it keeps, and neighbours a policy may add one after another."""
+
+    hops: int = 2
+    frontier: int = 200
+    actions: int = 5
+
+
 def with_degrees(edges: DataFrame) -> DataFrame:
     """Edges with the degree of their target, cut once and used by every level."""
     known = degrees(edges)
@@ -208,31 +219,61 @@ def candidate_paths(
     return frontier_cap(best_paths(found), cap)
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, *, max_hops: int = 2) -> DataFrame:
-    """``(qid, target)`` of every passage within ``max_hops`` of a query's seeds, without stop or cap.
+def _ids_to_words(frame: DataFrame, by: str, pid: str) -> DataFrame:
+    """``(by, word, bits)``: sets of ids as 64-bit words, put together before they are shuffled."""
+    return frame.select(
+        by, F.shiftright(pid, 6).alias("word"), F.expr(f"shiftleft(1L, cast({pid} & 63 as int))").alias("bits")
+    ).groupBy(by, "word").agg(F.bit_or("bits").alias("bits"))
+
 
-    Only distinct (query, node, hops) travel from level to level. A walk that meets a node
-    twice can be shortened, so these are the ends of all simple paths.
+def _words_to_ids(words: DataFrame) -> DataFrame:
+    bit = F.expr("explode(filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1) = 1))")
+    return words.select("source", "word", bit.alias("bit")).select(
+        "source", (F.shiftleft("word", 6) + F.col("bit")).alias("pid"))
+
+
+def _within(start: DataFrame, mentions: DataFrame, links: DataFrame, hops: int) -> DataFrame:
+    """``(source, word, bits)``: the passages within so many hops of each source passage.
+
+    What an entity leads to is the same for every source, so its passages are packed into words
+    once; an entity of a large part of the corpus then is a small fraction of as many rows.
     """
-    links = edges.select("source", "target")
-    frontier = seeds.select("qid", passage_node(F.col("pid")).alias("node"), F.lit(0).alias("hops")).distinct()
-    barred = frontier.select("qid", "node")
-    known = frontier
-    hops = F.col("hops") + F.when(is_passage(F.col("target")), F.lit(1)).otherwise(F.lit(0))
-    for _ in range(2 * max_hops):
-        frontier = cut_lineage(
-            frontier.filter(F.col("hops") < max_hops)
-            .join(links, F.col("node") == F.col("source"))
-            .select("qid", F.col("target").alias("node"), hops.alias("hops"))
-            .distinct()
-            .join(known, ["qid", "node", "hops"], "left_anti")
+    reached = _ids_to_words(start.select(F.col("pid").alias("source"), "pid"), "source", "pid")
+    for _ in range(hops):
+        ids = cut_lineage(_words_to_ids(reached))
+        asked = cut_lineage(ids.join(mentions, "pid").select("source", "entity").distinct())
+        known = mentions.join(asked.select("entity").distinct(), "entity", "left_semi")
+        through = asked.join(_ids_to_words(known, "entity", "pid"), "entity").select("source", "word", "bits")
+        direct = ids.join(links, "pid").select("source", "linked")
+        reached = (
+            reached.unionByName(through).unionByName(_ids_to_words(direct, "source", "linked"))
+            .groupBy("source", "word").agg(F.bit_or("bits").alias("bits"))
         )
-        known = known.unionByName(frontier)
-    return (
-        known.filter(is_passage(F.col("node"))).select("qid", "node").distinct()
-        .join(barred, ["qid", "node"], "left_anti")
-        .select("qid", passage_of(F.col("node")).alias("target"))
+    return cut_lineage(reached)
+
+
+def connected(edges: DataFrame, pairs: DataFrame, *, max_hops: int = 2) -> DataFrame:
+    """The rows of ``pairs(source, target)`` of different passages with a path of ``max_hops`` or less.
+
+    The search goes half the way from each end, once for every different passage, and the two
+    sets of passages are compared word by word. There is no stop and no cap: a walk that meets a
+    node twice can be shortened, so sets lose no simple path.
+    """
+    pairs = cut_lineage(pairs.select(F.col("source").cast("long"), F.col("target").cast("long")).distinct())
+    ends = edges.select("source", "target").filter(is_passage(F.col("source")))
+    to_passage = is_passage(F.col("target"))
+    pid = passage_of(F.col("source")).cast("long").alias("pid")
+    mentions = ends.filter(~to_passage).select(pid, F.col("target").alias("entity")).distinct()
+    links = ends.filter(to_passage).select(pid, passage_of(F.col("target")).cast("long").alias("linked")).distinct()
+    back = max_hops // 2
+    ahead = _within(pairs.select(F.col("source").alias("pid")).distinct(), mentions, links, max_hops - back)
+    behind = _within(pairs.select(F.col("target").alias("pid")).distinct(), mentions, links, back)
+    met = (
+        pairs.join(ahead, "source")
+        .join(behind.select(F.col("source").alias("target"), "word", F.col("bits").alias("other")), ["target", "word"])
+        .filter(F.col("bits").bitwiseAND(F.col("other")) != 0)
     )
+    return met.select("source", "target").distinct()
 
 
 def best_paths(found: DataFrame) -> DataFrame:
@@ -268,6 +309,13 @@ def mention_share(kinds: Column) -> Column:
     return mentions / F.greatest(F.lit(1), F.size(kinds))
 
 
+def rescuable_at_any_degree(edges: DataFrame, support: DataFrame, evidence: DataFrame, *, max_hops: int = 2) -> DataFrame:
+    """``(qid)`` of queries with a missing support passage within reach of their evidence, however wide the search."""
+    missing = support.join(evidence, ["qid", "pid"], "left_anti").select("qid", F.col("pid").alias("target"))
+    asked = cut_lineage(evidence.select("qid", F.col("pid").alias("source")).join(missing, "qid"))
+    return asked.join(connected(edges, asked, max_hops=max_hops), ["source", "target"]).select("qid").distinct()
+
+
 def rescuable(paths: DataFrame, support: DataFrame, evidence: DataFrame) -> DataFrame:
     """``(qid)`` of queries with a missing support passage among the reachable targets."""
     missing = support.join(evidence, ["qid", "pid"], "left_anti")

@@ -11,12 +11,13 @@ from lodestone.plans.registry import query
 from lodestone.plans.sql import compose
 from lodestone.plans.standins import passages, table
 
-MAX_HOPS, CAP = shared.GRAPH.max_hops, shared.GRAPH.frontier_cap
+MAX_HOPS, CAP = shared.REACH.hops, shared.REACH.frontier
 
 # Conversations as a link-heavy graph: capitalised forms plus a link to the turn before.
 TURN_PIECES = {
-    "turns": """select conv_id * 1000 + turn as pid, conv_id * 1000 + turn as pos, role as title, text as body,
-        case when turn > 0 then [conv_id * 1000 + turn - 1] else [] end as links from conversations""",
+    "turns": """select conv_id, n as pid, n as pos, role as title, text as body,
+        case when n > min(n) over (partition by conv_id) then [n - 1] else [] end as links
+        from (select *, row_number() over (order by conv_id, turn) - 1 as n from conversations)""",
     "turn_ents": f"select pid, pos, {sql.entities('trim(title || chr(46) || chr(32) || body, ' + sql.WHITESPACE + ')')} as ents from turns",
     "turn_allowed": """select entity, count(*) as df from (select unnest(ents) as entity from turn_ents) group by entity
         having count(*) >= 2 and count(*) <= (select greatest(2, ceil(count(*) * 0.05)) from turn_ents)""",
@@ -26,7 +27,7 @@ TURN_PIECES = {
     "turn_edges": """select a as source, b as target, kind, confidence, o_pos, o_kind, o_idx from turn_one_way
         union all select b, a, kind, confidence, o_pos, o_kind, o_idx from turn_one_way""",
     "turn_degree": "select source as node, count(*) as degree from turn_edges group by source",
-    "turn_seeds": "select conv_id as qid, max(conv_id * 1000 + turn) as pid, 1 as seed_no from conversations group by conv_id",
+    "turn_seeds": "select conv_id as qid, max(pid) as pid, 1 as seed_no from turns group by conv_id",
 }
 
 
@@ -95,14 +96,14 @@ def gb02(spark, sf_dir):
 @query("gb03_entity_df", compose("select entity, df from allowed"))
 def gb03(spark, sf_dir):
     return graph.allowed_entities(
-        shared.entity_lists(spark, sf_dir), shared.GRAPH.min_entity_df, shared.GRAPH.max_entity_df_ratio)
+        shared.entity_lists(spark, sf_dir), shared.LINKING.least_df, shared.LINKING.most_share)
 
 
 @query("gb04_mention_edges", compose("select pid, entity, df, round(confidence, 6) as confidence from mentions"))
 def gb04(spark, sf_dir):
     edges = graph.mention_edges(
-        graph.entity_lists(passages(spark, sf_dir)), shared.GRAPH.min_entity_df,
-        shared.GRAPH.max_entity_df_ratio)
+        graph.entity_lists(passages(spark, sf_dir)), shared.LINKING.least_df,
+        shared.LINKING.most_share)
     return edges.select("pid", "entity", "df", F.round("confidence", 6).alias("confidence"))
 
 
@@ -141,13 +142,13 @@ def gb07(spark, sf_dir):
 
 _TITLES = {
     "phrases": f"""select distinct array_to_string(w, ' ') as phrase, len(w) as width from (select {sql.tok('title')} as w from passages)
-        where len(w) between 1 and 8 and (len(w) > 1 or length(w[1]) >= 4)""",
+        where len(w) > 1 or (len(w) = 1 and length(w[1]) >= 4)""",
+    "prefixes": "select phrase, width, least(width, 4) as k, array_to_string(string_split(phrase, ' ')[1:4], ' ') as start from phrases",
     "body_words": f"select pid, {sql.tok('body')} as w from passages",
-    "aheads": """select pid, unnest(list_transform(range(1, len(w) + 1), lambda i: w[i:i + 7])) as ahead
-        from body_words""",
-    "grams": """select distinct pid, k as width, array_to_string(ahead[1:k], ' ') as phrase
-        from aheads, (select unnest(range(1, 9)) as k) where k <= len(ahead)""",
-    "title_hits": "select distinct pid, phrase from grams semi join phrases using (phrase, width)",
+    "places": "select pid, w, unnest(range(1, len(w) + 1)) as i from body_words",
+    "title_hits": """select distinct pid, phrase from (select pid, w, i, k, array_to_string(w[i:i + k - 1], ' ') as start
+          from places, (select unnest(range(1, 5)) as k) where i + k - 1 <= len(w)) join prefixes using (k, start)
+        where i + width - 1 <= len(w) and array_to_string(w[i:i + width - 1], ' ') = phrase""",
 }
 
 
@@ -226,8 +227,8 @@ def gt01l(spark, sf_dir):
     """The same search on the conversation graph, from the last turn of each conversation."""
     edges = traversal.with_degrees(
         graph.build_edges(shared.turns(spark, sf_dir), min_df=2, max_df_ratio=0.05))
-    seeds = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(
-        F.max(F.col("conv_id") * 1000 + F.col("turn")).alias("pid")).withColumn("seed_no", F.lit(1))
+    seeds = shared.turns(spark, sf_dir).groupBy(F.col("conv_id").alias("qid")).agg(
+        F.max("pid").alias("pid")).withColumn("seed_no", F.lit(1))
     return _path_columns(traversal.candidate_paths(edges, seeds, max_hops=2, cap=50, has_links=True))
 
 
@@ -238,39 +239,56 @@ def gt03(spark, sf_dir):
         "qid", "target", "path_id", F.col("hops").cast("long").alias("hops"))
 
 
-@query("gt05_rescuable", compose("""select qid, max((exists (select 1 from support s where s.qid = q.qid
+@query("gt05_frontier_rescuable", compose("""select qid, max((exists (select 1 from support s where s.qid = q.qid
       and not exists (select 1 from seeds x where x.qid = s.qid and x.pid = s.pid)
       and exists (select 1 from w_paths w where w.qid = s.qid and w.target = s.pid::varchar)))::int) as rescuable
     from q group by qid""", WALK))
-def gt05(spark, sf_dir):
+def gt05f(spark, sf_dir):
+    """Missing support in the frontier of a question, with the stop and the cap of the search."""
     here = shared.world(spark, sf_dir)
-    reached = traversal.rescuable(
-        traversal.reachable(shared.walk_edges(spark, sf_dir), here.seeds(), max_hops=MAX_HOPS), here.support, here.seeds())
+    return _flagged(here, traversal.rescuable(shared.seed_paths(spark, sf_dir), here.support, here.seeds()))
+
+
+def _flagged(here, reached):
     return here.queries.select("qid").join(reached.withColumn("rescuable", F.lit(1)), "qid", "left").select(
         "qid", F.coalesce("rescuable", F.lit(0)).alias("rescuable"))
 
 
-_PAIR_WALK = walk_pieces(
-    "s_", "pair_seeds", "edges", "degree", "pair_seeds", MAX_HOPS, CAP, False)
-_PAIR_WALK["pair_seeds"] = "select qid * 100000000 + pid as qid, pid, 1 as seed_no from support"
-_PAIR_WALK["pairs"] = """select a.qid * 100000000 + a.pid as qid, b.pid::varchar as target, a.qid as question
-    from support a join support b on a.qid = b.qid and a.pid <> b.pid"""
+# Sets of passages within one and two hops of the asked ones, level by level, without stop or cap.
+_NEAR = {
+    "near0": "select distinct pid as source, pid from asked",
+    **{f"near{k}": f"""select distinct n.source, y.pid from near{k - 1} n join mentions x on x.pid = n.pid join mentions y on y.entity = x.entity
+        union select source, pid from near{k - 1}""" for k in range(1, MAX_HOPS + 1)},
+}
+
+
+@query("gt05_rescuable", compose(f"""select q.qid, (count(n.pid) > 0)::int as rescuable from q
+    left join seeds x on x.qid = q.qid
+    left join (select * from support s where not exists (select 1 from seeds e where e.qid = s.qid and e.pid = s.pid)) m on m.qid = q.qid
+    left join near{MAX_HOPS} n on n.source = x.pid and n.pid = m.pid group by q.qid""", {**_NEAR, "asked": "select pid from seeds"}))
+def gt05(spark, sf_dir):
+    """Missing support within two hops of the seeds of a question, at any degree."""
+    here = shared.world(spark, sf_dir)
+    return _flagged(here, traversal.rescuable_at_any_degree(
+        shared.walk_edges(spark, sf_dir), here.support, here.seeds(), max_hops=MAX_HOPS))
+
+
+_NEAR_SUPPORT = {
+    **_NEAR, "asked": "select pid from support",
+    "pairs": "select a.qid, a.pid as source, b.pid as target from support a join support b on a.qid = b.qid and a.pid <> b.pid",
+}
 
 
-@query("gt06_pair_recall", compose("""select count(*) as pairs, count(s.target) as connected,
-      count(distinct question) as questions, count(distinct case when s.target is not null then question end) as any_connected
-    from pairs p left join s_paths s using (qid, target)""", _PAIR_WALK))
+@query("gt06_pair_recall", compose(f"""select count(*) as pairs, count(n.pid) as connected, count(distinct qid) as questions,
+      count(distinct case when n.pid is not null then qid end) as any_connected
+    from pairs p left join near{MAX_HOPS} n on n.source = p.source and n.pid = p.target""", _NEAR_SUPPORT))
 def gt06(spark, sf_dir):
     """How many ordered pairs of support passages a search connects."""
     support = shared.support(spark, sf_dir)
-    walk = (F.col("qid") * 100_000_000 + F.col("pid")).alias("walk")
-    seeds = support.select(walk.alias("qid"), "pid", F.lit(1).alias("seed_no"))
-    paths = traversal.reachable(shared.walk_edges(spark, sf_dir), seeds, max_hops=MAX_HOPS)
-    pairs = support.select("qid", "pid", walk).join(
-        support.select("qid", F.col("pid").alias("other")), "qid").filter("pid <> other")
-    hit = pairs.join(
-        paths.select(F.col("qid").alias("walk"), F.col("target").cast("long").alias("other"), F.lit(1).alias("hit")),
-        ["walk", "other"], "left")
+    pairs = support.select("qid", F.col("pid").alias("source")).join(
+        support.select("qid", F.col("pid").alias("target")), "qid").filter("source <> target")
+    met = traversal.connected(shared.walk_edges(spark, sf_dir), pairs, max_hops=MAX_HOPS)
+    hit = pairs.join(met.withColumn("hit", F.lit(1)), ["source", "target"], "left")
     return hit.agg(
         F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("connected"),
         F.count_distinct("qid").alias("questions"),

@@ -13,8 +13,8 @@ from lodestone.plans.policy_queries import PACK
 from lodestone.plans.registry import query
 from lodestone.plans.sql import compose
 from lodestone.plans.standins import passages, queries, table
-from lodestone.session import shared_folder
-from lodestone.sources import jsonl, sinks
+from lodestone.session import cut_lineage, shared_folder
+from lodestone.sources import jsonl, ranges, sinks
 from lodestone.streaming import checkpoint
 
 # Records: every line of a document is a context entry titled by its first word.
@@ -122,10 +122,27 @@ def sc15(spark, sf_dir):
     return ingest.aliases_by_id(rows)
 
 
-@query("sc07_last_wins", "select user_id, event_type, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id, event_type")
+@query("sc07_last_wins", """select user_id::varchar as query_id, event_type as candidate_id, list_reverse([event_type, user_id::varchar]) as evidence_ids,
+      max(event_id)::double as delta_f1 from events group by user_id, event_type
+    union all select user_id::varchar, event_type, [event_type, user_id::varchar], min(event_id)::double from events group by user_id, event_type""")
 def sc07(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-    return ingest.last_wins(rows, ["user_id", "event_type"], "event_id")
+    """Measured gains in one file of several splits: the last line of a key counts, evidence order is part of it."""
+    folder = f"{shared_folder(spark)}/gains-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("query_id"), F.col("event_type").alias("candidate_id"), "event_id")
+    ids = [F.col("query_id"), F.col("candidate_id")]
+    up = rows.withColumn("evidence_ids", F.array(*ids)).withColumn("place", F.col("event_id"))
+    down = rows.withColumn("evidence_ids", F.array(*ids[::-1])).withColumn("place", -F.col("event_id"))
+    lines = up.unionByName(down).repartitionByRange(4, "place").sortWithinPartitions("place")
+    jsonl.write_jsonl(lines.select("query_id", "candidate_id", "evidence_ids", F.col("event_id").cast("double").alias("delta_f1")), folder)
+    # Files are named by partition, so their order is that of the places; small splits deal them out in another.
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "131072")
+    try:
+        found = cut_lineage(jsonl.read_counterfactuals(spark, folder))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return found.select("query_id", "candidate_id", "evidence_ids", "delta_f1")
 
 
 @query("sc13_keyed_rows", "select event_id, user_id, value from events where event_type = 'click'")
@@ -155,7 +172,7 @@ def sc03(spark, sf_dir):
 
 @query("sc04_json_array", """select user_id, count(*) as n, round(sum(value), 4) as total from events group by user_id""")
 def sc04(spark, sf_dir):
-    """SC05: files of at most a thousand records, each one JSON array, read back record by record."""
+    """Files of at most a thousand records, each one JSON array, read back record by record."""
     folder = f"{shared_folder(spark)}/arrays-{uuid.uuid4().hex}"
     blocks = table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("block")).agg(
         F.to_json(F.collect_list(F.struct("user_id", "value"))).alias("value"))
@@ -167,24 +184,54 @@ def sc04(spark, sf_dir):
 _BLOCKS = "select user_id || '-' || event_id // 2000 as query_id, list_sort(list(distinct event_type)) as p from events group by 1"
 
 
-@query("sk05_resume", f"""select query_id from ({_BLOCKS}) where p <> (select list_sort(list(distinct event_type)) from events)""")
+@query("sk05_resume", f"""select query_id from ({_BLOCKS}) where p <> (select list_sort(list(distinct event_type)) from events) or length(query_id) % 7 = 0""")
 def sk05(spark, sf_dir):
-    """Blocks of a user's events as queries, event types as policies: who still has to be evaluated."""
+    """Blocks of a user's events as queries, event types as policies: who still has to be evaluated.
+
+    Every query has a file of a blank line, a line without an id, its bundle, its bundle once more and a
+    torn line; bundles of some queries lack a policy's trace.
+    """
     from lodestone.schemas import BUNDLES
 
     events = table(spark, sf_dir, "events")
     name = F.concat_ws("-", F.col("user_id"), F.floor(F.col("event_id") / 2000))
     kinds = sorted(row[0] for row in events.select("event_type").distinct().collect())
     by_query = events.select(name.alias("query_id"), "event_type").distinct().groupBy("query_id").agg(
-        F.collect_list(F.struct(F.col("event_type").alias("policy"))).alias("rows"))
-    whole = F.to_json(F.struct("query_id", "rows", F.col("rows").alias("traces")))
-    torn = F.substring(whole, 1, 25)  # each query has a file of its own that ends in a torn line
-    lines = by_query.select(
-        F.col("query_id").alias("file"), F.posexplode(F.array(whole, torn)).alias("line", "value"))
+        F.array_sort(F.collect_list(F.struct(F.col("event_type").alias("policy")))).alias("rows"))
+    poor = F.length("query_id") % 7 == 0
+    traces = F.when(poor, F.slice("rows", 1, F.size("rows") - 1)).otherwise(F.col("rows"))
+    whole = F.to_json(F.struct("query_id", "rows", traces.alias("traces")))
+    lines = by_query.select(F.col("query_id").alias("file"), F.posexplode(F.array(
+        F.lit("  "), F.lit('{"rows": []}'), whole, whole, F.substring(whole, 1, 25))).alias("line", "value"))
     done = checkpoint.complete_bundles(checkpoint.parse_bundles(lines, BUNDLES), kinds)
     return checkpoint.pending_queries(by_query.select("query_id"), done)
 
 
+@query("sc05_array_scan", "select doc_id, source, lang, md5(text) as digest, n_chars from documents")
+def sc05(spark, sf_dir):
+    """Documents written as JSON arrays, one to a file, and read back by many tasks a file."""
+    folder = f"{shared_folder(spark)}/huge-arrays-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "documents").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(_as_array, "value string").write.text(folder)
+    found = ranges.scan_json_arrays(
+        spark, folder, "doc_id bigint, text string, lang string, source string, n_chars bigint", range_bytes=256 << 10)
+    return found.select("doc_id", "source", "lang", F.md5(F.col("text").cast("binary")).alias("digest"), "n_chars")
+
+
+def _as_array(batches):
+    """The rows of a partition with the brackets and commas that make them one array."""
+    import pyarrow as pa
+
+    ahead = "["
+    for batch in batches:
+        lines = []
+        for value in batch["value"].to_pylist():
+            lines.append(ahead + value)
+            ahead = ","
+        yield pa.RecordBatch.from_pydict({"value": lines})
+    yield pa.RecordBatch.from_pydict({"value": ["[]" if ahead == "[" else "]"]})
+
+
 def _results(spark, sf_dir):
     """Result rows of the two packed policies with a prediction and evidence per reader."""
     from lodestone.plans.metric_queries import traces

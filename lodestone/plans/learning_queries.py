@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.config import LearningConfig
 from lodestone.functions.scores import clip_probability, log_loss_term, sigmoid
 from lodestone.operators import features, learning, policies, training
 from lodestone.plans import shared
@@ -15,7 +14,6 @@ from lodestone.plans.registry import query
 from lodestone.plans.sql import compose
 from lodestone.plans.statistic_queries import SCORED, scored
 
-CONFIG = LearningConfig()
 LABELS = {
     **VALUES,
     "labelled": """select v.qid, v.target::bigint as target, hub, hops, confidence, relevance, evidence_redundancy,
@@ -102,7 +100,7 @@ def lr05i(spark, sf_dir):
 @query("lr06_platt")
 def lr06(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    fitted = learning.fit_platt(rows, [F.lit(True)], CONFIG)[0]
+    fitted = learning.fit_platt(rows, [F.lit(True)])[0]
     return rows.select("id", F.round(fitted.apply(F.col("p")), 6).alias("calibrated"))
 
 
@@ -113,7 +111,7 @@ def lr07(spark, sf_dir):
 
 @query("lr08_method_choice")
 def lr08(spark, sf_dir):
-    best, losses = learning.select_calibration(scored(spark, sf_dir), CONFIG)
+    best, losses = learning.select_calibration(scored(spark, sf_dir))
     rows = [(name, round(loss, 9), name == best) for name, loss in losses.items()]
     return spark.createDataFrame(rows, "method string, log_loss double, chosen boolean")
 
@@ -139,7 +137,8 @@ def jn05(spark, sf_dir):
     """Labels replaced where a gain was measured for the same query, evidence set and candidate."""
     here = shared.world(spark, sf_dir)
     rows = _scored(spark, sf_dir)
-    held = here.seeds().groupBy("qid").agg(F.array_sort(F.collect_set("pid")).alias("evidence_ids"))
+    held = here.seeds().groupBy("qid").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("seed_no", "pid"))), lambda e: e["pid"]).alias("evidence_ids"))
     gains = rows.filter("target % 3 = 0").select("qid", "target", F.round(F.sin("target"), 6).alias("delta_f1")).join(held, "qid")
     labelled = learning.candidate_labels(rows, here.support, here.seeds(), gains)
     return labelled.select("qid", "target", "y_add", "y_complete", "y_reader", "y_harmful")
@@ -169,7 +168,7 @@ def lr18(spark, sf_dir):
 def _models(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _fitted:
-        _fitted[key] = training.train(shared.world(spark, sf_dir), CONFIG)
+        _fitted[key] = training.train(shared.world(spark, sf_dir))
     return _fitted[key]
 
 
@@ -187,7 +186,7 @@ def _weights(spark, models):
 @query("lr12_value_heads")
 def lr12(spark, sf_dir):
     """LR02: the four heads fitted on the candidate rows of both states."""
-    return _weights(spark, training.fit_heads(training.candidate_rows(shared.world(spark, sf_dir)), CONFIG))
+    return _weights(spark, training.fit_heads(training.candidate_rows(shared.world(spark, sf_dir))))
 
 
 @query("lr13_gates")
@@ -208,7 +207,7 @@ def lr20(spark, sf_dir):
 
     models, here = _models(spark, sf_dir), shared.world(spark, sf_dir)
     rows, _ = training.gate_states(here, models.heads)
-    moved, rest = training.recalibrate(models.preflight, rows, rows.count() // 2, CONFIG)
+    moved, rest = training.recalibrate(models.preflight, rows, rows.count() // 2)
     judged = moved.verdict(rest).select(F.col("qid").alias("id"), F.col("probability").alias("p"), "y")
     return binary_quality(judged, moved.threshold)
 

@@ -43,7 +43,7 @@ def traces(spark, sf_dir):
         from lodestone.operators import retrieval
 
         lexical = retrieval.bm25_top_k(
-            shared.corpus(spark, sf_dir), here.queries, shared.RETRIEVAL.bm25_k)
+            shared.corpus(spark, sf_dir), here.queries, shared.DEPTHS.lexical)
         parts = None
         for policy, ranking in (("hybrid", here.ranking), ("bm25", lexical)):
             packed = packing.pack_ranking(ranking, here.tokens, FINAL_K, BUDGET)
@@ -91,7 +91,7 @@ def mt02x(spark, sf_dir):
     from lodestone.operators import retrieval
 
     ranked = retrieval.bm25_top_k(
-        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.RETRIEVAL.bm25_k)
+        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.DEPTHS.lexical)
     lists = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "pid"))).alias("r")).select(
         "qid", F.transform("r", lambda r: r["pid"]).alias("final_ids"))
     values = {k: v for k, v in metrics.cutoff_metrics(metrics.EXTERNAL_CUTOFFS).items() if "precision" not in k}

@@ -12,7 +12,7 @@ from lodestone.plans.registry import query
 from lodestone.plans.sql import compose
 
 BUDGET, SEED_K, FINAL_K = sql.BUDGET, sql.SEED_K, sql.FINAL_K
-ACTIONS = shared.GRAPH.max_actions
+ACTIONS = shared.REACH.actions
 
 
 def feature_pieces(prefix: str, paths: str, evidence: str) -> dict[str, str]:

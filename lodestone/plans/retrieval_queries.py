@@ -38,13 +38,13 @@ def hr02(spark, sf_dir):
 @query("hr02_bm25_topk", compose(
     "select qid, pid, rank, round(bm25_score, 6) as bm25_score from bm25_rank"))
 def hr02k(spark, sf_dir):
-    return bm25_ranked(spark, sf_dir, shared.RETRIEVAL.bm25_k)
+    return bm25_ranked(spark, sf_dir, shared.DEPTHS.lexical)
 
 
 def bm25_ranked(spark, sf_dir, k=10):
     corpus = retrieval.build_corpus(passages(spark, sf_dir))
     ranked = retrieval.retrieve(
-        corpus, shared.queries(spark, sf_dir), mode="bm25", k=k, config=shared.RETRIEVAL)
+        corpus, shared.queries(spark, sf_dir), mode="bm25", k=k, depths=shared.DEPTHS)
     return ranked.select("qid", "pid", F.col("rank").cast("long").alias("rank"), *_r("bm25_score"))
 
 
@@ -52,8 +52,8 @@ def bm25_ranked(spark, sf_dir, k=10):
     "select qid, pid, rank, round(dense_score, 6) as dense_score from dense_rank"))
 def hr03(spark, sf_dir):
     ranked = retrieval.retrieve(
-        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode="dense", k=shared.RETRIEVAL.dense_k,
-        config=shared.RETRIEVAL)
+        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode="dense", k=shared.DEPTHS.dense,
+        depths=shared.DEPTHS)
     return ranked.select("qid", "pid", F.col("rank").cast("long").alias("rank"), *_r("dense_score"))
 
 
@@ -62,7 +62,7 @@ def hr03(spark, sf_dir):
 def hr04(spark, sf_dir):
     """The whole BM25 list, places without any matching passage filled in corpus order."""
     ranked = retrieval.bm25_top_k(
-        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.RETRIEVAL.bm25_k)
+        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.DEPTHS.lexical)
     return ranked.select("qid", "pid", F.col("rank").cast("long").alias("rank"), *_r("bm25_score"))
 
 
@@ -105,9 +105,9 @@ def sc10(spark, sf_dir):
     from bm25_rank b full outer join dense_rank d using (qid, pid)"""))
 def jn03(spark, sf_dir):
     corpus, asked = shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir)
-    lexical = retrieval.bm25_top_k(corpus, asked, shared.RETRIEVAL.bm25_k)
+    lexical = retrieval.bm25_top_k(corpus, asked, shared.DEPTHS.lexical)
     placed = shared.passage_vectors(spark, sf_dir).join(corpus.tokens.select("pid", "pos"), "pid")
-    dense = retrieval.dense_top_k(placed, shared.query_vectors(spark, sf_dir), shared.RETRIEVAL.dense_k)
+    dense = retrieval.dense_top_k(placed, shared.query_vectors(spark, sf_dir), shared.DEPTHS.dense)
     return lexical.select("qid", "pid", F.col("rank").cast("long").alias("bm25_rank")).join(
         dense.select("qid", "pid", F.col("rank").cast("long").alias("dense_rank")), ["qid", "pid"], "full")
 
@@ -117,7 +117,7 @@ def jn03(spark, sf_dir):
 def hr05(spark, sf_dir):
     ranked = retrieval.retrieve(
         shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode="rrf_fusion",
-        k=shared.RETRIEVAL.rerank_k, config=shared.RETRIEVAL)
+        k=shared.DEPTHS.fused, depths=shared.DEPTHS)
     return ranked.select("qid", "pid", F.col("rank").cast("long").alias("rank"),
                          *_r("bm25_score", "dense_score", "rrf_score"))
 
@@ -140,14 +140,14 @@ def hr06(spark, sf_dir):
 def hr07(spark, sf_dir):
     ranked = retrieval.retrieve(
         shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode="hybrid",
-        k=shared.RETRIEVAL.rerank_k, config=shared.RETRIEVAL)
+        k=shared.DEPTHS.fused, depths=shared.DEPTHS)
     return ranked.select("qid", "pid", F.col("rank").cast("long").alias("rank"), *_r("rerank_score"))
 
 
 # A whole list of each mode: a fused list has no limit of its own.
 _LENGTHS = {
-    "bm25": shared.RETRIEVAL.bm25_k, "dense": shared.RETRIEVAL.dense_k,
-    "rrf_fusion": shared.RETRIEVAL.bm25_k + shared.RETRIEVAL.dense_k, "hybrid": shared.RETRIEVAL.rerank_k,
+    "bm25": shared.DEPTHS.lexical, "dense": shared.DEPTHS.dense,
+    "rrf_fusion": shared.DEPTHS.lexical + shared.DEPTHS.dense, "hybrid": shared.DEPTHS.fused,
 }
 
 
@@ -161,7 +161,7 @@ def hr08(spark, sf_dir):
     for mode in retrieval.MODES:
         ranked = retrieval.retrieve(
             shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), mode=mode, k=_LENGTHS[mode],
-            config=shared.RETRIEVAL).withColumn("mode", F.lit(mode))
+            depths=shared.DEPTHS).withColumn("mode", F.lit(mode))
         parts = ranked if parts is None else parts.unionByName(ranked)
     return parts.groupBy("mode").agg(
         F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("rerank_score"), 4).alias("total"),

@@ -11,22 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.config import GraphConfig, LearningConfig, RetrievalConfig
 from lodestone.functions import text as tx
-from lodestone.operators import graph, retrieval, traversal
+from lodestone.operators import graph, packing, retrieval, traversal
+from lodestone.operators.ordered import positions
 from lodestone.operators.policies import World
 from lodestone.plans import sql, standins
 from lodestone.session import cut_lineage, tune
 
-RETRIEVAL = RetrievalConfig(
-    bm25_k=sql.BM25_K, dense_k=sql.DENSE_K, rerank_k=sql.RERANK_K,
-    seed_k=sql.SEED_K, final_k=sql.FINAL_K, token_budget=sql.BUDGET,
-)
-GRAPH = GraphConfig(
-    max_hops=2, frontier_cap=200, max_actions=2, min_entity_df=sql.MIN_DF,
-    max_entity_df_ratio=sql.MAX_DF_RATIO,
-)
-LEARNING = LearningConfig()
+DEPTHS = retrieval.Depths(lexical=sql.BM25_K, dense=sql.DENSE_K, fused=sql.RERANK_K)
+CONTEXT = packing.Context(seeds=sql.SEED_K, passages=sql.FINAL_K, tokens=sql.BUDGET)
+REACH = traversal.Reach(hops=2, frontier=200, actions=2)
+LINKING = graph.Linking(least_df=sql.MIN_DF, most_share=sql.MAX_DF_RATIO)
 
 _built: dict[tuple[str, str, str], DataFrame] = {}
 
@@ -63,8 +58,8 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         "ranking", spark, sf_dir,
         lambda: retrieval.retrieve(
-            corpus(spark, sf_dir), queries(spark, sf_dir), mode="hybrid", k=RETRIEVAL.rerank_k,
-            config=RETRIEVAL,
+            corpus(spark, sf_dir), queries(spark, sf_dir), mode="hybrid", k=DEPTHS.fused,
+            depths=DEPTHS,
         ),
     )
 
@@ -75,7 +70,7 @@ def entity_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.mention_edges(entity_lists(spark, sf_dir), GRAPH.min_entity_df, GRAPH.max_entity_df_ratio)
+    return graph.mention_edges(entity_lists(spark, sf_dir), LINKING.least_df, LINKING.most_share)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,14 +108,13 @@ def world(spark: SparkSession, sf_dir: str) -> World:
             pairs, passage_vectors(spark, sf_dir), query_vectors(spark, sf_dir)),
         support=support(spark, sf_dir),
         has_links=False,
-        retrieval=RETRIEVAL,
-        graph=GRAPH,
-        learning=LEARNING,
+        context=CONTEXT,
+        reach=REACH,
     )
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking(spark, sf_dir).filter(F.col("rank") <= RETRIEVAL.seed_k).select(
+    return ranking(spark, sf_dir).filter(F.col("rank") <= CONTEXT.seeds).select(
         "qid", "pid", F.col("rank").alias("seed_no"))
 
 
@@ -129,16 +123,19 @@ def seed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(
         "seed_paths", spark, sf_dir,
         lambda: traversal.candidate_paths(
-            walk_edges(spark, sf_dir), seeds(spark, sf_dir), max_hops=GRAPH.max_hops,
-            cap=GRAPH.frontier_cap, has_links=False),
+            walk_edges(spark, sf_dir), seeds(spark, sf_dir), max_hops=REACH.hops,
+            cap=REACH.frontier, has_links=False),
     )
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as passages; each links to the turn before it."""
-    rows = standins.table(spark, sf_dir, "conversations")
-    pid = F.col("conv_id") * 1000 + F.col("turn")
-    return rows.select(
-        pid.alias("pid"), pid.alias("pos"), F.col("role").alias("title"), "text",
-        F.when(F.col("turn") > 0, F.array(pid - 1)).otherwise(F.array().cast("array<bigint>")).alias("links"),
-    )
+    """Conversation turns as passages, numbered in order; each links to the turn before it."""
+    def numbered() -> DataFrame:
+        rows = positions(standins.table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+        return rows.withColumn("pid", F.col("position").cast("long")).drop("position")
+
+    rows = _once("turns", spark, sf_dir, numbered)
+    firsts = rows.groupBy("conv_id").agg(F.min("pid").alias("first"))
+    before = F.when(F.col("pid") > F.col("first"), F.array(F.col("pid") - 1)).otherwise(F.array().cast("array<bigint>"))
+    return rows.join(firsts, "conv_id").select(
+        "conv_id", "pid", F.col("pid").alias("pos"), F.col("role").alias("title"), "text", before.alias("links"))

@@ -243,7 +243,7 @@ def so06(spark, sf_dir):
     """First five of two rankings, repeats kept at their first place."""
     from lodestone.operators import retrieval
 
-    lexical = retrieval.bm25_top_k(shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.RETRIEVAL.bm25_k)
+    lexical = retrieval.bm25_top_k(shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.DEPTHS.lexical)
 
     def head(ranking, name):
         rows = ranking.filter("rank <= 5").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "pid"))).alias("r"))

@@ -58,6 +58,20 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(settings).exists(target))
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file in whatever store the path names; it replaces an older one."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).head()["value"]
+
+
 def cut_lineage(frame: DataFrame) -> DataFrame:
     """Materialise a step of an iterative job in the shared folder."""
     shared_folder(frame.sparkSession)

@@ -6,12 +6,13 @@ back empty, as the data model has no nulls.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pyspark.sql.types import ArrayType, StructType
 
 from lodestone import schemas
+from lodestone.sources import ranges
 
 # Keys under which a wrapped array may sit.
 WRAPPERS = ("data", "examples", "questions")
@@ -21,6 +22,28 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def line_order() -> Column:
+    """Where a line of the scanned files stands: file, start of the split, place within it.
+
+    Partition numbers say nothing about that, as splits are dealt out by size; within a split,
+    which is never spread over partitions, ids grow from line to line.
+    """
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, line, value)`` of text files, lines numbered from 1 through all splits of a file."""
+    from lodestone.session import cut_lineage
+
+    rows = cut_lineage(spark.read.text(path).select("value", line_order().alias("at")))
+    split = rows.groupBy("at.file_path", "at.file_block_start").agg(
+        F.min("at.line").alias("first"), F.count(F.lit(1)).alias("lines"))
+    ahead = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = split.withColumn("before", F.coalesce(F.sum("lines").over(ahead), F.lit(0)))
+    return rows.select("value", "at.*").join(starts, ["file_path", "file_block_start"]).select(
+        F.col("file_path").alias("file"), (F.col("line") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
 def write_jsonl(frame: DataFrame, path: str, mode: str = "error") -> None:
     frame.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
@@ -79,9 +102,10 @@ def fact_entries(column: str) -> Column:
     return F.transform(column, entry)
 
 
-def read_multi_hop(spark: SparkSession, path: str) -> DataFrame:
-    """Multi-hop source records with parsed context and facts."""
-    return read_json_array(spark, path, schemas.MULTI_HOP).withColumns(
+def read_multi_hop(spark: SparkSession, path: str, *, huge: bool = False) -> DataFrame:
+    """Multi-hop source records with parsed context and facts; ``huge`` arrays are read by ranges."""
+    read = ranges.scan_json_arrays if huge else read_json_array
+    return read(spark, path, schemas.MULTI_HOP).withColumns(
         {"context": context_entries("context"), "supporting_facts": fact_entries("supporting_facts")}
     )
 
@@ -120,13 +144,14 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_counterfactuals(spark: SparkSession, path: str) -> DataFrame:
-    """Measured gains keyed by query, evidence set and candidate; the last line of a key counts."""
+    """Measured gains keyed by query, evidence list and candidate; the last line of a key counts.
+
+    The order of the evidence is part of the key. Files follow each other by name.
+    """
     from lodestone.operators.ingest import last_wins
 
     keys = ["query_id", "evidence_ids", "candidate_id"]
-    rows = read_jsonl(spark, path, schemas.COUNTERFACTUALS).withColumn(
-        "evidence_ids", F.array_sort("evidence_ids")
-    ).withColumn("_line", F.struct("_metadata.file_name", F.monotonically_increasing_id()))
+    rows = read_jsonl(spark, path, schemas.COUNTERFACTUALS).withColumn("_line", line_order())
     return last_wins(rows, keys, "_line").drop("_line")
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.session import write_text
+
 
 def write_csv(frame: DataFrame, path: str, *, sorted_header: bool = True, mode: str = "error") -> None:
     """One CSV folder with a header; columns in name order unless told otherwise."""
@@ -63,7 +64,7 @@ def paragraph_export(rows: DataFrame, queries: DataFrame, policy: str, reader: s
     )
 
 
-def write_report(path: str, aggregate: DataFrame, comparisons: DataFrame) -> None:
+def write_report(path: str, aggregate: DataFrame, comparisons: DataFrame, notes: dict | None = None) -> None:
     """Small text report; both inputs hold one row per policy or comparison."""
     policies = [row.asDict() for row in aggregate.orderBy("policy").collect()]
     tests = [row.asDict() for row in comparisons.collect()]
@@ -75,11 +76,10 @@ def write_report(path: str, aggregate: DataFrame, comparisons: DataFrame) -> Non
         lines.append(
             f"| {row['name']} | {row['difference']:+.4f} | [{row['ci95_low']:.4f}, {row['ci95_high']:.4f}] "
             f"| {row['p_value']:.4f} | {row['adjusted']:.4f} |")
-    folder = Path(path)
-    folder.mkdir(parents=True, exist_ok=True)
-    (folder / "report.md").write_text("\n".join(lines) + "\n", encoding="utf-8")
-    (folder / "summary.json").write_text(
-        json.dumps({"policies": policies, "comparisons": tests}, indent=2, default=str), encoding="utf-8")
+    spark = aggregate.sparkSession
+    write_text(spark, f"{path}/report.md", "\n".join(lines) + "\n")
+    summary = {"policies": policies, "comparisons": tests, "notes": notes or {}}
+    write_text(spark, f"{path}/summary.json", json.dumps(summary, indent=2, default=str))
 
 
 def discover_runs(spark, root: str) -> DataFrame:

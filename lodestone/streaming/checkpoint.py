@@ -17,17 +17,23 @@ from pyspark.sql.streaming import StreamingQuery
 def parse_bundles(lines: DataFrame, schema: str) -> DataFrame:
     """Lines (file, line, value) to bundles with their file and line.
 
-    The last line of a file may be torn by a stopped write and is then left out; any other
-    line that does not parse is an error.
+    The last line of a file may be torn by a stopped write and is then left out; any other line
+    that is no JSON object stops the read, here and not in some later job, so that no filter on
+    the result can be moved ahead of the check. Blank lines and those without a query id are
+    left out.
     """
     last = lines.groupBy("file").agg(F.max("line").alias("last"))
-    parsed = lines.select(
-        "file", "line", F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("b")
+    record = f"{schema}, _broken string"
+    parsed = lines.filter(F.trim("value") != "").select(
+        "file", "line",
+        F.from_json("value", record, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}).alias("b"),
     ).join(last, "file")
-    broken = F.col("b").isNull() | F.col("b.query_id").isNull()
-    wrong = F.raise_error(F.concat(F.lit("malformed bundle in "), "file", F.lit(" line "), F.col("line").cast("string")))
-    checked = parsed.withColumn("keep", F.when(broken & (F.col("line") < F.col("last")), wrong.cast("boolean")).otherwise(~broken))
-    return checked.filter("keep").select("file", "line", "b.*")
+    broken = F.col("b").isNull() | F.col("b._broken").isNotNull()
+    torn = parsed.filter(broken & (F.col("line") < F.col("last"))).orderBy("file", "line").limit(1).collect()
+    if torn:
+        raise ValueError(f"malformed bundle in {torn[0]['file']} line {torn[0]['line']}")
+    named = parsed.filter(~broken & (F.coalesce("b.query_id", F.lit("")) != ""))
+    return named.select("file", "line", "b.*").drop("_broken")
 
 
 def complete_bundles(bundles: DataFrame, policies: Sequence[str]) -> DataFrame:

@@ -142,9 +142,48 @@ def test_pair_recall_and_rescue_see_past_the_frontier_cap(spark, monkeypatch):
     row = graph_queries.gt06(spark, "")
     assert tuple(row.head()) == (2, 2, 1, 1)
     seeds = spark.createDataFrame([(7, 0, 1)], "qid long, pid long, seed_no int")
-    reached = traversal.reachable(edges, seeds, max_hops=2)
-    assert {r["target"] for r in reached.collect()} == {str(i) for i in range(1, 701)}
-    assert traversal.rescuable(reached, support, seeds).count() == 1
+    assert traversal.rescuable_at_any_degree(edges, support, seeds).count() == 1
+    capped = traversal.candidate_paths(edges, seeds, max_hops=2, cap=200, has_links=True)
+    assert traversal.rescuable(capped, support, seeds).count() == 0
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4])
+def test_connected_against_plain_search(spark, hops):
+    rng = np.random.default_rng(hops)
+    rows = []
+    for i in range(0, 400, 5):
+        names = sorted({f"e{x}" for x in rng.integers(0, 70, size=int(rng.integers(0, 3)))})
+        rows.append((i, i, "t", "x", names, [int(x) * 5 for x in rng.integers(0, 80, size=int(rng.integers(0, 2)))]))
+    edges = graph.build_edges(passages_of(spark, rows), max_df_ratio=0.9)
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r["source"], set()).add(r["target"])
+    pairs = {tuple(int(x) * 5 for x in rng.choice(80, 2, replace=False)) for _ in range(150)}
+
+    def found(source, target):
+        seen, level = {f"p:{source}"}, {f"p:{source}"}
+        for _ in range(hops):
+            through = {n for node in level for n in near.get(node, ())}
+            level = {n for n in through if n[0] == "p"} | {n for e in through if e[0] == "e" for n in near[e]}
+            seen |= level
+        return f"p:{target}" in seen
+
+    asked = spark.createDataFrame([*pairs, next(iter(pairs))], "source long, target long")
+    got = traversal.connected(traversal.with_degrees(edges), asked, max_hops=hops).collect()
+    assert {(r.source, r.target) for r in got} == {p for p in pairs if found(*p)} and len(got) == len({tuple(r) for r in got})
+
+
+def test_titles_of_any_length(spark):
+    rng = np.random.default_rng(1)
+    vocabulary = ["alpha", "beta", "gamma", "delta"]
+    texts = [[str(w) for w in rng.choice(vocabulary, size=int(rng.integers(0, 60)))] for _ in range(60)]
+    titles = [" ".join(t[2 : 2 + int(rng.integers(0, 16))]) for t in texts] + ["Alpha", "a", "one two three four five six seven eight nine ten eleven twelve"]
+    texts += [[], ["x"], f"zero {titles[-1]} thirteen".split()]
+    rows = passages_of(spark, [(i, i, title, " ".join(text), [], []) for i, (title, text) in enumerate(zip(titles, texts))])
+    found = {(r.pid, r.phrase) for r in graph.title_mentions(rows).collect()}
+    phrases = {t.lower() for t in titles if " " in t or len(t) >= 4}
+    assert found == {(i, p) for i, text in enumerate(texts) for p in phrases if f" {p} " in f" {' '.join(text)} "}
+    assert (len(texts) - 1, titles[-1]) in found
 
 
 def test_title_links_and_corruption(spark):
@@ -194,8 +233,8 @@ def test_bundles_and_stream(spark, tmp_path):
     done = checkpoint.complete_bundles(checkpoint.parse_bundles(lines, BUNDLES), ["x", "y"])
     assert [r["query_id"] for r in done.collect()] == ["a"]
     torn = spark.createDataFrame([("f", 9, part)], lines.schema).union(lines)
-    with pytest.raises(Exception, match="malformed bundle in f line 3"):
-        checkpoint.parse_bundles(torn, BUNDLES).collect()
+    with pytest.raises(ValueError, match="malformed bundle in f line 3"):
+        checkpoint.complete_bundles(checkpoint.parse_bundles(torn, BUNDLES), ["x", "y"])
     source = tmp_path / "in"
     source.mkdir()
     (source / "one.json").write_text('{"query_id":"a"}\n{"query_id":"b"}\n')

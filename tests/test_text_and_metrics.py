@@ -128,7 +128,7 @@ def test_logistic_matches_direct_descent(spark):
     epochs = 40
     rows = spark.range(200).select(F.sin("id").alias("a"), F.cos(F.col("id") * 3).alias("b"),
                                    (F.sin("id") + 0.3 * F.cos(F.col("id") * 5) > 0.2).cast("int").alias("y"))
-    model = learning.fit_logistic(rows, ["a", "b"], ["y"], learning.LearningConfig(epochs=epochs))["y"]
+    model = learning.fit_logistic(rows, ["a", "b"], ["y"], learning.Descent(epochs=epochs))["y"]
     pdf = rows.toPandas()
     w, b = brute_force_descent(pdf[["a", "b"]].to_numpy(), pdf["y"].to_numpy(dtype=float), epochs)
     assert np.allclose(model.weights, w) and math.isclose(model.bias, b, abs_tol=1e-12)
@@ -140,6 +140,6 @@ def test_isotonic_is_monotone_and_platt_keeps_order(spark):
     assert list(fitted.ys) == sorted(fitted.ys)
     got = rows.select("p", fitted.apply(F.col("p")).alias("q")).toPandas()
     assert np.allclose(got["q"], np.interp(got["p"], fitted.xs, fitted.ys))
-    platt = learning.fit_platt(rows, [F.lit(True)], learning.LearningConfig(), epochs=50)[0]
+    platt = learning.fit_platt(rows, [F.lit(True)], learning.Descent(), epochs=50)[0]
     curve = rows.select("p", platt.apply(F.col("p")).alias("q")).distinct().orderBy("p").toPandas()["q"]
     assert curve.is_monotonic_increasing
