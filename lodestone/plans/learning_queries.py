@@ -26,21 +26,28 @@ LABELS = {
 }
 
 
+_PREVIOUS = {
+    "previous_marginal_value": "c.marginal_value", "previous_p_add": "p_add", "previous_p_complete": "p_complete",
+    "previous_p_reader": "p_reader", "previous_p_harmful": "p_harmful", "previous_relevance": "c.relevance",
+    "previous_confidence": "c.confidence", "previous_inverse_hubness": "1.0 / greatest(1, c.hub)",
+    "previous_inverse_hops": "1.0 / greatest(1, c.hops)", "previous_log_frontier": "ln(1 + frontier_size)",
+    "previous_score_margin": "m.margin",
+}
+
+
 @query("fe04_continue_features", compose(
-    """select g.qid, round(max_rerank, 6) as max_rerank, round(coalesce(marginal_value, 0), 6) as previous_marginal_value,
-      round(coalesce(p_add, 0), 6) as previous_p_add, round(coalesce(relevance, 0), 6) as previous_relevance,
-      round(coalesce(1.0 / greatest(1, hub), 0), 6) as previous_inverse_hubness, round(coalesce(1.0 / greatest(1, hops), 0), 6) as previous_inverse_hops,
-      round(coalesce(ln(1 + frontier_size), 0), 6) as previous_log_frontier
-    from gate_values g left join (select * from sel_mrv where choice = 1) c on c.qid = g.qid""", {**GATE, **_SELECT}))
+    "select g.qid, " + ", ".join(f"round(g.{n}, 6) as {n}" for n in features.GATE_FEATURES) + ", "
+    + ", ".join(f"round(coalesce({value}, 0), 6) as {name}" for name, value in _PREVIOUS.items())
+    + """ from gate_values g left join (select * from sel_mrv where choice = 1) c on c.qid = g.qid
+      left join (select qid, max(top) - coalesce(any_value(score) filter (score_no = 2), 0) as margin from sel_mrv group by qid) m on m.qid = g.qid""",
+    {**GATE, **_SELECT}))
 def fe04(spark, sf_dir):
     """Gate features next to the features of the candidate the value selector would take first."""
     best = policies.select_candidate(_valued(spark, sf_dir).withColumn("is_missing_support", F.lit(False)), "mrv")
     previous = best.select("qid", "marginal_value", *policies.HEADS, "relevance", "confidence", "hub", "hops",
                            "frontier_size", "score_margin")
     rows = features.continue_features(gate_rows(spark, sf_dir), previous)
-    names = ("max_rerank", "previous_marginal_value", "previous_p_add", "previous_relevance",
-             "previous_inverse_hubness", "previous_inverse_hops", "previous_log_frontier")
-    return rows.select("qid", *[F.round(name, 6).alias(name) for name in names])
+    return rows.select("qid", *[F.round(n, 6).alias(n) for n in features.GATE_FEATURES + features.CONTINUE_FEATURES])
 
 
 @query("lr01_standardizer", compose(" union all ".join(
@@ -76,6 +83,44 @@ def lr04(spark, sf_dir):
     return gate_rows(spark, sf_dir).select("qid", F.round(_GIVEN.probability(), 6).alias("p"))
 
 
+# Calibrators as SQL: model -1 is fitted on all rows, model k on the rows outside fold k.
+_SIGMOID = "1 / (1 + exp(-greatest(-30, least(30, {}))))"
+_CLIPPED = "greatest(1e-6, least(1 - 1e-6, {}))"
+CALIBRATION = {
+    **SCORED,
+    "dealt": """select id, p, y, (row_number() over (partition by y order by sha256('42|' || id), id) - 1) %
+        (select greatest(2, least(5, count(*))) from scored) as fold from scored""",
+    "models": "select -1 as m union all select distinct fold from dealt",
+    "fit_rows": "select m, p, y from models join dealt on m <> fold",
+    # Pool-adjacent-violators levels by the max-min rule over runs of probabilities.
+    "iso_points": """select *, sum(n) over w as cn, sum(pos) over w as cy, row_number() over w as i
+        from (select m, p, count(*) as n, sum(y) as pos from fit_rows group by m, p) window w as (partition by m order by p)""",
+    "iso_spans": """select a.m, a.i as a, b.i as b, (b.cy - a.cy + a.pos) / (b.cn - a.cn + a.n) as s
+        from iso_points a join iso_points b on a.m = b.m and a.i <= b.i""",
+    "iso_low": "select m, a, b as i, min(s) over (partition by m, a order by b desc) as low from iso_spans",
+    "iso_levels": "select m, i, max(low) as level from iso_low group by m, i",
+    "iso_blocks": """select m, sum(p * n) / sum(n) as x, sum(pos) / sum(n) as v from iso_points join iso_levels using (m, i)
+        group by m, round(level, 12)""",
+    "iso_near": """select d.p, b.m, max(x) filter (x <= d.p) as x0, arg_max(v, x) filter (x <= d.p) as v0,
+        min(x) filter (x > d.p) as x1, arg_min(v, x) filter (x > d.p) as v1 from (select distinct p from scored) d cross join iso_blocks b group by d.p, b.m""",
+    "iso": """select m, p, case when x0 is null then v1 when x1 is null then v0 else v0 + (v1 - v0) * (p - x0) / (x1 - x0) end as q
+        from iso_near""",
+    # Platt scaling: full-batch descent on standardised log-odds.
+    "logits": f"select m, y, ln(q / (1 - q)) as z from (select m, y, {_CLIPPED.format('p')} as q from fit_rows)",
+    "logit_stats": """select m, avg(z) as mean, case when stddev_pop(z) < 1e-8 then 1 else stddev_pop(z) end as scale, count(*) as n,
+        greatest(1e-5, least(1 - 1e-5, avg(y))) as share, avg(y) in (0, 1) as single from logits group by m""",
+    "platt_points": """select m, n, y, (z - mean) / scale as x, count(*) as c from logits join logit_stats using (m)
+        where not single group by m, n, y, x""",
+    "descent": f"""select m, 0 as i, case when single then 0.0 else 1.0 end::double as w, ln(share / (1 - share)) as b from logit_stats
+        union all select m, i + 1, w - 0.05 * (sum((q - y) * c * x) / any_value(n) + 0.01 * w), b - 0.05 * sum((q - y) * c) / any_value(n)
+        from (select d.*, n, y, x, c, {_SIGMOID.format('w * x + b')} as q from descent d join platt_points using (m) where i < 800)
+        group by m, i, w, b""",
+    "platt_fits": "select m, mean, scale, arg_max(w, i) as w, arg_max(b, i) as b from descent join logit_stats using (m) group by m, mean, scale",
+    "platt": f"""select m, p, {_CLIPPED.format(_SIGMOID.format('w * (ln(q / (1 - q)) - mean) / scale + b'))} as q
+        from (select distinct p, {_CLIPPED.format('p')} as q from scored) cross join platt_fits""",
+}
+
+
 @query("lr05_isotonic", compose("""select id, round(fitted, 6) as fitted from scored join (
       select i.p, max(level) as fitted from by_p i join (
         select a.p as a, i.p as i, min(s) as level from by_p a join by_p i on a.p <= i.p join spans on spans.a = a.p and spans.b >= i.p group by a.p, i.p) l on l.i = i.p
@@ -90,14 +135,14 @@ def lr05(spark, sf_dir):
         "id", F.round("level", 6).alias("fitted"))
 
 
-@query("lr05_isotonic_inference")
+@query("lr05_isotonic_inference", compose("select id, round(q, 6) as calibrated from scored join iso using (p) where m = -1", CALIBRATION))
 def lr05i(spark, sf_dir):
     rows = scored(spark, sf_dir)
     fitted = learning.fit_isotonic(rows)
     return rows.select("id", F.round(fitted.apply(F.col("p")), 6).alias("calibrated"))
 
 
-@query("lr06_platt")
+@query("lr06_platt", compose("select id, round(q, 6) as calibrated from scored join platt using (p) where m = -1", CALIBRATION))
 def lr06(spark, sf_dir):
     rows = scored(spark, sf_dir)
     fitted = learning.fit_platt(rows, [F.lit(True)])[0]
@@ -109,10 +154,15 @@ def lr07(spark, sf_dir):
     return scored(spark, sf_dir).select("id", F.round(clip_probability(F.col("p")), 6).alias("calibrated"))
 
 
-@query("lr08_method_choice")
+@query("lr08_method_choice", compose("""select method, round(avg(-(y * ln(q) + (1 - y) * ln(1 - q))), 6) as log_loss,
+      row_number() over (order by avg(-(y * ln(q) + (1 - y) * ln(1 - q))), min(turn)) = 1 as chosen from (
+        select method, turn, y, greatest(1e-6, least(1 - 1e-6, q)) as q from (
+          select 'identity' as method, 0 as turn, y, p as q from dealt
+          union all select 'platt', 1, y, q from dealt d join platt k on k.m = d.fold and k.p = d.p
+          union all select 'isotonic', 2, y, q from dealt d join iso k on k.m = d.fold and k.p = d.p)) group by method""", CALIBRATION))
 def lr08(spark, sf_dir):
     best, losses = learning.select_calibration(scored(spark, sf_dir))
-    rows = [(name, round(loss, 9), name == best) for name, loss in losses.items()]
+    rows = [(name, round(loss, 6), name == best) for name, loss in losses.items()]
     return spark.createDataFrame(rows, "method string, log_loss double, chosen boolean")
 
 

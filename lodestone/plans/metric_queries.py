@@ -53,7 +53,7 @@ def traces(spark, sf_dir):
             rows = packed.join(seeds, "qid").withColumn("policy", F.lit(policy))
             parts = rows if parts is None else parts.unionByName(rows)
         return metrics.with_support(parts, here.support).withColumn(
-            "selected_ids", F.slice("final_ids", SEED_K + 1, 1000))
+            "selected_ids", F.slice("final_ids", F.lit(SEED_K + 1), F.size("final_ids")))
 
     return shared._once("traces", spark, sf_dir, build)
 

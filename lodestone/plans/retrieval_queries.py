@@ -75,9 +75,9 @@ _LISTS = {
 @query("jn02_dense_pairs", compose("""select * from (select label as qid, vec_id as pid,
       round(sum(v * m), 6) as dense_score,
       row_number() over (partition by label order by round(sum(v * m), 9) desc, vec_id) as rank
-    from vector_cells join label_cells using (i) group by label, vec_id) where rank <= 20""", _LISTS))
+    from vector_cells join label_cells using (i) group by label, vec_id)""", _LISTS))
 def jn02(spark, sf_dir):
-    """The given vectors against the mean vector of each label: exact nearest 20."""
+    """The given vectors against the mean vector of each label: every pair in its place."""
     vectors = table(spark, sf_dir, "embeddings")
     means = (
         vectors.select(F.col("label").alias("qid"), F.posexplode("embedding").alias("i", "v"))
@@ -87,7 +87,7 @@ def jn02(spark, sf_dir):
     )
     found = retrieval.dense_top_k(
         vectors.select(F.col("vec_id").alias("pid"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector")),
-        means, 20)
+        means, vectors.count())
     return found.select(F.col("qid").cast("int").alias("qid"), "pid", *_r("dense_score"),
                         F.col("rank").cast("long").alias("rank"))
 
