@@ -288,6 +288,10 @@ def corrupt(
     draw ``i`` picks both ends by hash; draws that hit an existing pair, repeat
     one or pick one passage twice do not count, as in rejection sampling.
     """
+    if not 0.0 <= dropout < 1.0:
+        raise ValueError(f"dropout must be at least 0 and below 1: {dropout}")
+    if false_ratio < 0.0:
+        raise ValueError(f"the share of false links must not be negative: {false_ratio}")
 
     def draw(*parts: Column) -> Column:
         text = F.concat_ws("|", F.lit(str(seed)), *parts)
@@ -334,6 +338,21 @@ def corrupt(
     return both_directions(kept.unionByName(false_links))
 
 
+def corruption_stats(clean: DataFrame, broken: DataFrame) -> DataFrame:
+    """One row: undirected edges before and after, dropped ones, false ones.
+
+    ``clean`` may hold parallel mentions of one pair; corruption merges these before it drops any.
+    """
+    ends = F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")
+    kept = broken.filter(F.col("kind") != FALSE_LINK).select(*ends, "kind").distinct()
+    before = clean.select(*ends, "kind").distinct().agg(F.count(F.lit(1)).alias("edges"))
+    after = kept.agg(F.count(F.lit(1)).alias("kept_edges"))
+    false = broken.filter(F.col("kind") == FALSE_LINK).select(*ends).distinct().agg(F.count(F.lit(1)).alias("false_edges"))
+    return before.join(after).join(false).select(
+        "edges", (F.col("edges") - F.col("kept_edges")).alias("dropped_edges"), "false_edges",
+        (F.col("kept_edges") + F.col("false_edges")).alias("edges_after"))
+
+
 def first_by(frame: DataFrame, order: str, n: Column) -> DataFrame:
     """The n rows with the smallest value of a distinct integer column.
 

@@ -206,6 +206,19 @@ def gb09(spark, sf_dir):
         F.round("confidence", 6).alias("confidence"))
 
 
+@query("gb07_corruption_stats", compose("""select (select count(*) from merged) as edges,
+      (select count(*) from merged) - (select count(*) from kept) as dropped_edges, (select count(*) from false_links) as false_edges,
+      (select count(*) from kept) + (select count(*) from false_links) as edges_after""", {**TURN_PIECES, **_CORRUPT}))
+def gb07c(spark, sf_dir):
+    """What a quarter of dropped edges and a tenth of false links do to the conversation graph."""
+    from lodestone.operators.ordered import positions
+
+    turns = shared.turns(spark, sf_dir)
+    edges = graph.build_edges(turns, min_df=2, max_df_ratio=0.05)
+    placed = positions(turns.select("pid"), ["pid"]).withColumnRenamed("position", "pos")
+    return graph.corruption_stats(edges, graph.corrupt(edges, placed, dropout=0.25, false_ratio=0.10, seed=42))
+
+
 @query("gt01_paths", compose("""select qid, seed, target, path_id, hops, round(confidence, 6) as confidence, hub, place
     from w_paths""", WALK))
 def gt01(spark, sf_dir):

@@ -15,6 +15,7 @@ from lodestone.plans.sql import compose
 from lodestone.plans.standins import passages, queries, table
 from lodestone.session import cut_lineage, shared_folder
 from lodestone.sources import jsonl, ranges, sinks
+from lodestone.sources.embedding_cache import embed_with_cache
 from lodestone.streaming import checkpoint
 
 # Records: every line of a document is a context entry titled by its first word.
@@ -184,6 +185,39 @@ def sc04(spark, sf_dir):
 _BLOCKS = "select user_id || '-' || event_id // 2000 as query_id, list_sort(list(distinct event_type)) as p from events group by 1"
 
 
+@query("sc08_embedding_cache", """select doc_id, length(text)::double as size, (doc_id % 3 = 0) as first_run from documents""")
+def sc08(spark, sf_dir):
+    """Texts embedded through the bucketed cache: a third of them, then all, then all again without an embedder."""
+    folder = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def embed(rows):
+        return rows.select("key", F.array(F.char_length("text").cast("double")).alias("vector"))
+
+    def refuse(rows):
+        raise AssertionError("a text that the cache has is embedded again")
+
+    first = embed_with_cache(spark, texts.filter("doc_id % 3 = 0"), folder, embed).select("doc_id", F.lit(True).alias("first_run"))
+    embed_with_cache(spark, texts, folder, embed)
+    found = embed_with_cache(spark, texts, folder, refuse)
+    return found.join(first, "doc_id", "left").select(
+        "doc_id", F.col("vector")[0].alias("size"), F.coalesce("first_run", F.lit(False)).alias("first_run"))
+
+
+@query("sk02_csv_union", """select 'e' || event_id as id, event_type as kind, value::varchar as value, null::varchar as note from events where event_id % 3 = 0
+    union all select 'l' || doc_id, null, quality::varchar, 'label' from labels""")
+def sk02(spark, sf_dir):
+    """Two row sets of different columns written as one CSV with a byte order mark, and read back."""
+    folder = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    events = table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(
+        F.concat(F.lit("e"), "event_id").alias("id"), F.col("event_type").alias("kind"), "value")
+    labels = table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("l"), "doc_id").alias("id"), F.col("quality").alias("value"), F.lit("label").alias("note"))
+    sinks.write_csv_of_all([events, labels], folder, byte_order_mark=True)
+    rows = spark.read.option("header", True).csv(folder)
+    return rows.select(F.col(rows.columns[0]).alias("id"), "kind", "value", "note")
+
+
 @query("sk05_resume", f"""select query_id from ({_BLOCKS}) where p <> (select list_sort(list(distinct event_type)) from events) or length(query_id) % 7 = 0""")
 def sk05(spark, sf_dir):
     """Blocks of a user's events as queries, event types as policies: who still has to be evaluated.

@@ -10,10 +10,37 @@ from pyspark.sql import functions as F
 from lodestone.session import write_text
 
 
-def write_csv(frame: DataFrame, path: str, *, sorted_header: bool = True, mode: str = "error") -> None:
-    """One CSV folder with a header; columns in name order unless told otherwise."""
-    columns = sorted(frame.columns) if sorted_header else frame.columns
-    frame.select(*columns).write.mode(mode).option("header", True).csv(path)
+def write_csv(
+    frame: DataFrame, path: str, *, sorted_header: bool = True, mode: str = "error", byte_order_mark: bool = False
+) -> None:
+    """One CSV folder with a header; columns in name order unless told otherwise.
+
+    With ``byte_order_mark`` each file begins with one, as spreadsheets want it.
+    """
+    columns = sorted(frame.columns) if sorted_header else list(frame.columns)
+    rows = frame.select(*columns)
+    if byte_order_mark and columns:
+        rows = rows.withColumnRenamed(columns[0], "\ufeff" + columns[0])
+    rows.write.mode(mode).option("header", True).csv(path)
+
+
+def write_csv_of_all(frames: list[DataFrame], path: str, **options) -> None:
+    """Row sets of different columns in one CSV folder, under the union of their headers.
+
+    Cells that a set does not have are empty; a column that two sets type differently becomes text.
+    """
+    kinds: dict[str, set[str]] = {}
+    for frame in frames:
+        for name, kind in frame.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    mixed = [name for name, found in kinds.items() if len(found) > 1]
+    merged = None
+    for frame in frames:
+        same = frame.withColumns({name: F.col(name).cast("string") for name in mixed if name in frame.columns})
+        merged = same if merged is None else merged.unionByName(same, allowMissingColumns=True)
+    if merged is None:
+        return
+    write_csv(merged, path, **options)
 
 
 def missing_predictions(rows: DataFrame, queries: DataFrame, policy: str) -> DataFrame:

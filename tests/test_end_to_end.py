@@ -37,7 +37,7 @@ def make_settings(folder, **more):
         "graph": {"max_hops": 1, "max_actions": 1, "max_entity_df_ratio": 0.5},
         "learning": {"epochs": 30, "calibration_fraction": 0.4, "gate_threshold_bootstrap_samples": 20,
                      "gate_calibration_method": "platt"},
-        "evaluation": {"bootstrap_samples": 50, "batch_questions": 2}, **more,
+        "evaluation": {"bootstrap_samples": 50, "batch_questions": 3}, **more,
     })
 
 
@@ -66,7 +66,7 @@ def test_run_and_resume(spark, tmp_path, monkeypatch):
     with pytest.raises(RuntimeError):
         experiment.evaluate(run, models, POLICIES)
     rows = experiment.evaluate(run, models, POLICIES).collect()
-    assert calls == [["eq0", "eq1"], ["eq2", "eq3"], ["eq2", "eq3"], ["eq4", "eq5"]]
+    assert calls == [["eq0", "eq1", "eq2"], ["eq3", "eq4", "eq5"], ["eq3", "eq4", "eq5"]]
     assert sorted((r.query_id, r.policy) for r in rows) == sorted((f"eq{i}", p) for i in range(6) for p in POLICIES)
     assert {r.slice for r in rows} <= {"already_solved", "anchor_failure", "rescuable", "unreachable"}
     assert all(r.graph_support_gain == 0 for r in rows if r.policy == "hybrid")
@@ -77,7 +77,7 @@ def test_run_and_resume(spark, tmp_path, monkeypatch):
     assert sum(by_policy["relevance_always"]) >= sum(by_policy["hybrid"])
     report = (tmp_path / "out" / "report.md").read_text(encoding="utf-8")
     assert "mrv_gated - hybrid" in report
-    assert experiment.evaluate(run, models, POLICIES).count() == 18 and len(calls) == 4
+    assert experiment.evaluate(run, models, POLICIES).count() == 18 and len(calls) == 3
     assert experiment.freeze(spark, settings) is True
     assert set(json.loads((tmp_path / "out/manifest.json").read_text())["inputs"]) == {"corpus", "training", "evaluation"}
     experiment.label_counterfactual(run, max_queries=4)
