@@ -102,25 +102,19 @@ def support_histogram(support_sizes: DataFrame) -> DataFrame:
 def id_fingerprint(ids: DataFrame, key: str) -> DataFrame:
     """One sha256 that changes with any change to a set of ids, whatever their order.
 
-    Ids are spread over 4,096 hash buckets; each bucket's sorted ids are digested by
-    themselves and the digests once more, so no task holds all ids.
+    A tree of digests: sorted ids by six hexadecimal digits of their hash, these by three, those
+    once more. No array is longer than a 4,096th of the level below, or a 16 millionth of the ids.
     """
     identifier = F.col(key).cast("string")
-    buckets = (
-        ids.select(identifier.alias("id"), F.substring(F.md5(identifier.cast("binary")), 1, 3).alias("bucket"))
-        .groupBy("bucket")
-        .agg(
-            F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n").cast("binary"), 256).alias("digest"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
-    listed = F.transform(
-        F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda b: b["digest"]
-    )
-    return buckets.agg(
-        F.sha2(F.array_join(listed, "\n").cast("binary"), 256).alias("fingerprint"),
-        F.sum("n").alias("ids"),
-    )
+    level = ids.select(
+        F.substring(F.md5(identifier.cast("binary")), 1, 6).alias("bucket"), identifier.alias("item"),
+        F.lit(1).cast("long").alias("n"))
+    for digits in (6, 3, 0):
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "item"))), lambda b: b["item"])
+        level = level.groupBy(F.substring("bucket", 1, digits).alias("above")).agg(
+            F.sha2(F.array_join(listed, "\n").cast("binary"), 256).alias("item"), F.sum("n").alias("n")
+        ).withColumnRenamed("above", "bucket")
+    return level.select(F.col("item").alias("fingerprint"), F.col("n").alias("ids"))
 
 
 def aliases_by_id(rows: DataFrame) -> DataFrame:

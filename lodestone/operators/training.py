@@ -74,15 +74,17 @@ def fit_heads(rows: DataFrame, descent: learning.Descent = learning.Descent()) -
     return {name: fitted[label] for name, label in HEAD_LABELS.items()}
 
 
-def gate_states(world: World, heads: dict[str, learning.Logistic]) -> tuple[DataFrame, DataFrame]:
+def head_scorer(heads: dict[str, learning.Logistic]) -> policies.Scorer:
+    """Adds the probability of every head to candidate rows."""
+    return lambda rows: rows.withColumns({name: model.probability() for name, model in heads.items()})
+
+
+def gate_states(world: World, scorer: policies.Scorer) -> tuple[DataFrame, DataFrame]:
     """Gate rows met on a value-driven roll-out: ``(preflight rows, continue rows)`` with label ``y``.
 
     A state is worth opening when a missing support passage can be reached from it.
     All states of all queries are explored in one walk, keyed by query and step.
     """
-    def scorer(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({name: model.probability() for name, model in heads.items()})
-
     history: list[DataFrame] = []
     # The roll-out has no token budget: a full context is a state that gates must know, too.
     _, actions = policies.rescue(world, "mrv", scorer=scorer, history=history, enforce_budget=False)
@@ -138,8 +140,8 @@ def train(
     if split.limit(2).count() < 2:  # a single query serves for both
         fitting = held_out = world
     heads = fit_heads(candidate_rows(fitting, gains=gains), descent)
-    first, later = gate_states(fitting, heads)
-    first_held, later_held = gate_states(held_out, heads)
+    first, later = gate_states(fitting, head_scorer(heads))
+    first_held, later_held = gate_states(held_out, head_scorer(heads))
     every = features.GATE_FEATURES + features.CONTINUE_FEATURES
     preflight = learning.fit_gate(first, first_held, features.GATE_FEATURES, "y", "qid", descent, rules)
     if later.isEmpty():

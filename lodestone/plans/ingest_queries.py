@@ -108,9 +108,10 @@ def in10(spark, sf_dir):
     return ingest.support_histogram(sizes)
 
 
-@query("in11_fingerprint", """select sha256(string_agg(digest, chr(10) order by bucket)) as fingerprint, sum(n)::bigint as ids from (
-      select substr(md5(o_orderkey::varchar), 1, 3) as bucket, sha256(string_agg(o_orderkey::varchar, chr(10) order by o_orderkey::varchar)) as digest, count(*) as n
-      from orders group by 1)""")
+@query("in11_fingerprint", """with six as (select substr(md5(o_orderkey::varchar), 1, 6) as bucket,
+      sha256(string_agg(o_orderkey::varchar, chr(10) order by o_orderkey::varchar)) as digest, count(*) as n from orders group by 1),
+    three as (select substr(bucket, 1, 3) as bucket, sha256(string_agg(digest, chr(10) order by bucket)) as digest, sum(n) as n from six group by 1)
+    select sha256(string_agg(digest, chr(10) order by bucket)) as fingerprint, sum(n)::bigint as ids from three""")
 def in11(spark, sf_dir):
     return ingest.id_fingerprint(table(spark, sf_dir, "orders"), "o_orderkey")
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.scores import clip_probability, log_loss_term, sigmoid
 from lodestone.operators import features, learning, policies, training
 from lodestone.plans import shared
+from lodestone.plans.graph_queries import CAP, MAX_HOPS, walk_pieces
 from lodestone.plans.policy_queries import (
-    FEATURES, GATE, VALUES, _SELECT, _scored, _valued, gate_rows, given_heads,
+    FEATURES, GATE, VALUES, _SELECT, _scored, _valued, feature_pieces, gate_rows, given_heads,
 )
 from lodestone.plans.registry import query
 from lodestone.plans.sql import compose
@@ -227,13 +228,79 @@ _fitted: dict = {}
 
 def _weights(spark, models):
     rows = [
-        (head, name, round(weight, 9), round(model.bias, 9))
+        (head, name, round(weight, 6), round(model.bias, 6))
         for head, model in models.items() for name, weight in zip(model.features, model.weights)
     ]
     return spark.createDataFrame(rows, "model string, feature string, weight double, bias double")
 
 
-@query("lr12_value_heads")
+# The second state of a question: its seeds and the first missing support passage within reach.
+_SECOND = {
+    **FEATURES,
+    "l_first": """select qid, pid from (select w.qid, s.pid, row_number() over (partition by w.qid order by place) as n
+        from w_paths w join support s on s.qid = w.qid and s.pid = w.target::bigint
+        where not exists (select 1 from seeds e where e.qid = s.qid and e.pid = s.pid)) where n = 1""",
+    "l_seeds": """select qid, pid, seed_no from seeds semi join l_first using (qid)
+        union all select qid, pid, 1048576 as seed_no from l_first""",
+    **walk_pieces("l_", "l_seeds", "edges", "degree", "l_seeds", MAX_HOPS, CAP, False),
+    "l_cut": "select * from l_paths where place <= 50",
+    **feature_pieces("z_", "l_cut", "l_seeds"),
+}
+
+
+def _labels(prefix: str, evidence: str) -> str:
+    missing = f"select s.qid, count(*) as missing from support s where not exists (select 1 from {evidence} e where e.qid = s.qid and e.pid = s.pid) group by s.qid"
+    return f"""select *, adds::int as y_add, (adds and missing = 1)::int as y_complete, adds::int as y_reader,
+        (not gold and (evidence_redundancy >= 0.45 or hub >= 8 or confidence < 0.10))::int as y_harmful from (
+          select v.*, g.pid is not null as gold, g.pid is not null and h.pid is null as adds, coalesce(m.missing, 0) as missing
+          from {prefix}feat v left join support g on g.qid = v.qid and g.pid = v.target::bigint
+          left join {evidence} h on h.qid = v.qid and h.pid = v.target::bigint left join ({missing}) m on m.qid = v.qid)"""
+
+
+_HEADS = {
+    **_SECOND, "first_state": _labels("x_", "seeds"), "second_state": _labels("z_", "l_seeds"),
+    "both_states": "select * from first_state union all by name select * from second_state",
+}
+_N = range(len(features.CANDIDATE_FEATURES))
+_HEADS["head_stats"] = "select " + ", ".join(
+    f"avg({n}) as m{i}, case when stddev_pop({n}) < 1e-8 then 1.0 else stddev_pop({n}) end as s{i}"
+    for i, n in enumerate(features.CANDIDATE_FEATURES)) + " from both_states"
+_HEADS["head_points"] = "select " + ", ".join(
+    f"({n} - m{i}) / s{i} as x{i}" for i, n in enumerate(features.CANDIDATE_FEATURES)
+) + ", " + ", ".join(training.HEAD_LABELS.values()) + " from both_states cross join head_stats"
+_HEADS["head_sizes"] = " union all ".join(
+    f"select '{head}' as head, count(*) as n, sum({label}) as pos from both_states" for head, label in training.HEAD_LABELS.items())
+_LABEL = "case head " + " ".join(f"when '{head}' then {label}" for head, label in training.HEAD_LABELS.items()) + " end"
+_HEADS["head_descent"] = f"""select head, n, pos, 0 as i, 0.0::double as b, {", ".join(f"0.0::double as w{i}" for i in _N)} from head_sizes
+    union all select head, n, pos, i + 1, b - 0.05 * sum(e) / n, {", ".join(f"w{i} - 0.05 * (sum(e * x{i}) / n + 0.01 * w{i})" for i in _N)}
+    from (select *, ({_SIGMOID.format(" + ".join(f"w{i} * x{i}" for i in _N) + " + b")} - y)
+        * n / greatest(1.0, 2.0 * case when y > 0.5 then pos else n - pos end) as e
+      from (select d.*, p.*, {_LABEL} as y from head_descent d cross join head_points p where i < 350 and pos > 0 and pos < n))
+    group by head, n, pos, i, b, {", ".join(f"w{i}" for i in _N)}"""
+_HEADS_SELECT = " union all ".join(
+    f"select head as model, '{n}' as feature, round(arg_max(w{i}, i), 6) as weight, round(arg_max(b, i), 6) as bias from head_descent group by head"
+    for i, n in enumerate(features.CANDIDATE_FEATURES))
+
+
+@query("lr14_second_state_labels", compose(
+    "select qid, target::bigint as target, y_add, y_complete, y_reader, y_harmful from second_state", _HEADS))
+def lr14s(spark, sf_dir):
+    """Labels once the first missing support passage within reach has been added."""
+    rows = training.candidate_rows(shared.world(spark, sf_dir), shared.seed_paths(spark, sf_dir)).filter("state = 1")
+    return rows.select("qid", "target", "y_add", "y_complete", "y_reader", "y_harmful")
+
+
+@query("lr15_preflight_states", compose(
+    "select qid, " + ", ".join(f"round({n}, 6) as {n}" for n in features.GATE_FEATURES) + """, (exists (
+      select 1 from w_paths w join support s on s.qid = w.qid and s.pid = w.target::bigint where w.qid = gate_values.qid
+        and not exists (select 1 from seeds e where e.qid = s.qid and e.pid = s.pid)))::int as y from gate_values""", {**GATE, **FEATURES}))
+def lr15(spark, sf_dir):
+    """First states of the roll-out with given heads: their features, and whether opening the graph helps."""
+    first, _ = training.gate_states(shared.world(spark, sf_dir), given_heads)
+    return first.select("qid", *[F.round(n, 6).alias(n) for n in features.GATE_FEATURES], "y")
+
+
+@query("lr12_value_heads", compose(_HEADS_SELECT, _HEADS))
 def lr12(spark, sf_dir):
     """LR02: the four heads fitted on the candidate rows of both states."""
     return _weights(spark, training.fit_heads(training.candidate_rows(shared.world(spark, sf_dir))))
@@ -256,7 +323,7 @@ def lr20(spark, sf_dir):
     from lodestone.operators.statistics import binary_quality
 
     models, here = _models(spark, sf_dir), shared.world(spark, sf_dir)
-    rows, _ = training.gate_states(here, models.heads)
+    rows, _ = training.gate_states(here, training.head_scorer(models.heads))
     moved, rest = training.recalibrate(models.preflight, rows, rows.count() // 2)
     judged = moved.verdict(rest).select(F.col("qid").alias("id"), F.col("probability").alias("p"), "y")
     return binary_quality(judged, moved.threshold)

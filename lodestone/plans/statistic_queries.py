@@ -223,18 +223,20 @@ def so04(spark, sf_dir):
 @query("so05_set_algebra", """select user_id, count_if(a and b) as both_sets, count_if(a or b) as either, count_if(a and not b) as only_left, count_if(a and not b) = 0 as subset from (
       select user_id, (event_id // 100) as block, bool_or(event_type = 'click') as a, bool_or(event_type = 'view') as b from events group by all) group by user_id""")
 def so05(spark, sf_dir):
-    """Blocks of events with a click and with a view, as sets per user."""
-    block = F.floor(F.col("event_id") / 100)
-
-    def blocks(kind):
-        return F.coalesce(F.collect_set(F.when(F.col("event_type") == kind, block)), F.array().cast("array<bigint>"))
-
-    sets = table(spark, sf_dir, "events").groupBy("user_id").agg(blocks("click").alias("a"), blocks("view").alias("b"))
-    return sets.select(
-        "user_id", F.size(F.array_intersect("a", "b")).cast("long").alias("both_sets"),
-        F.size(F.array_union("a", "b")).cast("long").alias("either"),
-        F.size(F.array_except("a", "b")).cast("long").alias("only_left"),
-        (F.size(F.array_except("a", "b")) == 0).alias("subset"))
+    """Blocks of events with a click and with a view, as sets per user.
+
+    The sets stay rows, one for each user and element with the sides that hold it, so a user's sets may be
+    of any size.
+    """
+    def held(kind):
+        return F.bool_or(F.col("event_type") == kind)
+
+    elements = table(spark, sf_dir, "events").groupBy(
+        "user_id", F.floor(F.col("event_id") / 100).alias("block")).agg(held("click").alias("a"), held("view").alias("b"))
+    left, right = F.col("a"), F.col("b")
+    return elements.groupBy("user_id").agg(
+        F.count_if(left & right).alias("both_sets"), F.count_if(left | right).alias("either"),
+        F.count_if(left & ~right).alias("only_left"), (F.count_if(left & ~right) == 0).alias("subset"))
 
 
 @query("so06_ordered_union", compose("""select qid, list(pid order by first) as ids from (select qid, pid, min(place) as first from (
