@@ -54,6 +54,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_added(frame: DataFrame, text: str, added: list[str], add) -> DataFrame:
+    """``add(plain, text)`` of the frame under column names of its own, the old names put back behind it.
+
+    ``add`` appends the columns ``added``; columns of the frame with such a name are replaced, any
+    other name of the frame is free to be what the steps in between use.
+    """
+    names = [f"c{i}" for i in range(len(frame.columns))]
+    kept = [i for i, name in enumerate(frame.columns) if name not in added]
+    whole = add(frame.toDF(*names), names[frame.columns.index(text)])
+    return whole.select(*[names[i] for i in kept], *added).toDF(*[frame.columns[i] for i in kept], *added)
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % parts

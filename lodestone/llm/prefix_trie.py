@@ -392,7 +392,8 @@ def prefix_trie(turns: DataFrame, whole: DataFrame, space: Workspace) -> DataFra
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The trie of the rebuilt ``conversations``, one row per node."""
     space = Workspace(spark, "trie")
-    turns, whole = rebuild(turn_rows(table(spark, sf_dir, "conversations")))
+    own = space.write("own", turn_rows(table(spark, sf_dir, "conversations")))
+    turns, whole = rebuild(own)
     return prefix_trie(turns, space.write("whole", whole), space)
 
 

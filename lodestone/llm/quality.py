@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Workspace, byte_texts, fold, table
+from lodestone.llm.common import Workspace, byte_texts, fold, table, with_added
 from lodestone.llm.fitting import SAMPLE_PARTITIONS, labelled_sample, minimise, summed_loss
 
 #: Labelled documents the field is fitted on, about, at most.
@@ -311,8 +311,15 @@ def fit_quality(
 
 
 def score_quality(docs: DataFrame, text: str, model: QualityModel) -> DataFrame:
-    """Add ``score`` between 0 and 1; empty and null texts get the score of a text without bad lines."""
+    """Add ``score`` between 0 and 1; empty and null texts get the score of a text without bad lines.
 
+    Equal texts, repeated rows among them, get equal scores. An empty table gives no row. A column
+    of the input named ``score`` is replaced.
+    """
+    return with_added(docs, text, ["score"], lambda plain, column: _score(plain, column, model))
+
+
+def _score(docs: DataFrame, text: str, model: QualityModel) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = model.scores(byte_texts(batch["_text"]))

@@ -122,11 +122,18 @@ def shuffle_into_shards(
 
     Shard sizes differ by one at most. Rows are numbered in ``order``; rows equal in it take
     any order among themselves, nulls come first. An empty table gives no rows. Columns named
-    ``shard`` or ``slot`` in the input are replaced.
+    ``shard`` or ``slot`` in the input are replaced; all others, whatever their names, are kept.
     """
+    kept = [c for c in frame.columns if c not in ("shard", "slot")]
+    plain = frame.select(*kept).toDF(*[f"c{i}" for i in range(len(kept))])
+    placed = _shuffled(plain, [f"c{kept.index(c)}" for c in order], shards, seed)
+    return placed.toDF(*kept, "shard", "slot")
+
+
+def _shuffled(frame: DataFrame, order: list[str], shards: int, seed: int) -> DataFrame:
     spark = frame.sparkSession
     space = Workspace(spark, "sharding")
-    numbers, rows = numbered(frame.drop("shard", "slot"), order, space)
+    numbers, rows = numbered(frame, order, space)
     a, b = domain(rows)
     keys = round_keys(seed)
     walk = longest_walk(spark, rows, a, b, keys)

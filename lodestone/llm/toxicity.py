@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import Workspace, table
+from lodestone.llm.common import Workspace, table, with_added
 from lodestone.llm.fitting import SAMPLE_PARTITIONS, labelled_sample, minimise, summed_loss
 
 #: Labelled documents the regression is fitted on, about, at most.
@@ -236,11 +236,20 @@ def fit_toxicity(
     return ToxicityModel(numbers, fitted[: len(words)], thresholds_of(fitted[len(words):]))
 
 
+ADDED = ["toxic_probability", "expected_severity", "grade", "rejected"]
+
+
 def score_toxicity(docs: DataFrame, text: str, model: ToxicityModel, reject: float = REJECT) -> DataFrame:
     """Add ``toxic_probability``, ``expected_severity``, ``grade`` (the likeliest) and ``rejected``.
 
     Empty and null texts have no words: they get the probabilities of a text without model words.
+    Equal texts, repeated rows among them, get equal figures; a tie of grades goes to the lower. An
+    empty table gives no row. Columns of the input with one of the four names are replaced.
     """
+    return with_added(docs, text, ADDED, lambda plain, column: _score(plain, column, model, reject))
+
+
+def _score(docs: DataFrame, text: str, model: ToxicityModel, reject: float = REJECT) -> DataFrame:
     context = docs.sparkSession.sparkContext
     handle = context.broadcast(model)  # at most model_words words and weights
 
@@ -276,7 +285,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     model = fit_toxicity(docs, labels, **settings)
     names = [f"c{i}" for i in range(len(docs.columns))]
     text = names[docs.columns.index(settings.get("text", "text"))]
-    kept = score_toxicity(docs.toDF(*names), text, model).filter(~F.col("rejected"))
+    kept = _score(docs.toDF(*names), text, model).filter(~F.col("rejected"))
     return kept.select(*names).toDF(*docs.columns)
 
 

@@ -112,6 +112,62 @@ def test_shards_are_even_and_gapless(odd_docs, no_docs):
         assert max(sizes) - min(sizes) <= 1
 
 
+def plain_permute(x: int, a: int, b: int, keys) -> int:
+    from pyspark.sql import SparkSession
+
+    row = SparkSession.active().range(1).select(sharding.permute(F.lit(x).cast("long"), a, b, keys).alias("y")).head()
+    return row.y
+
+
+def test_sharding_query_against_plain_values(spark):
+    rows = sharding.op8_sharding(spark, SF).collect()
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    slots = defaultdict(list)
+    for r in rows:
+        assert (r.size, r.text_crc32) == (len(texts[r.doc_id]) + 1, zlib.crc32(texts[r.doc_id]))
+        assert (r.law, r.grown_shard) == ("rows", None) and 0 <= r.shard < 8
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    again = sharding.op8_sharding(spark, SF).collect()
+    assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in rows}
+    # A few places by the same permutation, one number at a time.
+    ordered = sorted(texts)
+    places = {r.doc_id: (r.shard, r.slot) for r in rows}
+    a, b = sharding.domain(len(ordered))
+    keys = sharding.round_keys(sharding.SEED)
+    for number in (0, 7, len(ordered) - 1):
+        place = plain_permute(number, a, b, keys)
+        while place >= len(ordered):
+            place = plain_permute(place, a, b, keys)
+        assert places[ordered[number]] == (place % 8, place // 8)
+
+
+@pytest.mark.parametrize("name", ["_place", "_tie", "_part", "_number", "_to", "_before", "_n", "slot", "c0"])
+def test_shards_keep_every_column(spark, name):
+    frame = spark.createDataFrame([(i, f"v{i}") for i in range(9)], f"doc_id long, {name} string")
+    found = sharding.shuffle_into_shards(frame, ["doc_id"], shards=2)
+    assert found.columns == (["doc_id", "shard", "slot"] if name == "slot" else ["doc_id", name, "shard", "slot"])
+    if name != "slot":
+        assert {r.doc_id: r[name] for r in found.collect()} == {i: f"v{i}" for i in range(9)}
+
+
+def test_scores_stand_clashing_names_and_repeated_rows(spark):
+    toxic = toxicity.ToxicityModel({}, np.zeros(0), np.array([2.0, 3.0]))
+    added = ["toxic_probability", "expected_severity", "grade", "rejected"]
+    rows = [(1, "some words", "a", 1.5, "x"), (1, "some words", "a", 1.5, "x"), (2, None, "b", 2.5, "y"), (3, "w " * 200_000, "c", 0.0, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade string, score double, _text string")
+    found = toxicity.score_toxicity(docs, "text", toxic)
+    assert found.columns == ["doc_id", "text", "score", "_text", *added]
+    assert sorted((r.doc_id, r.score, r._text) for r in found.collect()) == sorted((r[0], r[3], r[4]) for r in rows)
+    model = quality.QualityModel(np.zeros(quality.WIDTH + 4), 0.0, 0.0)
+    scored = quality.score_quality(docs, "text", model)
+    assert scored.columns == ["doc_id", "text", "grade", "_text", "score"]
+    assert {r.score for r in scored.collect()} == {0.5} and scored.count() == 4
+    assert quality.score_quality(docs.limit(0), "text", model).count() == 0
+
+
 # ---------------------------------------------------------------- benchmark passages
 
 
