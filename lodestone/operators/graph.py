@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
+from lodestone.session import cut_lineage
 
 # Edge kinds, node prefixes and entity modes.
 MENTIONS, EXPLICIT_LINK, FALSE_LINK = "mentions", "explicit_link", "false_link"
@@ -225,20 +226,30 @@ def title_mentions(passages: DataFrame) -> DataFrame:
     every place of every text in an equality join on 8-byte hashes, which is linear in the text.
     Only where they meet, the whole title is compared by its digest with as many words of the text.
     """
+    heads = [f"w{k}" for k in range(1, TITLE_PREFIX + 1)]
     titles = title_phrases(passages)
     words = F.split("phrase", " ")
-    prefix = F.least("width", F.lit(TITLE_PREFIX))
-    titles = titles.select(
-        "phrase", "width", prefix.alias("k"), F.xxhash64(F.slice(words, F.lit(1), prefix)).alias("start"),
-        F.md5(F.col("phrase").cast("binary")).alias("digest"))
-    texts = passages.repartition("pid").select("pid", tx.tokens("text").alias("words"))
-    places = F.flatten(F.transform("words", lambda _, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(TITLE_PREFIX), F.size("words") - i)),
-        lambda k: F.struct(k.alias("k"), F.xxhash64(F.slice("words", i + 1, k)).alias("start"), (i + 1).alias("at")))))
+    titles = cut_lineage(titles.select(
+        "phrase", "width", F.least("width", F.lit(TITLE_PREFIX)).alias("k"),
+        F.md5(F.col("phrase").cast("binary")).alias("digest"), F.xxhash64(words[0]).alias("first"),
+        # A null word leaves a hash as it is, so shorter titles have the hash of all their words.
+        F.xxhash64(*[F.get(words, k) for k in range(TITLE_PREFIX)]).alias("start")))
+    # Both are read more than once, and taking texts apart is the dearest step.
+    texts = cut_lineage(passages.repartition("pid").select("pid", tx.tokens("text").alias("words")))
+    shifted = texts.filter(F.size("words") > 0).select(
+        "pid", *[F.slice("words", k, F.size("words")).alias(name) for k, name in enumerate(heads, 1)])
+    places = (
+        shifted.select("pid", F.posexplode(F.arrays_zip(*heads)).alias("i", "g"))
+        .select("pid", (F.col("i") + 1).alias("at"), F.xxhash64("g.w1").alias("first"), "g")
+        .join(titles.select("first").distinct(), "first", "left_semi")
+        .select("pid", "at", F.explode(F.array(*[
+            F.struct(F.lit(k).alias("k"), F.xxhash64(*[F.col(f"g.{h}") for h in heads[:k]]).alias("start"))
+            for k in range(1, TITLE_PREFIX + 1)])).alias("p"))
+        .select("pid", "at", "p.*")
+    )
     wanted = titles.groupBy("k", "start").agg(F.array_sort(F.collect_set("width")).alias("widths"))
     met = (
-        texts.filter(F.size("words") > 0).select("pid", F.explode(places).alias("p")).select("pid", "p.*")
-        .join(wanted, ["k", "start"])
+        places.join(wanted, ["k", "start"])
         .groupBy("pid").agg(F.collect_set(F.struct("at", "widths")).alias("met"))
     )
     digests = F.array_distinct(F.flatten(F.transform("met", lambda m: F.transform(
