@@ -1,7 +1,7 @@
-"""Logistic heads, calibrators and thresholds, fitted by passes over distributed rows.
+"""Logistic models, calibrators and gates.
 
-Every iteration is one pass in which each partition adds up its own gradient and
-sends back a single short row; the driver only ever holds the weights.
+A fit standardises its features in Spark, then makes all passes over a bounded sample of labelled
+rows (``Descent.rows``) in one task; models are column expressions afterwards.
 """
 
 from __future__ import annotations
