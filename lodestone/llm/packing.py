@@ -2,9 +2,10 @@
 
 Only the histogram of piece lengths, at most one row per length, comes to the driver. The
 linear program over ways to fill a sequence is solved by multiplicative weights: lengths
-that lag behind get dearer, and a knapsack over the prices gives the next way to fill one.
-The solution is rounded down, what is left goes through the program again, and the last few
-pieces go best-fit into free space. Pieces then look up their place by length and rank.
+that lag behind get dearer, and a knapsack over the prices of all lengths gives the next
+ways to fill one. The solution is rounded, what is left goes through the program again, and
+the last few pieces of a length go best-fit into free space. Pieces then look up their place
+by length and rank.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import base64
 import zlib
 from bisect import bisect_left, insort
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,19 +28,18 @@ from lodestone.llm.common import Workspace, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Largest share of a length's pieces that one pass of the program places.
-STEP = 0.5
-#: Share of the pieces that one pass over the program covers.
-ENOUGH = 0.9
-#: Entries of each class of sizes that the knapsack chooses from.
-CORE = 8
+#: Largest share of a length's pieces that one purchase of a filling covers.
+STEP = 0.1
+#: Share of the pieces that a solution covers; the rest is a smaller program of its own.
+ENOUGH = 0.98
 #: Strength of the price of a length that lags behind.
 RATE = 2.0
-#: Under so many pieces per length that is left, rounding down would place next to nothing:
-#: the last pieces are placed one by one.
-PIECES_PER_LENGTH = 8
-#: Pieces of the scaled-down table that best fit makes columns from.
-SCALED_PIECES = 50_000
+#: How much more a token of the longest pieces is worth at first, as short ones fit in anywhere.
+LONGER = 0.5
+#: Fillings worth this share of the best one are bought at the same prices.
+NEAR = 0.95
+#: The last pieces per length, on average, which are placed one by one.
+TAIL = 4
 
 
 # ---------------------------------------------------------------- the plan, on the driver
@@ -74,100 +74,91 @@ def _key(length: np.ndarray, rank: np.ndarray) -> np.ndarray:
     return length.astype(np.int64) * (1 << 48) + rank
 
 
-def knapsack(prices: np.ndarray, order: np.ndarray) -> dict[int, int]:
-    """A most valuable filling of one sequence: how often each length is used.
+def knapsack(prices: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every room the worth of the best pieces that fit, and the length to take first.
 
-    ``prices[length]`` is the price of a piece, 0 for lengths that are not there. Lengths come
-    in as one, two, four ... pieces. The program runs over the core of the problem: of each
-    class of sizes (up to the capacity, its half, its quarter ...) the ``CORE`` worth most per
-    token, single ones before several, then in ``order``.
+    ``prices[length]`` is the price of a piece, 0 for lengths that are not there. All lengths
+    compete for every room; 0 as the length to take means that a token stays free.
     """
-    capacity = len(prices) - 1
-    lengths, copies = [np.flatnonzero(prices)], [1]
-    while len(more := lengths[-1][lengths[-1] * 2 * copies[-1] <= capacity]):
-        lengths.append(more)
-        copies.append(copies[-1] * 2)
-    times = np.repeat(copies, [len(part) for part in lengths])
-    lengths = np.concatenate(lengths)
-    worth = prices[lengths] / lengths
-    turn = np.lexsort((order[lengths], times, -np.round(worth, 9)))
-    size = np.log2(capacity / (lengths * times)[turn]).astype(int)
-    core = np.sort(np.concatenate([np.flatnonzero(size == c)[:CORE] for c in np.unique(size)]))
-    best, taken = np.zeros(capacity + 1), []
-    for i in turn[core]:
-        weight = int(lengths[i] * times[i])
-        with_it = best[: capacity + 1 - weight] + prices[lengths[i]] * times[i]
-        better = with_it > best[weight:] + 1e-12
-        best[weight:] = np.where(better, with_it, best[weight:])
-        taken.append((i, weight, better))
+    lengths = np.flatnonzero(prices)
+    fitting = np.searchsorted(lengths, np.arange(len(prices)), side="right")
+    price = prices[lengths]
+    best, take = np.zeros(len(prices)), np.zeros(len(prices), np.int64)
+    for room in range(1, len(prices)):
+        best[room], n = best[room - 1], fitting[room]
+        if n:
+            worth = best[room - lengths[:n]] + price[:n]
+            dearest = int(worth.argmax())
+            if worth[dearest] > best[room]:
+                best[room], take[room] = worth[dearest], lengths[dearest]
+    return best, take
+
+
+def filling_with(length: int, take: np.ndarray) -> dict[int, int]:
+    """How often each length is used in the best filling that holds a piece of ``length``."""
     filling: dict[int, int] = defaultdict(int)
-    room = capacity
-    for i, weight, better in reversed(taken):
-        if room >= weight and better[room - weight]:
-            filling[int(lengths[i])] += int(times[i])
-            room -= weight
+    filling[length] += 1
+    room = len(take) - 1 - length
+    while room:
+        if chosen := int(take[room]):
+            filling[chosen] += 1
+        room -= chosen or 1
     return dict(filling)
 
 
-def configurations(demand: np.ndarray) -> list[tuple[dict[int, int], float]]:
+def configurations(demand: np.ndarray, slack: int) -> list[tuple[dict[int, int], float]]:
     """Fillings and how often each is used, so that most of the demand is covered.
 
-    Each pass buys the best filling at present prices, as often as places ``STEP`` of the
-    demand of its scarcest length, and makes what it covers cheaper. Passes end when
-    ``ENOUGH`` of the pieces are covered: the rest is a smaller program of its own.
+    One knapsack per pass prices the best filling with each length. Those near the best of
+    all, and at most ``slack`` tokens emptier than the fullest filling there is, are bought
+    as often as covers ``STEP`` of the demand of their scarcest length, and what they cover
+    gets cheaper. Passes end when ``ENOUGH`` is covered or nothing is full enough to be bought.
     """
     capacity = len(demand) - 1
-    covered, solution = np.zeros(capacity + 1), []
     lengths = np.arange(capacity + 1)
-    draw = np.random.default_rng(0)  # breaks ties, so that fillings are of many lengths
-    while demand @ covered < ENOUGH * demand.sum():
+    fullest = knapsack(np.where(demand > 0, lengths, 0).astype(float))[0][capacity]
+    first = lengths / capacity * (1 + LONGER * lengths / capacity)
+    covered = np.zeros(capacity + 1)
+    solution: dict[tuple[tuple[int, int], ...], float] = defaultdict(float)
+    bought = True
+    while bought and demand @ covered < ENOUGH * demand.sum():
+        bought = False
         open_ = (demand > 0) & (covered < 1 - 1e-9)
-        prices = np.where(open_, lengths * np.exp(-RATE * covered) / capacity, 0.0)
-        filling = knapsack(prices, draw.random(capacity + 1))
-        index = np.array(list(filling))
-        often = np.array([filling[i] for i in index])
-        amount = float((demand[index] / often * np.minimum(STEP, 1 - covered[index])).min()) + 1e-9
-        covered[index] = np.minimum(covered[index] + amount * often / demand[index], 1.0)
-        solution.append((filling, amount))
-    return solution
-
-
-def best_fit_fillings(demand: np.ndarray) -> list[tuple[dict[int, int], float]]:
-    """Fillings that best fit gives for the demand scaled down to ``SCALED_PIECES``, scaled up."""
-    scale = max(1, int(-(-demand.sum() // SCALED_PIECES)))
-    runs: list[tuple[int, int, int, int, int]] = []
-    left = demand.astype(np.int64) // scale
-    _best_fit(left, np.zeros(len(demand), np.int64), runs, defaultdict(list), len(demand) - 1, 0)
-    fillings: dict[int, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for length, _, sequence, n, _ in runs[:-1]:
-        fillings[sequence][length] += n
-    times = Counter(tuple(sorted(filling.items())) for filling in fillings.values())
-    return [(dict(filling), float(n * scale)) for filling, n in times.items()]
+        prices = np.where(open_, first * np.exp(-RATE * covered), 0.0)
+        best, take = knapsack(prices)
+        held = np.flatnonzero(open_)
+        worth = prices[held] + best[capacity - held]
+        near = worth >= NEAR * best[capacity]
+        for length in held[near][np.argsort(-worth[near], kind="stable")]:
+            filling = filling_with(int(length), take)
+            index = np.array(list(filling))
+            often = np.array(list(filling.values()))
+            amount = (demand[index] / often * np.minimum(STEP, 1 - covered[index])).min()
+            if amount > 1e-9 and index @ often >= fullest - slack:
+                covered[index] += amount * often / demand[index]
+                solution[tuple(sorted(filling.items(), reverse=True))] += float(amount)
+                bought = True
+    return [(dict(filling), amount) for filling, amount in solution.items()]
 
 
 def make_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """A place for each of ``histogram[length]`` pieces of each length.
 
-    The program is rounded from two starting points, its own columns and those of best fit,
-    which is hard to beat where sizes are spread evenly; the plan of fewer sequences is taken.
+    The amounts of a solution are rounded so that their running total stays within one of the
+    exact one. Where a round places less than a third, the next may leave more tokens free.
     """
-    plans = [_rounded(histogram, capacity, columns) for columns in (configurations, best_fit_fillings)]
-    return min(plans, key=lambda plan: plan.sequences)
-
-
-def _rounded(histogram: dict[int, int], capacity: int, columns: Callable) -> Plan:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] += n
     used = np.zeros(capacity + 1, np.int64)
     runs: list[tuple[int, int, int, int, int]] = []
     free: dict[int, list[tuple[int, int]]] = defaultdict(list)  # room -> (first sequence, how many)
-    sequences = 0
+    sequences = slack = 0
 
     def place(filling: dict[int, int], times: int) -> None:
         nonlocal sequences
         offset = 0
-        for length, n in sorted(filling.items(), reverse=True):
+        for length, n in filling.items():
             runs.append((length, int(used[length]), sequences, n, offset))
             used[length] += times * n
             left[length] -= times * n
@@ -177,16 +168,19 @@ def _rounded(histogram: dict[int, int], capacity: int, columns: Callable) -> Pla
 
     if left[capacity]:
         place({capacity: 1}, int(left[capacity]))
-    rounds = 0
-    while left.any() and (not rounds or left.sum() > PIECES_PER_LENGTH * np.count_nonzero(left)):
-        rounds += 1
-        before = int(left.sum())
-        for filling, amount in columns(left.astype(float)):
-            times = min(int(amount), *(int(left[length]) // n for length, n in filling.items()))
+    before = 0
+    while left.any() and (not before or left.sum() > TAIL * capacity):
+        before, total = int(left.sum()), 0.0
+        for filling, amount in configurations(left.astype(float), slack):
+            times = int(total + amount) - int(total)
+            total += amount
+            times = min(times, *(int(left[length]) // n for length, n in filling.items()))
             if times:
                 place(filling, times)
-        if left.sum() > 0.7 * before:
+        if left.sum() == before and slack >= capacity:
             break
+        if 3 * left.sum() > 2 * before:
+            slack = 2 * slack + 1
     _best_fit(left, used, runs, free, capacity, sequences)
     sequences = runs.pop()[2]
     ordered = np.array(sorted(runs), np.int64).reshape(-1, 5)
@@ -342,7 +336,7 @@ def pack(
     out = T.StructType(
         [*ranked.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
     )
-    # The plan has a run per length and filling: its size follows the capacity, not the rows.
+    # The plan has a run per length and filling, and the rounds are few: its size follows the capacity.
     return ranked.mapInArrow(_lookup(spark.sparkContext.broadcast(plan)), out)
 
 
