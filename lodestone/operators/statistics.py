@@ -5,14 +5,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scores import safe_divide
 from lodestone.operators.ordered import positions, running_totals
+from lodestone.session import cut_lineage
 
 # Share of the estimates outside the 95 % interval on each side.
 INTERVAL = (0.025, 0.975)
+# Ranges of positions in which the draws of a resample are counted first.
+RANGES = 256
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -162,8 +167,10 @@ def bootstrap_mean(
     """
     keys = [*by]
     drawn = resample(differences, samples, seed=seed, by=by)
+    # Spark does not count what an explode adds and may broadcast all draws; the differences are the small side.
+    held = differences.select(*keys, "position", "diff").hint("shuffle_hash")
     estimates = (
-        drawn.join(differences.select(*keys, "position", "diff"), [*keys, "position"])
+        drawn.join(held, [*keys, "position"])
         .groupBy(*keys, "replicate")
         .agg(F.avg("diff").alias("estimate"))
     )
@@ -180,38 +187,61 @@ def bootstrap_mean(
     )
 
 
+def _drawn_at(n: int, rank: int, samples: int, seed: int, spark: SparkSession) -> DataFrame:
+    """``(replicate, position)``: the drawn position with ``rank`` smaller draws before it, per resample.
+
+    Draws are counted where they are made, by ranges of positions first; only those that fall into
+    the range of the rank are then told apart, so no draw is shuffled or joined as a row.
+    """
+    width = -(-n // RANGES)
+    drawn = (
+        spark.range(n).select(F.col("id").alias("draw"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("replicate"))
+        .select("replicate", _draw(seed, F.col("replicate"), F.col("draw"), F.lit(n)).alias("position"))
+        .withColumn("range", F.floor(F.col("position") / width))
+    )
+
+    def holding(counted: DataFrame, place: str) -> DataFrame:
+        """The place of each resample where the count of smaller draws reaches the rank."""
+        inside = Window.partitionBy("replicate").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("n").over(inside), F.lit(0)) + F.col("before")
+        return counted.withColumn("before", before).filter(
+            (F.col("before") <= rank) & (rank < F.col("before") + F.col("n")))
+
+    count = F.count(F.lit(1)).alias("n")
+    ranges = drawn.groupBy("replicate", "range").agg(count).withColumn("before", F.lit(0).cast("long"))
+    found = cut_lineage(holding(ranges, "range").select("replicate", "range", "before"))
+    # One row for every resample, where the draws would otherwise be moved.
+    near = drawn.join(F.broadcast(found), ["replicate", "range"])
+    return holding(near.groupBy("replicate", "before", "position").agg(count), "position").select("replicate", "position")
+
+
 def bootstrap_threshold(
     scored: DataFrame, target: float, *, samples: int = 400, quantile: float = 0.10, seed: int = 42
 ) -> DataFrame:
     """Recall threshold made cautious: a low quantile over resampled positives, never above the plain one.
 
-    Without samples it is the plain threshold.
+    Without samples it is the plain threshold. The positives lie in the order of their probability,
+    so the threshold of a resample is the probability at one rank of its drawn positions.
     """
+    plain = threshold_for_recall(scored, target)
     if samples <= 0:
-        return threshold_for_recall(scored, target)
+        return plain
     positives = positions(scored.filter(F.col("y") == 1).select("id", "p"), ["p", "id"])
-    drawn = resample(positives, samples, seed=seed)
-    counted = (
-        drawn.join(positives.select("position", "p"), "position")
-        .groupBy("replicate", "p")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    falling = running_totals(
-        counted.withColumn("minus_p", -F.col("p")), ["minus_p"], ["n"], by=["replicate"]
-    )
-    size = positives.agg(F.count(F.lit(1)).alias("n")).scalar()
-    reached = (
-        falling.filter((F.col("n_before") + F.col("n")) / size >= target)
-        .groupBy("replicate")
-        .agg(F.max("p").alias("threshold"))
-    )
-    cautious = reached.agg(F.percentile("threshold", F.lit(quantile)).alias("cautious"))
-    n_positive = scored.agg(F.count_if(F.col("y") == 1).alias("n")).scalar()
-    return threshold_for_recall(scored, target).select(
-        F.when(n_positive < 2, F.col("threshold"))
-        .otherwise(F.least("threshold", cautious.scalar()))
-        .alias("threshold")
+    n = positives.count()
+    if n < 2:
+        return plain
+    # The smallest number of largest draws that makes up the recall, by the same division as the test of it.
+    needed = max(1, math.ceil(target * n) - 1)
+    while needed <= n and needed / n < target:
+        needed += 1
+    if needed > n:
+        return plain
+    chosen = _drawn_at(n, n - needed, samples, seed, scored.sparkSession)
+    cautious = (
+        positives.select("position", "p").join(F.broadcast(chosen), "position")
+        .agg(F.percentile("p", F.lit(quantile)).alias("cautious"))
     )
+    return plain.select(F.least("threshold", cautious.scalar()).alias("threshold"))
 
 
 def holm(p_values: DataFrame) -> DataFrame:
