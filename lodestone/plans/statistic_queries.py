@@ -216,7 +216,8 @@ def so03s(spark, sf_dir):
 def so04(spark, sf_dir):
     """Four questions of each outcome, by hash."""
     rows = paired(spark, sf_dir).select("qid", "outcome")
-    quotas = rows.select("outcome").distinct().withColumn("quota", F.lit(4))
+    # An outcome with fewer questions gives all of them, as the SQL has it.
+    quotas = rows.groupBy("outcome").agg(F.least(F.lit(4), F.count(F.lit(1))).alias("quota"))
     return sampling.stratified_sample(rows, "outcome", "qid", quotas, 13)
 
 
