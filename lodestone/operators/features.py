@@ -14,6 +14,7 @@ from lodestone.functions import text as tx
 from lodestone.functions.scores import ratio
 from lodestone.operators.graph import degrees, passage_node
 from lodestone.operators.traversal import mention_share
+from lodestone.session import narrowed
 
 # Feature names in model order, relevance weights, comparison words.
 CANDIDATE_FEATURES = (
@@ -53,7 +54,7 @@ def evidence_words(evidence: DataFrame, tokens: DataFrame) -> DataFrame:
     as small as those few texts.
     """
     return (
-        evidence.join(tokens.select("pid", F.array_distinct("tokens").alias("words")), "pid")
+        evidence.join(narrowed(tokens, evidence, "pid").select("pid", F.array_distinct("tokens").alias("words")), "pid")
         .groupBy("qid")
         .agg(F.array_distinct(F.flatten(F.collect_list("words"))).alias("held"))
     )
@@ -75,20 +76,22 @@ def candidate_features(
     """
     asked = queries.select("qid", tx.tokens("question").alias("asked"))
     scores = ranking.select("qid", "pid", "rerank_score")
-    text = tokens.select(
+    text = narrowed(tokens, paths.select(F.col("target").alias("pid")), "pid").select(
         F.col("pid").alias("target"), F.array_distinct("tokens").alias("words"), "est_tokens"
     )
     none = F.array().cast("array<string>")
+    # Small rows are joined first and texts last, so that no text is shuffled twice.
+    per_query = asked.join(evidence_words(evidence, tokens), "qid", "left").persist()
+    per_query.count()
     rows = (
-        paths.join(asked, "qid")
-        .join(text, "target")
-        .join(evidence_words(evidence, tokens), "qid", "left")
-        .join(similarity.select("qid", F.col("pid").alias("target"), "dense_score"),
+        paths.join(similarity.select("qid", F.col("pid").alias("target"), "dense_score"),
               ["qid", "target"], "left")
         .join(scores.select("qid", F.col("pid").alias("target"),
                             F.col("rerank_score").alias("target_score")), ["qid", "target"], "left")
         .join(scores.select("qid", F.col("pid").alias("seed"),
                             F.col("rerank_score").alias("seed_score")), ["qid", "seed"], "left")
+        .join(text, "target")
+        .join(per_query, "qid")
         .withColumn("held", F.coalesce("held", none))
     )
     fresh = F.size(
@@ -169,13 +172,15 @@ def gate_features(
         last.alias("_seeds"),
     )
     asked = queries.select("qid", tx.tokens("question").alias("asked"))
-    held_tokens = evidence.join(tokens.select("pid", "est_tokens"), "pid").groupBy("qid").agg(
+    held_tokens = evidence.join(narrowed(tokens, evidence, "pid").select("pid", "est_tokens"), "pid").groupBy("qid").agg(
         F.sum("est_tokens").alias("held_tokens")
     )
-    node_degree = degrees(edges)
+    held_nodes = evidence.select("qid", passage_node(F.col("pid")).alias("node"))
+    beside = narrowed(edges, held_nodes.select(F.col("node").alias("source")), "source")
+    node_degree = degrees(narrowed(edges, beside.select(F.col("target").alias("source")), "source"))
     around = (
-        evidence.select("qid", passage_node(F.col("pid")).alias("node"))
-        .join(edges.select(F.col("source").alias("node"), F.col("target"), "confidence"), "node")
+        held_nodes
+        .join(beside.select(F.col("source").alias("node"), F.col("target"), "confidence"), "node")
         .join(node_degree.select(F.col("node").alias("target"),
                                  F.col("degree").alias("far_degree")), "target")
         .groupBy("qid", "node")

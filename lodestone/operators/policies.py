@@ -127,9 +127,9 @@ def select_candidate(scored: DataFrame, selector: str) -> DataFrame:
 def score_candidates(
     world: World, paths: DataFrame, evidence: DataFrame, scorer: Scorer | None
 ) -> DataFrame:
-    typed = paths.withColumn("seed", F.col("seed").cast("long")).withColumn(
+    typed = cut_lineage(paths.withColumn("seed", F.col("seed").cast("long")).withColumn(
         "target", F.col("target").cast("long")
-    )
+    ))
     pairs = typed.select("qid", F.col("target").alias("pid"))
     rows = candidate_features(
         typed, world.queries, world.tokens, world.ranking, evidence,
