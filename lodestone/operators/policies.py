@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scores import stable
 from lodestone.operators.features import (
+    GATE_FEATURES,
     candidate_features,
     continue_features,
     gate_features,
@@ -66,9 +67,26 @@ def marginal_value(worth: Worth) -> Column:
     )
 
 
+@dataclass
+class Explored:
+    """What was found around the states met so far; a state is a query with its evidence in order.
+
+    Policies, roll-outs and training meet the same states, so each is walked and measured once.
+    """
+
+    states: list[DataFrame] = field(default_factory=list)
+    candidates: list[DataFrame] = field(default_factory=list)
+    gate_states: list[DataFrame] = field(default_factory=list)
+    gate_rows: list[DataFrame] = field(default_factory=list)
+
+
 @dataclass
 class World:
-    """What every policy reads: corpus tokens, graph, questions and their ranking."""
+    """What every policy reads: corpus tokens, graph, questions and their ranking.
+
+    ``explored`` goes with the corpus, the graph, the ranking and the reach: a world that differs
+    in one of them needs its own.
+    """
 
     tokens: DataFrame
     edges: DataFrame
@@ -81,6 +99,7 @@ class World:
     context: Context = Context()
     reach: Reach = Reach()
     worth: Worth = Worth()
+    explored: Explored = field(default_factory=Explored)
 
     def seeds(self) -> DataFrame:
         return self.ranking.filter(F.col("rank") <= self.context.seeds).select(
@@ -124,17 +143,25 @@ def select_candidate(scored: DataFrame, selector: str) -> DataFrame:
     )
 
 
-def score_candidates(
-    world: World, paths: DataFrame, evidence: DataFrame, scorer: Scorer | None
-) -> DataFrame:
+def _measured(world: World, paths: DataFrame, evidence: DataFrame) -> DataFrame:
     typed = cut_lineage(paths.withColumn("seed", F.col("seed").cast("long")).withColumn(
         "target", F.col("target").cast("long")
     ))
     pairs = typed.select("qid", F.col("target").alias("pid"))
-    rows = candidate_features(
+    return candidate_features(
         typed, world.queries, world.tokens, world.ranking, evidence,
         world.similarity(pairs), world.context.tokens,
     ).withColumn("relevance", relevance())
+
+
+def score_candidates(
+    world: World, paths: DataFrame, evidence: DataFrame, scorer: Scorer | None
+) -> DataFrame:
+    return valued(world, _measured(world, paths, evidence), scorer)
+
+
+def valued(world: World, rows: DataFrame, scorer: Scorer | None) -> DataFrame:
+    """Candidate feature rows plus the head probabilities and the marginal value."""
     if scorer is None:
         for head in HEADS:
             rows = rows.withColumn(head, F.lit(0.0))
@@ -143,6 +170,68 @@ def score_candidates(
     return rows.withColumn("marginal_value", marginal_value(world.worth))
 
 
+def held_in_order(evidence: DataFrame) -> DataFrame:
+    """``(qid, held)``: the evidence of each query as one array, from ``evidence(qid, pid, seed_no)``."""
+    return evidence.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("seed_no", "pid"))).alias("held")).select(
+        "qid", F.transform("held", lambda e: e["pid"].cast("long")).alias("held"))
+
+
+def _known(frames: list[DataFrame], states: DataFrame) -> DataFrame:
+    found = frames[0]
+    for frame in frames[1:]:
+        found = found.unionByName(frame)
+    return found.join(states, ["qid", "held"], "left_semi")
+
+
+def _unknown(frames: list[DataFrame], states: DataFrame) -> DataFrame:
+    """The states that none of the frames names; a first call keeps them all."""
+    for frame in frames:
+        states = states.join(frame, ["qid", "held"], "left_anti")
+    return cut_lineage(states)
+
+
+def explore(world: World, evidence: DataFrame) -> DataFrame:
+    """Candidates around ``evidence(qid, pid, seed_no)`` with their features and relevance.
+
+    Walks only from states that :class:`Explored` does not hold yet.
+    """
+    states = cut_lineage(held_in_order(evidence))
+    fresh = _unknown(world.explored.states, states)
+    if not fresh.isEmpty() or not world.explored.states:
+        start = cut_lineage(evidence.select("qid", "pid", "seed_no").join(fresh.select("qid"), "qid", "left_semi"))
+        paths = candidate_paths(
+            world.walk_edges, start, max_hops=world.reach.hops, cap=world.reach.frontier,
+            has_links=world.has_links,
+        )
+        rows = _measured(world, paths, start.select("qid", "pid"))
+        world.explored.candidates.append(cut_lineage(rows.join(fresh, "qid")))
+        world.explored.states.append(fresh)
+    return _known(world.explored.candidates, states).drop("held")
+
+
+def gate_rows(world: World, states: DataFrame) -> DataFrame:
+    """``(qid, held, <gate features>)`` of ``states(qid, held)``, measured once for each state."""
+    states = cut_lineage(states.select("qid", "held").distinct())
+    fresh = _unknown(world.explored.gate_states, states)
+    if not fresh.isEmpty() or not world.explored.gate_states:
+        keyed = fresh.select(F.struct("qid", "held").alias("state"), "qid")
+
+        def per_state(frame: DataFrame) -> DataFrame:
+            return frame.join(keyed, "qid").drop("qid").withColumnRenamed("state", "qid")
+
+        rows = gate_features(
+            per_state(world.ranking), per_state(world.queries), world.tokens, world.edges,
+            cut_lineage(keyed.select(F.col("state").alias("qid"), F.explode("state.held").alias("pid"))),
+            world.context.seeds, world.context.tokens,
+        )
+        flat = rows.select(
+            "*", F.col("qid.qid").alias("_query"), F.col("qid.held").alias("held")
+        ).drop("qid").withColumnRenamed("_query", "qid")
+        world.explored.gate_rows.append(cut_lineage(flat))
+        world.explored.gate_states.append(fresh)
+    return _known(world.explored.gate_rows, states)
+
+
 def rescue(
     world: World,
     selector: str,
@@ -186,12 +275,7 @@ def rescue(
         stage = None if gate is None else ("preflight" if step == 0 else "continue")
         asked = active.select("qid", F.col("evidence").alias("evidence_before"))
         if gate is not None:
-            rows = gate_features(
-                world.ranking.join(active.select("qid"), "qid", "left_semi"),
-                world.queries.join(active.select("qid"), "qid", "left_semi"),
-                world.tokens, world.edges, evidence,
-                context.seeds, context.tokens,
-            )
+            rows = gate_rows(world, active.select("qid", F.col("evidence").alias("held"))).select("qid", *GATE_FEATURES)
             if step > 0 and previous is not None:
                 rows = continue_features(rows, previous)
             verdict = cut_lineage(gate(rows).select("qid", "probability", "opens"))
@@ -201,11 +285,7 @@ def rescue(
             asked = asked.withColumn("probability", F.lit(None).cast("double")).withColumn(
                 "opens", F.lit(True)
             )
-        paths = candidate_paths(
-            world.walk_edges, evidence, max_hops=reach.hops, cap=reach.frontier,
-            has_links=world.has_links,
-        )
-        scored = score_candidates(world, paths, evidence, scorer)
+        scored = valued(world, explore(world, evidence), scorer)
         if selector == "oracle":
             missing = world.support.join(evidence.select("qid", "pid"), ["qid", "pid"], "left_anti")
             scored = scored.join(

@@ -45,13 +45,13 @@ def candidate_rows(
     plus the first such passage, of which the first ``second_state`` candidates are used.
     """
     seeds = cut_lineage(world.seeds())
-    reach = world.reach
-    if paths is None:
-        paths = cut_lineage(traversal.candidate_paths(
-            world.walk_edges, seeds, max_hops=reach.hops, cap=reach.frontier, has_links=world.has_links))
     evidence = seeds.select("qid", "pid", "seed_no")
-    first = learning.candidate_labels(
-        policies.score_candidates(world, paths, evidence.drop("seed_no"), None), world.support, evidence, gains)
+    if paths is None:
+        paths = policies.explore(world, evidence)
+        scored = policies.valued(world, paths, None)
+    else:
+        scored = policies.score_candidates(world, paths, evidence.drop("seed_no"), None)
+    first = learning.candidate_labels(scored, world.support, evidence, gains)
     missing = world.support.join(evidence, ["qid", "pid"], "left_anti")
     reached = (
         paths.select("qid", F.col("target").cast("long").alias("pid"), "place")
@@ -60,11 +60,8 @@ def candidate_rows(
     )
     later = cut_lineage(
         seeds.join(reached.select("qid"), "qid", "left_semi").unionByName(reached.select("qid", "pid", "seed_no")))
-    more = traversal.candidate_paths(
-        world.walk_edges, later, max_hops=reach.hops, cap=reach.frontier, has_links=world.has_links
-    ).filter(F.col("place") <= second_state)
-    second = learning.candidate_labels(
-        policies.score_candidates(world, more, later.select("qid", "pid"), None), world.support, later, gains)
+    more = policies.explore(world, later).filter(F.col("place") <= second_state)
+    second = learning.candidate_labels(policies.valued(world, more, None), world.support, later, gains)
     return first.withColumn("state", F.lit(0)).unionByName(second.withColumn("state", F.lit(1)))
 
 
@@ -83,27 +80,23 @@ def gate_states(world: World, scorer: policies.Scorer) -> tuple[DataFrame, DataF
     """Gate rows met on a value-driven roll-out: ``(preflight rows, continue rows)`` with label ``y``.
 
     A state is worth opening when a missing support passage can be reached from it.
-    All states of all queries are explored in one walk, keyed by query and step.
+    The roll-out has explored every state it met, so none is walked from again.
     """
     history: list[DataFrame] = []
     # The roll-out has no token budget: a full context is a state that gates must know, too.
     _, actions = policies.rescue(world, "mrv", scorer=scorer, history=history, enforce_budget=False)
-    states = cut_lineage(actions.select(
-        F.struct("qid", "step").alias("state"), "qid", "step", F.posexplode("evidence_before").alias("seed_no", "pid")))
-    keyed = states.select(F.col("state").alias("qid"), "pid", "seed_no")
-    paths = traversal.candidate_paths(
-        world.walk_edges, keyed, max_hops=world.reach.hops, cap=world.reach.frontier, has_links=world.has_links)
-    known = states.select("state", "qid").distinct()
-
-    def per_state(frame: DataFrame) -> DataFrame:
-        return frame.join(known, "qid").drop("qid").withColumnRenamed("state", "qid")
-
-    reached = traversal.rescuable(paths, per_state(world.support), keyed.select("qid", "pid"))
-    rows = features.gate_features(
-        per_state(world.ranking), per_state(world.queries), world.tokens, world.edges,
-        keyed.select("qid", "pid"), world.context.seeds, world.context.tokens)
-    labelled = rows.join(reached.withColumn("y", F.lit(1)), "qid", "left").withColumn("y", F.coalesce("y", F.lit(0)))
-    flat = cut_lineage(labelled.withColumn("step", F.col("qid.step")).withColumn("qid", F.col("qid.qid")))
+    states = cut_lineage(actions.select("qid", "step", F.col("evidence_before").alias("held")).filter(F.size("held") > 0))
+    evidence = states.select(F.struct("qid", "step").alias("qid"), F.explode("held").alias("pid"))
+    found = None
+    for candidates in world.explored.candidates:
+        part = candidates.select("qid", "held", "target").join(states, ["qid", "held"])
+        found = part if found is None else found.unionByName(part)
+    support = world.support.join(states.select("qid", F.struct("qid", "step").alias("state")), "qid").select(
+        F.col("state").alias("qid"), "pid")
+    reached = traversal.rescuable(found.select(F.struct("qid", "step").alias("qid"), "target"), support, evidence).select(
+        F.col("qid.qid").alias("qid"), F.col("qid.step").alias("step"), F.lit(1).alias("y"))
+    rows = policies.gate_rows(world, states).join(states, ["qid", "held"]).drop("held")
+    flat = cut_lineage(rows.join(reached, ["qid", "step"], "left").withColumn("y", F.coalesce("y", F.lit(0))))
     preflight = flat.filter("step = 0")
     later = flat.filter("step > 0")
     previous = None
@@ -139,9 +132,12 @@ def train(
     held_out = restrict(world, split.filter("part = 'calibration'"))
     if split.limit(2).count() < 2:  # a single query serves for both
         fitting = held_out = world
+    policies.explore(world, world.seeds())  # one walk for both parts
     heads = fit_heads(candidate_rows(fitting, gains=gains), descent)
-    first, later = gate_states(fitting, head_scorer(heads))
-    first_held, later_held = gate_states(held_out, head_scorer(heads))
+    rolled_first, rolled_later = gate_states(world, head_scorer(heads))
+    (first, later), (first_held, later_held) = (
+        [cut_lineage(rows.join(part.queries.select("qid"), "qid", "left_semi")) for rows in (rolled_first, rolled_later)]
+        for part in (fitting, held_out))
     every = features.GATE_FEATURES + features.CONTINUE_FEATURES
     preflight = learning.fit_gate(first, first_held, features.GATE_FEATURES, "y", "qid", descent, rules)
     if later.isEmpty():
