@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as tx
 from lodestone.operators import audit, ingest
-from lodestone.plans import shared, sql
+from lodestone.plans import shared, sql, standins
 from lodestone.plans.policy_queries import PACK
 from lodestone.plans.registry import query
 from lodestone.plans.sql import compose
@@ -269,12 +269,12 @@ def _as_array(batches):
 
 def _results(spark, sf_dir):
     """Result rows of the two packed policies with a prediction and evidence per reader."""
-    from lodestone.plans.metric_queries import traces
+    from lodestone.plans.metric_queries import packed_traces
 
     asked = queries(spark, sf_dir).select("qid", F.col("answers")[0].alias("answer"))
     facts = F.transform("final_ids", lambda pid: F.struct(
         pid.cast("string").alias("title"), (pid % 3).cast("int").alias("sent_idx")))
-    return traces(spark, sf_dir).join(asked, "qid").select(
+    return packed_traces(spark, sf_dir).join(asked, "qid").select(
         F.col("qid").cast("string").alias("query_id"), "policy",
         F.transform("final_ids", lambda pid: pid.cast("string")).alias("retrieved_ids"),
         F.create_map(F.lit("presence"), "answer").alias("predictions"),
@@ -295,7 +295,11 @@ def sk06(spark, sf_dir):
     list_sort(list_distinct(list_filter(list_transform(final_ids, lambda p: case when list_contains(support, p) then (p % 100)::int end), lambda i: i is not null))) as predicted_support_idxs
     from h_packed join q using (qid) join support_sets using (qid)""", PACK))
 def jn10(spark, sf_dir):
-    indices = shared.support(spark, sf_dir).groupBy("qid").agg(F.collect_list(F.struct(
+    """Only retrieved passages are looked up in the numbers, so only these are tested for support."""
+    from lodestone.plans.metric_queries import packed_traces
+
+    retrieved = packed_traces(spark, sf_dir).filter("policy = 'hybrid'").select("qid", F.explode("final_ids").alias("pid"))
+    indices = standins.support(spark, sf_dir, retrieved).groupBy("qid").agg(F.collect_list(F.struct(
         F.col("pid").cast("string").alias("pid"), (F.col("pid") % 100).cast("int").alias("idx"))).alias("passage_indices"))
     asked = queries(spark, sf_dir).join(indices, "qid", "left").select(
         F.col("qid").cast("string").alias("query_id"),

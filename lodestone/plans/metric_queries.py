@@ -33,29 +33,34 @@ CONTEXTS = {
 _FULL = "(len(support) > 0 and len(list_intersect(support, {0})) = len(support))::double"
 
 
-def traces(spark, sf_dir):
-    """``(policy, qid, support, seed_ids, selected_ids, final_ids, evidence_tokens)``.
+def packed_traces(spark, sf_dir):
+    """``(policy, qid, seed_ids, selected_ids, final_ids, evidence_tokens)``.
 
     What follows the seeds in a packed context stands in for the added passages.
     """
     def build():
-        here = shared.world(spark, sf_dir)
         from lodestone.operators import retrieval
 
+        tokens = shared.corpus(spark, sf_dir).tokens
         lexical = retrieval.bm25_top_k(
-            shared.corpus(spark, sf_dir), here.queries, shared.DEPTHS.lexical)
+            shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.DEPTHS.lexical)
         parts = None
-        for policy, ranking in (("hybrid", here.ranking), ("bm25", lexical)):
-            packed = packing.pack_ranking(ranking, here.tokens, FINAL_K, BUDGET)
+        for policy, ranking in (("hybrid", shared.ranking(spark, sf_dir)), ("bm25", lexical)):
+            packed = packing.pack_ranking(ranking, tokens, FINAL_K, BUDGET)
             seeds = ranking.filter(F.col("rank") <= SEED_K).groupBy("qid").agg(
                 F.array_sort(F.collect_list(F.struct("rank", "pid"))).alias("s")
             ).select("qid", F.transform("s", lambda s: s["pid"]).alias("seed_ids"))
             rows = packed.join(seeds, "qid").withColumn("policy", F.lit(policy))
             parts = rows if parts is None else parts.unionByName(rows)
-        return metrics.with_support(parts, here.support).withColumn(
-            "selected_ids", F.slice("final_ids", F.lit(SEED_K + 1), F.size("final_ids")))
+        return parts.withColumn("selected_ids", F.slice("final_ids", F.lit(SEED_K + 1), F.size("final_ids")))
+
+    return shared._once("packed_traces", spark, sf_dir, build)
 
-    return shared._once("traces", spark, sf_dir, build)
+
+def traces(spark, sf_dir):
+    """The packed contexts with ``support``, all support ids of the question."""
+    return shared._once("traces", spark, sf_dir, lambda: metrics.with_support(
+        packed_traces(spark, sf_dir), shared.support(spark, sf_dir)))
 
 
 @query("mt01_support", compose(f"""select policy, qid, round({hit('support', 'final_ids')} / greatest(1, len(support)), 6) as support_recall,
