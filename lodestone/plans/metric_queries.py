@@ -39,13 +39,9 @@ def packed_traces(spark, sf_dir):
     What follows the seeds in a packed context stands in for the added passages.
     """
     def build():
-        from lodestone.operators import retrieval
-
         tokens = shared.corpus(spark, sf_dir).tokens
-        lexical = retrieval.bm25_top_k(
-            shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.DEPTHS.lexical)
         parts = None
-        for policy, ranking in (("hybrid", shared.ranking(spark, sf_dir)), ("bm25", lexical)):
+        for policy, ranking in (("hybrid", shared.ranking(spark, sf_dir)), ("bm25", shared.lexical(spark, sf_dir))):
             packed = packing.pack_ranking(ranking, tokens, FINAL_K, BUDGET)
             seeds = ranking.filter(F.col("rank") <= SEED_K).groupBy("qid").agg(
                 F.array_sort(F.collect_list(F.struct("rank", "pid"))).alias("s")
@@ -93,11 +89,7 @@ def mt02(spark, sf_dir):
     + " from (select qid, support, list(pid order by rank) as ids from bm25_rank join support_sets using (qid) group by qid, support)"))
 def mt02x(spark, sf_dir):
     """The same on the whole BM25 list at the wider cut-offs."""
-    from lodestone.operators import retrieval
-
-    ranked = retrieval.bm25_top_k(
-        shared.corpus(spark, sf_dir), shared.queries(spark, sf_dir), shared.DEPTHS.lexical)
-    lists = ranked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "pid"))).alias("r")).select(
+    lists = shared.lexical(spark, sf_dir).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "pid"))).alias("r")).select(
         "qid", F.transform("r", lambda r: r["pid"]).alias("final_ids"))
     values = {k: v for k, v in metrics.cutoff_metrics(metrics.EXTERNAL_CUTOFFS).items() if "precision" not in k}
     return metrics.with_support(lists, shared.support(spark, sf_dir)).select(
@@ -298,13 +290,14 @@ _SLICES = {
 
 
 def slices(spark, sf_dir):
-    here = shared.world(spark, sf_dir)
-    lists = here.ranking.groupBy("qid").agg(
+    shared.corpus_and_entities(spark, sf_dir)
+    support = shared.support(spark, sf_dir)
+    lists = shared.ranking(spark, sf_dir).groupBy("qid").agg(
         F.collect_list(F.when(F.col("rank") <= SEED_K, F.col("pid"))).alias("seed_ids"),
         F.collect_list(F.when(F.col("rank") <= FINAL_K, F.col("pid"))).alias("top_ids"))
-    reached = traversal.rescuable(shared.seed_paths(spark, sf_dir), here.support, here.seeds()).withColumn(
+    reached = traversal.rescuable(shared.seed_paths(spark, sf_dir), support, shared.seeds(spark, sf_dir)).withColumn(
         "reached", F.lit(True))
-    rows = metrics.with_support(lists, here.support).join(reached, "qid", "left")
+    rows = metrics.with_support(lists, support).join(reached, "qid", "left")
     return rows.select(
         "qid", metrics.diagnostic_slice(F.coalesce("reached", F.lit(False))).alias("slice"),
         F.size("support").cast("long").alias("support_count"))
@@ -395,6 +388,7 @@ _PAIRED = {
 
 def paired(spark, sf_dir):
     """JN06: the two policies side by side per query, with the diagnostic slice."""
+    shared.corpus_and_entities(spark, sf_dir)
     rows = aggregates.paired_differences(measured(spark, sf_dir), "hybrid", "bm25", ["full_evidence", "support_recall"])
     return rows.withColumnsRenamed(
         {"full_evidence_delta": "full_delta", "support_recall_delta": "recall_delta"}
