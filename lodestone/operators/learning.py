@@ -1,7 +1,7 @@
 """Logistic models, calibrators and gates.
 
-A fit standardises its features in Spark, then makes all passes over a bounded sample of labelled
-rows (``Descent.rows``) in one task; models are column expressions afterwards.
+A fit standardises its features in Spark and makes its passes over every labelled row: in one task
+up to ``Descent.rows`` rows, in a job for each pass beyond; models are column expressions afterwards.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ REDUNDANCY_LIMIT, HUB_LIMIT, CONFIDENCE_LIMIT, GAIN_LIMIT = 0.45, 8, 0.10, 0.01
 
 @dataclass(frozen=True)
 class Descent:
-    """Passes, step and penalty of a fit; about ``rows`` labelled rows at most are used, by hash."""
+    """Passes, step and penalty of a fit, and the labelled ``rows`` that one task passes over; all rows are used."""
 
     epochs: int = 350
     rate: float = 0.05
@@ -152,47 +152,57 @@ def _descend(
     one row weight per head (weight 0 leaves a row out of that head). ``n`` divides
     each head's gradient; ``free`` marks the weights that may move (all by default).
 
-    ``rows`` is a training sample of bounded size (``Descent.rows``), so
-    all passes follow each other in one task instead of a job for each pass.
+    The rows are kept as matrices. Up to ``Descent.rows`` of them, all passes follow each other in
+    one task; beyond, every pass is a job whose tasks hold about so many rows each and give back sums.
     """
     heads, width = weights.shape
     rate, l2 = descent.rate, descent.l2
     free = np.ones((heads, width)) if free is None else free
-
-    def descend_in_task(batches):
-        def matrix(batch, name, columns):
-            return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
-
-        def gradient(parts, w, b):
-            total = np.zeros((heads, width + 1))
-            for x, y, c in parts:
-                p = 1.0 / (1.0 + np.exp(-np.clip(x @ w.T + b, -30.0, 30.0)))
-                error = (p - y) * c
-                total[:, :-1] += error.T @ x
-                total[:, -1] += error.sum(axis=0)
-            return total
-
-        parts = [
-            (matrix(batch, "x", width), matrix(batch, "y", heads), matrix(batch, "c", heads))
-            for batch in batches
-        ]
+    sides = (("x", width), ("y", heads), ("c", heads))
+
+    def packed(batches):
+        for batch in batches:
+            block = np.hstack([
+                batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(-1, columns)
+                for name, columns in sides])
+            yield pa.RecordBatch.from_arrays([pa.array([block.tobytes()], type=pa.binary())], names=["block"])
+
+    def gradient(blocks, w, b):
+        total = np.zeros((heads, width + 1))
+        for block in blocks:
+            x, y, c = np.split(np.frombuffer(block).reshape(-1, width + 2 * heads), (width, width + heads), axis=1)
+            p = 1.0 / (1.0 + np.exp(-np.clip(x @ w.T + b, -30.0, 30.0)))
+            error = (p - y) * c
+            total[:, :-1] += error.T @ x
+            total[:, -1] += error.sum(axis=0)
+        return total
+
+    def passes(slope):
         w, b = weights, bias
         for _ in range(epochs):
-            step = gradient(parts, w, b)
+            step = slope(w, b)
             w = w - rate * (step[:, :-1] / n[:, None] + l2 * w) * free
             b = b - rate * step[:, -1] / n
-        result = np.concatenate([w, b[:, None]], axis=1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([result.ravel().tolist()], type=pa.list_(pa.float64()))], names=["values"]
-        )
+        return w, b
 
-    values = rows.coalesce(1).mapInArrow(descend_in_task, "values array<double>").head()["values"]
-    fitted = np.array(values).reshape(heads, width + 1)
-    return fitted[:, :-1], fitted[:, -1]
+    def in_one_task(blocks):
+        held = list(blocks)
+        yield passes(lambda w, b: gradient(held, w, b))
+
+    def over_tasks(w, b):
+        return sum(blocks.mapPartitions(lambda held: [gradient(held, w, b)]).collect())
+
+    kept = rows.mapInArrow(packed, "block binary").rdd.map(lambda row: bytes(row["block"])).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    tasks = math.ceil(kept.map(len).sum() / (8 * (width + 2 * heads) * descent.rows))
+    blocks = kept.coalesce(max(1, tasks))
+    fitted = passes(over_tasks) if tasks > 1 else blocks.mapPartitions(in_one_task).collect()[0]
+    kept.unpersist()
+    return fitted
 
 
 def training_sample(rows: DataFrame, most: int) -> DataFrame:
-    """About ``most`` rows at most: those with the smallest hash, the same at every size."""
+    """About ``most`` rows at most: those with the smallest hash, the same at every size. No fit uses it."""
     share = int(min(1.0, most / max(rows.count(), 1)) * (1 << 30))
     return rows.filter(F.pmod(F.xxhash64(*rows.columns), F.lit(1 << 30)) < share)
 
@@ -203,7 +213,7 @@ def fit_logistic(
 ) -> dict[str, Logistic]:
     """One class-balanced logistic model per label column, all fitted in the same passes."""
     features, labels = list(features), list(labels)
-    rows = training_sample(rows, descent.rows).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.select(*dict.fromkeys(features + labels)).persist(StorageLevel.MEMORY_AND_DISK)
     mean, scale = standardizer(rows, features)
     counts = rows.agg(
         F.count(F.lit(1)).alias("n"),
@@ -233,12 +243,11 @@ def fit_logistic(
             F.array(*[((F.col(f) - m) / s).cast("double") for f, m, s in zip(features, mean, scale)]).alias("x"),
             F.array(*[F.col(label).cast("double") for label in open_labels]).alias("y"),
             F.array(*[balanced(label) for label in open_labels]).alias("c"),
-        ).persist(StorageLevel.MEMORY_AND_DISK)
+        )
         weights, bias = _descend(
             table, np.zeros((len(open_labels), len(features))), np.zeros(len(open_labels)),
             np.full(len(open_labels), float(n)), descent.epochs, descent,
         )
-        table.unpersist()
         for label, w, b in zip(open_labels, weights, bias):
             models[label] = Logistic(tuple(features), tuple(mean), tuple(scale), tuple(map(float, w)), float(b))
     rows.unpersist()
